@@ -150,3 +150,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     moved = tied.join(least, "component").select("fp", "least")
     of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id, and of repeated rows any one. Rows without
+    doc_id go, if their component has a row with one."""
+    found = near_duplicates(docs, doc_id, text)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("hg_key"))
+    return docs.withColumn("hg_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).join(kept.distinct(), "hg_key", "left_semi").dropDuplicates(["hg_key"]).select(docs.columns)

@@ -89,8 +89,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     base, asked = as_integers(vectors, vec_id, embedding), as_integers(queries, vec_id, embedding)
     blocks, groups = -(-max(1, base.count()) // BLOCK), -(-max(1, asked.count()) // QUERIES)
     # Blocks of candidates meet groups of queries on their two numbers; a group of rows is one task's bounded work.
-    base = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("part"), F.size("v").alias("dims"), "vec_id", "v")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.size("v").alias("dims"), "vec_id", "v")
+    base = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), F.size("v").alias("dims"), "vec_id", "v")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.size("v").alias("dims"), "vec_id", "v")
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = table.column("vec_id").to_numpy()

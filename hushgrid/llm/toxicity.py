@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import held_out, map_rows
@@ -197,3 +198,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """
     scored = score_documents(docs, fit(docs, labels, doc_id, text), doc_id, text)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that don't score as toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Scorer(shared.value)
+        for texts in batches:
+            yield pd.Series([shared.value.score(shared.value.evidence(of.of(t))[0]) for t in texts], dtype=float)
+
+    return docs.where(score(F.col(text)) < 0.5)
