@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Bands of loudness, quietest first, each below its upper edge.
 BANDS = [
-    ("Very quiet", 45.0, "<45", "#2dd4bf"),
-    ("Quiet", 55.0, "45–55", "#84cc16"),
-    ("Moderate", 65.0, "55–65", "#facc15"),
-    ("Loud", 75.0, "65–75", "#fb923c"),
-    ("Very loud", None, "75+", "#ef4444"),
+    ("Very quiet", 45.0, "<45", "#1A9850"),
+    ("Quiet", 55.0, "45–55", "#66BD63"),
+    ("Moderate", 65.0, "55–65", "#E3A21A"),
+    ("Loud", 75.0, "65–75", "#F46D43"),
+    ("Very loud", None, "75+", "#C62828"),
 ]
 #: Seconds of a level frame, and the offset of a phone model without calibration.
 FRAME_SECONDS, DEFAULT_OFFSET = 0.125, 120.0
