@@ -10,9 +10,11 @@ a repeat, the first of each are compared window by window. Overlapping results a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -93,7 +95,12 @@ def _chunks(docs: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
 
 
 def _seeds(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, th, anchor, span, start, n) of every anchor of every document."""
+    """(doc_id, th, anchor, span, start, n) of every anchor of every document.
+
+    Of equal spans that are hashed together only the first keeps its anchor. The others are repeats already: their
+    n is negative, and their anchor a number of their own. So an anchor that a large share of all documents hold is
+    thinned out before the shuffle.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("span", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +113,12 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
                 doc = doc + at
                 at += len(part)
                 if len(doc):
+                    order = np.lexsort((start, th[doc], ids[doc], span, anchor))
+                    new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (span[order][1:] != span[order][:-1])))
+                    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first occurrence, for each in order
+                    again = order[(ids[doc[order]] != ids[doc[lead]]) | (th[doc[order]] != th[doc[lead]]) | (start[order] != start[lead])]
+                    n[again] *= -1
+                    anchor[again] = mix(span[again] ^ mix(ids[doc[again]].view(np.uint64) + start[again].view(np.uint64)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(th[doc]), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, th long, anchor long, span long, start int, n int")
@@ -140,22 +153,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     ordered by th, the text's hash, and rows equal in both are one document, here and in `remove`.
     """
     source = _keyed(docs, doc_id, text)
-    # One shuffle by anchor. A span's first row in its sorted run is the first occurrence; hot anchors are thinned
-    # out before: within a task's own rows all but the first of a span are repeats already and travel under a
-    # scattered key.
-    seeds = _seeds(source, window)
-    first = F.struct("doc_id", "th", "start")
-    seen = stored(seeds)
-    kept = seen.groupBy("anchor", "span").agg(F.min(first).alias("first"), F.min("n").alias("n"), F.count("*").alias("times"))
-    spans = stored(kept.withColumn("spans", F.count("*").over(Window.partitionBy("anchor"))).where("times > 1 OR spans > 1"))
-    whole = seen.join(spans.where("times > 1").select("anchor", "span", "first"), ["anchor", "span"]).where(first > F.col("first"))
-    whole = whole.select("doc_id", "th", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
+    first = ["doc_id", "th", "start"]
+    # One shuffle by anchor, and one sort: equal spans follow each other, the first occurrence in front.
+    place = F.rank().over(Window.partitionBy("anchor", "span").orderBy(*first))
+    met = _seeds(source, window).repartition("anchor").withColumn("place", place)
+    met = met.withColumn("firsts", F.sum(F.when(F.col("place") == 1, 1)).over(Window.partitionBy("anchor")))
+    met = stored(met.where("place > 1 OR firsts > 1 OR n < 0"))
+    whole = met.where("place > 1 OR n < 0").select("doc_id", "th", "start", (F.col("start") + F.abs("n") + window - 1).alias("end"))
     # An anchor with different spans: windows of the first occurrence of each.
-    part = spans.where("spans > 1").select("first.*", "anchor", "n").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
-    each = stored(_windows(source.dropDuplicates(["doc_id", "th"]).join(part, ["doc_id", "th"]).select("doc_id", "th", "text", "spans"), window))
-    least = each.groupBy("anchor", "hash").agg(F.min(first).alias("first"), F.count("*").alias("times")).where("times > 1")
-    single = each.join(least.drop("times"), ["anchor", "hash"]).where(first > F.col("first")).select("doc_id", "th", "start", (F.col("start") + window).alias("end"))
-    return whole.unionByName(single)
+    part = met.where("place = 1 AND n > 0").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
+    each = _windows(source.join(part, ["doc_id", "th"]).select("doc_id", "th", "text", "spans"), window)
+    again = each.withColumn("place", F.rank().over(Window.partitionBy("anchor", "hash").orderBy(*first))).where("place > 1")
+    return whole.unionByName(again.select("doc_id", "th", "start", (F.col("start") + window).alias("end")))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
@@ -165,9 +174,9 @@ def _joined(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
     return keyed.join(found.withColumnsRenamed({"doc_id": "hg_id", "th": "hg_th"}), ["hg_id", "hg_th"], "left")
 
 
-def _covered(n: int, spans: list | None) -> np.ndarray:
+def _covered(n: int, spans: list | np.ndarray) -> np.ndarray:
     out = np.zeros(n, bool)
-    for s in spans or ():
+    for s in spans:
         out[s["start"] : s["end"]] = True
     return out
 
@@ -177,12 +186,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts stay as they are; texts without repeats keep every character.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        import re
-
         token = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
         out = []
         for t, s in zip(texts, spans, strict=True):
