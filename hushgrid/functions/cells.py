@@ -6,6 +6,8 @@ digits of three bits, those finer than the resolution all ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Resolutions of blocks and regions, and the regions that one query may name.
@@ -36,19 +38,25 @@ def _base(n: Column) -> Column:
     return F.shiftright(n, 45).bitwiseAND(127)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _valid(n: Column) -> Column:
+    res = F.shiftright(n, 52).bitwiseAND(15).cast("int")
+    used = F.call_function("shiftright", n.bitwiseAND((1 << 45) - 1), 45 - 3 * res)
+    free = F.call_function("shiftleft", F.lit(1).cast("long"), 45 - 3 * res) - 1
+    ones = sum(1 << (3 * k) for k in range(15))
+    sevens = used.bitwiseAND(F.shiftright(used, 1)).bitwiseAND(F.shiftright(used, 2)).bitwiseAND(ones)
+    # In octal text without leading zeros the first character is the first digit that isn't zero.
+    deleted = _base(n).isin(*PENTAGONS) & F.conv(used.cast("string"), 10, 8).startswith("1")
+    return (F.shiftright(n, 56) == 8) & (_base(n) < 122) & (sevens == 0) & (n.bitwiseAND(free) == free) & ~deleted
+
+
 def is_valid(cell: Column | str) -> Column:
     """Mode, base cell and digits are those of a cell; on a pentagon the first digit that isn't zero isn't one."""
-    n = number(cell)
-    res = F.shiftright(n, 52).bitwiseAND(15)
-    ok = (F.shiftright(n, 56) == 8) & (_base(n) < 122)
-    # The center digits pass; the first other one is looked at on pentagons only.
-    first = F.lit(0)
-    for r in range(15, 0, -1):
-        digit = F.shiftright(n, 3 * (15 - r)).bitwiseAND(7)
-        used = F.lit(r) <= res
-        ok = ok & F.when(used, digit < 7).otherwise(digit == 7)
-        first = F.when(used & (digit != 0), digit).otherwise(first)
-    return F.coalesce(ok & ~(_base(n).isin(*PENTAGONS) & (first == 1)), F.lit(False))
+    return F.coalesce(let(number(cell), _valid), F.lit(False))
 
 
 def is_block(cell: Column | str) -> Column:

@@ -306,7 +306,7 @@ def spanning(pieces: DataFrame) -> DataFrame:
     """One row: pieces whose midpoint isn't in their block."""
     from .venues import cell_of
 
-    mid = lambda c: (F.col(f"from_{c}") + F.col(f"to_{c}")) / 2 * geo.E7
+    mid = lambda c: (F.col(f"from_{c}").cast("double") + F.col(f"to_{c}")) / 2 * geo.E7
     return pieces.withColumn("own", cell_of(mid("lat"), mid("lng"), F.lit(10))).agg(F.count_if(F.col("own") != F.col("cell")).alias("spanning"))
 
 

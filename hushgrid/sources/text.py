@@ -62,7 +62,7 @@ def parse_ways(lines: DataFrame, value: str = "value") -> DataFrame:
     ref = F.filter(F.split(F.substring(F.col("f")[2], 2, 1 << 30), ","), lambda x: F.length(x) > 0)
     w = w.select(F.substring(F.col("f")[0], 2, 30).cast("long").alias("way_id"), tag.alias("t"), ref.alias("r"))
     pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.try_element_at(F.split(x, "="), F.lit(2)).alias("v"))
-    e7 = lambda x, g: F.when(F.regexp_extract(x, NODE, g) != "", round_to(F.regexp_extract(x, NODE, g).try_cast("double") * 1e7).cast("int"))
+    e7 = lambda x, g: round_to(F.regexp_extract(x, NODE, g).try_cast("double") * 1e7).cast("int")
     node = lambda x: F.struct(F.regexp_extract(x, NODE, 1).try_cast("long").alias("id"), e7(x, 2).alias("lng_e7"), e7(x, 3).alias("lat_e7"))
     w = w.withColumn("t", F.filter(F.transform("t", pair), lambda p: p["k"] != ""))
     # Escapes are rare: the helper runs on those ways only, over the tags joined by characters that tags don't have.
@@ -70,9 +70,8 @@ def parse_ways(lines: DataFrame, value: str = "value") -> DataFrame:
     joined = F.array_join(F.transform("t", lambda p: F.concat(p["k"], F.lit(sep), F.coalesce(p["v"], F.lit("")))), mark)
     w = w.withColumn("j", joined).withColumn("j", F.when(F.col("j").rlike("%[0-9a-f]+%"), opl_unescape("j")).otherwise(F.col("j")))
     entries = F.transform(F.filter(F.split("j", mark), lambda x: F.length(x) > 0), lambda x: F.struct(F.split(x, sep)[0].alias("k"), F.split(x, sep)[1].alias("v")))
-    # The last of equal keys: reversed, then the first place of each key.
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    tags = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+    last = lambda e: ce.let(F.array_distinct(F.transform(e, lambda x: x["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(e, lambda x: x["k"] == k), -1)["v"])))
+    tags = ce.let(entries, last)
     return w.select("way_id", tags.alias("tags"), F.transform("r", node).alias("nodes"))
 
 
