@@ -155,6 +155,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id, and of repeated rows any one. Rows without
     doc_id go, if their component has a row with one."""
+    no_id = F.lit(-(1 << 63))
     found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("hg_key"))
-    return docs.withColumn("hg_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).join(kept.distinct(), "hg_key", "left_semi").dropDuplicates(["hg_key"]).select(docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", no_id).alias("key")).distinct()
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), no_id).alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.shared import stored
 from .batches import WordHashes, map_rows, mix, words_of
@@ -143,7 +143,11 @@ def _windows(docs_and_spans: DataFrame, window: int) -> DataFrame:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A document is known by its id (a null id comes last) and its text's hash."""
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), F.col(text).alias("text"))
+    return docs.select(*_key(doc_id, text), F.col(text).alias("text"))
+
+
+def _key(doc_id: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th")]
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -168,10 +172,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """docs with the columns hg_id, hg_th, hg_spans (sorted, joined up [start, end) stretches, or null)."""
-    found = repeats(docs, doc_id, text, window).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("hg_spans"))
-    keyed = docs.withColumns({"hg_id": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), "hg_th": F.coalesce(F.xxhash64(text), F.lit(0))})
-    return keyed.join(found.withColumnsRenamed({"doc_id": "hg_id", "th": "hg_th"}), ["hg_id", "hg_th"], "left")
+    """(row, text, spans): each row of docs as a struct, its text, and its sorted [start, end) stretches or null."""
+    found = repeats(docs, doc_id, text, window).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_key(doc_id, text), F.col(text).alias("text"))
+    return rows.join(found, ["doc_id", "th"], "left").select("row", "text", "spans")
 
 
 def _covered(n: int, spans: list | np.ndarray) -> np.ndarray:
@@ -199,7 +203,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return _joined(docs, doc_id, text, window).withColumn(text, F.when(F.col("hg_spans").isNull(), F.col(text)).otherwise(left(F.col(text), F.col("hg_spans")))).select(docs.columns)
+    joined = _joined(docs, doc_id, text, window)
+    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(left(F.col("text"), F.col("spans")))
+    return joined.withColumn("text", new).select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def repeat_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -219,5 +225,5 @@ def repeat_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             yield i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    joined = _joined(wanted, "doc_id", "text", window).select("doc_id", "text", "hg_spans")
+    joined = _joined(wanted, "doc_id", "text", window).select("row.doc_id", "text", "spans")
     return map_rows(joined, work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
