@@ -46,7 +46,7 @@ def frames_of(pcm: np.ndarray, rate: int) -> np.ndarray:
             y[k] = v
     n = frame_length(rate)
     whole = len(y) // n
-    rms = np.sqrt((y[: whole * n].reshape(whole, n, -1) ** 2).mean(1))
+    rms = np.sqrt((y[: whole * n].reshape(whole, n, y.shape[1]) ** 2).mean(1))
     return 20 * np.log10(np.maximum(rms, 1e-9)).T
 
 
