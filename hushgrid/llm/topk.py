@@ -35,7 +35,7 @@ class ImpactIndex:
             self.dim += [d] * len(cut)
             self.value += (sorted_level[cut] * STEP).tolist()
             self.postings += np.split(order, cut[1:])
-        self.dim, self.value = np.array(self.dim), np.array(self.value, np.int64)
+        self.dim, self.value = np.array(self.dim, np.int64), np.array(self.value, np.int64)
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best candidates but `own`, ties to smaller ids: their ids and exact scores."""
@@ -49,8 +49,8 @@ class ImpactIndex:
         rest = query * (STEP - 1)
         low, high = int(np.minimum(rest, 0).sum()), int(np.maximum(rest, 0).sum())
         sums = np.zeros(n, np.int64)
-        members = np.arange(n)
         free = self.ids != own
+        members = np.flatnonzero(free)
         few = max(4 * k, int(RESCORED * n))
         for at in range(0, len(order), BETWEEN):
             for s in order[at : at + BETWEEN].tolist():
