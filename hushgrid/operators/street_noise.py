@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import acoustics as ac, cells as ce, geo
 from .venues import cell_boundary, cell_center, cell_of
 
-#: Modeled levels begin here; and the zooms at which each resolution is drawn.
+#: Modeled levels begin here.
 FLOOR = 45.0
-ZOOMS = {5: (3, 4), 6: (5, 6), 7: (7, 8), 8: (9, 9), 9: (10, 11), 10: (12, 12)}
+# The zooms at which each resolution is drawn, and those from which measured blocks and blocks are.
+ZOOMS = {5: (3, 5), 6: (6, 7), 7: (8, 8), 8: (9, 9), 9: (10, 11), 10: (12, 12)}
+MEASURED_ZOOM, BLOCK_ZOOM = 10, 12
 NO_DATA = 1e30
 
 
@@ -85,7 +87,7 @@ def noise_features(cells: DataFrame, res: Column | str) -> DataFrame:
     r = F.col(res) if isinstance(res, str) else res
     zooms = None
     for k, (lo, hi) in ZOOMS.items():
-        z = F.struct(F.lit(lo).alias("minzoom"), F.lit(hi).alias("maxzoom"))
+        z = F.struct(F.lit("noise").alias("layer"), F.lit(lo).alias("minzoom"), F.lit(hi).alias("maxzoom"))
         zooms = F.when(r == k, z) if zooms is None else zooms.when(r == k, z)
     zooms = zooms.otherwise(F.raise_error(F.lit("no zoom for this resolution")))
     ring = F.transform(cell_boundary("cell"), lambda p: F.transform(p, lambda x: F.floor(x * 1e6 + 0.5) / 1e6))
@@ -102,3 +104,29 @@ def map_cells(blocks: DataFrame, areas: DataFrame) -> DataFrame:
     z = F.create_map(*[x for k, (lo, hi) in ZOOMS.items() for x in (F.lit(k), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))])
     both = blocks.select(F.lit(ce.BLOCK).alias("res"), "cell", "laeq").unionByName(areas)
     return both.withColumn("z", z[F.col("res")]).select("res", "cell", "laeq", F.col("z.lo").alias("min_zoom"), F.col("z.hi").alias("max_zoom"))
+
+
+def coverage_features(polygons: DataFrame) -> DataFrame:
+    """The modeled area (geometry: GeoJSON text) as features of block tiles only."""
+    head = F.lit(f'{{"type":"Feature","tippecanoe":{{"layer":"coverage","minzoom":{BLOCK_ZOOM},"maxzoom":{BLOCK_ZOOM}}},"geometry":')
+    return polygons.select(F.concat(head, "geometry", F.lit(',"properties":{}}')).alias("value"))
+
+
+def view_rules(zoom: Column | str, regions: Column | str) -> Column:
+    """struct(res, measured, taps): what a view of some regions shows: the modeled resolution (null below the first),
+    whether it asks for measured blocks, and whether blocks answer."""
+    z, r = (F.col(x) if isinstance(x, str) else x for x in (zoom, regions))
+    res = None
+    for k, (lo, _) in sorted(ZOOMS.items(), reverse=True):
+        res = F.when(z >= lo, k) if res is None else res.when(z >= lo, k)
+    return F.struct(res.alias("res"), ((z >= MEASURED_ZOOM) & r.between(1, ce.MAX_REGIONS)).alias("measured"), (z >= BLOCK_ZOOM).alias("taps"))
+
+
+def footprint_points(rasters: DataFrame, steps: int = 64) -> DataFrame:
+    """(raster, seq, px, line): points along the edge of rasters (raster, width, height), `steps` to a side, clockwise
+    from the first pixel. Turning them into degrees is the projection's work."""
+    side, k = F.floor(F.col("seq") / steps), F.col("seq") % steps / steps
+    p = rasters.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(4 * steps - 1))))
+    x = F.when(side == 0, k).when(side == 1, 1.0).when(side == 2, 1 - k).otherwise(0.0)
+    y = F.when(side == 0, 0.0).when(side == 1, k).when(side == 2, 1.0).otherwise(1 - k)
+    return p.select("raster", "seq", (x * F.col("width")).alias("px"), (y * F.col("height")).alias("line"))

@@ -248,7 +248,7 @@ def a8_areas(spark, sf_dir):
     return sn.area_levels(sn.block_levels(ad.pixels(spark, sf_dir), "cell")).select("res", "cell", r6("laeq", "laeq"))
 
 
-@query(ad.sql("pixels") + AREAS + """ SELECT res, cell, round(laeq, 6) AS laeq, CAST(CASE res WHEN 5 THEN 3 WHEN 6 THEN 5 WHEN 7 THEN 7 WHEN 8 THEN 9 WHEN 9 THEN 10 END AS INTEGER) AS min_zoom FROM areas WHERE laeq >= 45
+@query(ad.sql("pixels") + AREAS + """ SELECT res, cell, round(laeq, 6) AS laeq, CAST(CASE res WHEN 5 THEN 3 WHEN 6 THEN 6 WHEN 7 THEN 8 WHEN 8 THEN 9 WHEN 9 THEN 10 END AS INTEGER) AS min_zoom FROM areas WHERE laeq >= 45
     UNION ALL SELECT 10, lower(hex(x)), round(laeq, 6), 12 FROM b""")
 def u4_map_cells(spark, sf_dir):
     b = sn.block_levels(ad.pixels(spark, sf_dir), "cell")
@@ -309,6 +309,28 @@ def s9_features(spark, sf_dir):
     return f.withColumn("g", g).select("cell", "g.type", "g.properties.laeq", F.size(F.col("g.geometry.coordinates")[0]).alias("corners"))
 
 
+@query("""SELECT o_orderkey AS k, CAST(CASE WHEN z >= 12 THEN 10 WHEN z >= 10 THEN 9 WHEN z >= 9 THEN 8 WHEN z >= 8 THEN 7 WHEN z >= 6 THEN 6 WHEN z >= 3 THEN 5 END AS INTEGER) AS res, z >= 10 AND o_custkey % 100 BETWEEN 1 AND 64 AS measured, z >= 12 AS taps
+    FROM (SELECT *, o_orderkey % 15 AS z FROM orders)""")
+def p17_view_rules(spark, sf_dir):
+    v = sn.view_rules(F.col("o_orderkey") % 15, F.col("o_custkey") % 100)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), v.alias("v")).select("k", "v.*")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS poly_id, 12 AS minzoom, 'Polygon' AS type FROM supplier")
+def s11_coverage_features(spark, sf_dir):
+    g = F.concat(F.lit('{"type":"Polygon","coordinates":[[[0,0],[1,0],['), "s_suppkey", F.lit(",1],[0,0]]]}"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("poly_id"), g.alias("geometry"))
+    f = sn.coverage_features(s).withColumn("g", F.from_json("value", "struct<tippecanoe struct<minzoom int>, geometry struct<type string, coordinates array<array<array<double>>>>>"))
+    return f.select(F.col("g.geometry.coordinates")[0][2][0].cast("int").cast("string").alias("poly_id"), "g.tippecanoe.minzoom", "g.geometry.type")
+
+
+@query("""WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS raster, 100 + s_suppkey AS w, 50 + s_nationkey AS h, unnest(range(0, 256)) AS seq FROM supplier), k AS (SELECT *, seq // 64 AS side, seq % 64 / 64.0::DOUBLE AS k FROM r)
+    SELECT raster, CAST(seq AS INTEGER) AS seq, CASE side WHEN 0 THEN k WHEN 1 THEN 1.0 WHEN 2 THEN 1 - k ELSE 0.0 END * w AS px, CASE side WHEN 0 THEN 0.0 WHEN 1 THEN k WHEN 2 THEN 1.0 ELSE 1 - k END * h AS line FROM k""")
+def a19_footprints(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return sn.footprint_points(s.select(F.col("s_suppkey").cast("string").alias("raster"), (100 + F.col("s_suppkey")).alias("width"), (50 + F.col("s_nationkey")).alias("height")))
+
+
 # Geometry ---------------------------------------------------------------------------------------------------------
 
 
@@ -373,6 +395,13 @@ def j10_o1_nearby(spark, sf_dir):
     return ve.nearby(ad.centers(spark, sf_dir), ad.venues(spark, sf_dir), rings=None).select("cell", "osm_id", r6("meters", "meters", 3), "rank")
 
 
+@query(ad.sql("centers", "venues") + " SELECT cell, osm_id, round((pow((v.lng - c.lng) * cos(radians(c.lat)), 2) + pow(v.lat - c.lat, 2)) * 1e8, 4) AS d2 FROM centers c JOIN venues v ON substr(c.cell, 12, 1) = substr(v.osm_id, 6, 1)")
+def f16_squared_offsets(spark, sf_dir):
+    c, v = ad.centers(spark, sf_dir), ad.venues(spark, sf_dir)
+    j = c.withColumnsRenamed({"lng": "lng0", "lat": "lat0"}).withColumn("k", F.substring("cell", 12, 1)).join(v.withColumn("k", F.substring("osm_id", 6, 1)), "k")
+    return j.select("cell", "osm_id", r6(geo.squared_offset("lng", "lat", "lng0", "lat0") * 1e8, "d2", 4))
+
+
 @query("""WITH p AS (SELECT o_orderkey AS k, -200 + o_custkey % 400 + 0.5::DOUBLE AS lng, o_orderkey % 90 + 0.25::DOUBLE AS lat FROM orders) SELECT k, printf('%.6f', lng) || ',' || printf('%.6f', lat) AS text, CASE WHEN abs(lng) <= 180 THEN lng END AS lng,
     CASE WHEN k % 2 = 0 THEN 'quieter' END AS preset, CASE WHEN k % 24 % 12 = 0 THEN '12' ELSE CAST(k % 24 % 12 AS VARCHAR) END || CASE WHEN k % 24 < 12 THEN ' am' ELSE ' pm' END AS hour FROM p""")
 def f17_f19_text(spark, sf_dir):
@@ -510,6 +539,34 @@ def s14_tiles_in_box(spark, sf_dir):
     return tx.tiles_in(wg.build_tiles(levelled(spark, sf_dir)), (-122.43, 37.69, -121.0, 37.8)).drop("data")
 
 
+@query(ad.sql("edges") + """, p AS (SELECT DISTINCT from_lng AS lng, from_lat AS lat, floor(from_lng / 130000.0) AS strip FROM edges UNION SELECT to_lng, to_lat, floor(from_lng / 130000.0) FROM edges)
+    SELECT lng, lat, count(DISTINCT strip) AS strips FROM p GROUP BY lng, lat HAVING count(DISTINCT strip) > 1""")
+def j14_shared_nodes(spark, sf_dir):
+    """Nodes that two strips of the graph share, by equal E7 coordinates."""
+    e = ad.edges(spark, sf_dir).withColumn("strip", F.floor(F.col("from_lng") / 130_000))
+    ends = e.select(F.col("from_lng").alias("lng"), F.col("from_lat").alias("lat"), "strip").unionByName(e.select(F.col("to_lng").alias("lng"), F.col("to_lat").alias("lat"), "strip"))
+    return ends.groupBy("lng", "lat").agg(F.count_distinct("strip").alias("strips")).where("strips > 1")
+
+
+@query(WAYS + " SELECT DISTINCT lng_e7, lat_e7, node_id, level FROM refs")
+def u2_distinct_points(spark, sf_dir):
+    return refs(spark, sf_dir).select("lng_e7", "lat_e7", "node_id", "level").distinct()
+
+
+@query(LEVELLED + " SELECT '2' AS format, '2026-10' AS osm_release, '2022' AS noise_release, count(*) AS n FROM j")
+def s15_release_stamped(spark, sf_dir):
+    """Written under the releases that it was made from, read again by them."""
+    import uuid
+
+    from .shared import shared_dir
+
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    stamp = tx.release_name("2", "2026-10", "2022")
+    levelled(spark, sf_dir).select("cell", "laeq").withColumns(stamp).write.partitionBy(*stamp).parquet(path)
+    read = spark.read.schema("cell string, laeq double, format string, osm_release string, noise_release string").parquet(path)
+    return read.where("osm_release = '2026-10'").groupBy(*stamp).agg(F.count("*").alias("n"))
+
+
 # Routes -----------------------------------------------------------------------------------------------------------
 
 
