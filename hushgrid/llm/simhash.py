@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     tied = tied.join(classes, tied.node == classes.fp).select("fp", "component", "rep")
     least = tied.groupBy("component").agg(F.min("rep").alias("least"))
     moved = tied.join(least, "component").select("fp", "least")
-    of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # Stored, so that the last join shuffles both sides, and Spark can split the rows of a fingerprint with many copies.
+    of_class = stored(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

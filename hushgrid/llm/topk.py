@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Candidates of a block and queries that meet it in one task; together they bound a task's memory.
 BLOCK, QUERIES = 16_384, 1024
+#: Most partitions that the pairs of blocks are dealt out to.
+PARTITIONS = 10_000
 #: Width of a quantised impact, segments between two attempts at a proof, share of a block that is rescored.
 STEP, BETWEEN, RESCORED = 16, 128, 0.04
 
@@ -108,12 +110,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
         done = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.table([pa.array(c.astype(np.int64)) for c in done], names=["query_id", "vec_id", "score"])
 
-    key = ["block", "part", "dims"]
-    found = asked_best(base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long"), k)
-    return found
+    # So many partitions as pairs of blocks: the rows are few but each pair is much work, which adaptive merging of
+    # small partitions would put into few tasks.
+    key, n = ["block", "part", "dims"], min(PARTITIONS, blocks * groups)
+    pairs = base.repartition(n, *key).groupBy(*key).cogroup(asked.repartition(n, *key).groupBy(*key))
+    return best_of_blocks(pairs.applyInArrow(search, "query_id long, vec_id long, score long"), k)
 
 
-def asked_best(found: DataFrame, k: int) -> DataFrame:
+def best_of_blocks(found: DataFrame, k: int) -> DataFrame:
     """The k best of the blocks' best: at most k rows come from a block."""
     from pyspark.sql import Window
 
