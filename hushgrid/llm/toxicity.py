@@ -25,8 +25,8 @@ SAMPLE, FEATURES = 20_000, 20_000
 #: Characters of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: Weight of the Dirichlet prior as a share of the smaller class, and deviations from zero that a feature's log-odds
-#: needs. Too light a prior would leave words that one class never has with a large variance.
-PRIOR, DEVIATIONS = 0.5, 3.0
+#: needs and is lowered by. Too light a prior would leave words that one class never has with a large variance.
+PRIOR, DEVIATIONS, SURE = 0.5, 3.0, 2.0
 #: What every word costs a segment, and the most that one word can bring.
 DRIFT, MOST = 0.25, 6.0
 #: Expected chance segments below which one is significant.
@@ -72,8 +72,8 @@ class Model:
     shift: float = -2.0
 
     def word(self, word: str) -> float:
-        """The score of a word: the largest of its features' log-odds, less the drift."""
-        best = max((self.odds[f][0] for f in features(word) if f in self.odds), default=0.0)
+        """The score of a word: the largest of its features' log-odds, each taken SURE deviations lower, less the drift."""
+        best = max((o - SURE * o / z for o, z in (self.odds[f] for f in features(word) if f in self.odds)), default=0.0)
         return min(best, MOST) - DRIFT
 
     def evidence(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:

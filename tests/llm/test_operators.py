@@ -364,8 +364,14 @@ def test_perplexity_is_the_recursion(spark):
     model = quality.kneser_ney(g.astype(np.int64), n)
     other = "a zebra QUIT 99 mats; the cat"
     want = np.mean([one(model, int(x) >> 5, int(x) & 31) for x in quality.grams(other)])
-    assert quality.log_perplexity(model, other) == pytest.approx(want, rel=1e-4)
-    assert quality.log_perplexity(model, text) < quality.log_perplexity(model, other)
+    models = {"en": quality.Model(model, 9.0)}
+    assert quality.log_perplexity(models, "en", other) == pytest.approx(want, rel=1e-4)
+    assert quality.log_perplexity(models, "en", text) < quality.log_perplexity(models, "en", other)
+    german = "der hund und die katze schlafen auf der matte bei der tuer. " * 8
+    g, n = np.unique(quality.grams(german), return_counts=True)
+    models = {"en": quality.Model(model, 0.5), "de": quality.Model(quality.kneser_ney(g.astype(np.int64), n), 0.5)}
+    mixed = text + "\n" + german
+    assert quality.log_perplexity(models, "en", mixed) < 0.5 * quality.log_perplexity({"en": models["en"]}, "en", mixed)
 
 
 def test_quality_keeps_clean(spark):
