@@ -24,13 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, cluster_by: str | None = None) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, executors may go.
-
-    cluster_by: rows are dealt out by this column first.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, executors may go."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    (df.repartition(cluster_by) if cluster_by else df).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -72,7 +72,8 @@ def parse_ways(lines: DataFrame, value: str = "value") -> DataFrame:
     entries = F.transform(F.filter(F.split("j", mark), lambda x: F.length(x) > 0), lambda x: F.struct(F.split(x, sep)[0].alias("k"), F.split(x, sep)[1].alias("v")))
     last = lambda e: ce.let(F.array_distinct(F.transform(e, lambda x: x["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(e, lambda x: x["k"] == k), -1)["v"])))
     tags = ce.let(entries, last)
-    return w.select("way_id", tags.alias("tags"), F.transform("r", node).alias("nodes"))
+    # Through a generator, so that filters on tags aren't pushed below, where each would parse the line again.
+    return w.select(F.inline(F.array(F.struct("way_id", tags.alias("tags"), F.transform("r", node).alias("nodes")))))
 
 
 NODE = r"^n(\d+)x(-?[\d.]*)y(-?[\d.]*)$"
