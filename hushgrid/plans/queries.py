@@ -764,12 +764,19 @@ def t5_retry_times(spark, sf_dir):
     return jobs.retry_times(held)
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 DAY THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM f)
+    SELECT user_id AS device_id, CAST(floor(epoch_us(min(ts)) / 1000.0) AS BIGINT) AS start_ms, count(*) AS n FROM s GROUP BY user_id, no HAVING count(*) >= 3 AND max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def t8_stream_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed."""
     s = event_stream(spark, sf_dir).select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("db_spl"))
-    return jobs.collected(jobs.session_frames(s, "2 days", "1 day", 3), "device_id long, start timestamp, end timestamp, n long, laeq double, lamax double").select("device_id", "start", "n")
+    out = jobs.collected(jobs.session_frames(s, "2 days", "1 day", 3), "device_id long, start timestamp, end timestamp, n long, laeq double, lamax double")
+    return out.select("device_id", ad.millis("CAST(start AS TIMESTAMP_NTZ)").alias("start_ms"), "n")
 
 
-@query()
+@query(R + """, w AS (SELECT cell, CAST(saved_ms // 43200000 AS BIGINT) - k AS slot FROM readings, (SELECT unnest([0, 1]) AS k))
+    SELECT cell, slot * 43200000 AS start_ms, count(*) AS n FROM w WHERE slot * 43200000 + 86400000 <= (SELECT max(saved_ms) FROM readings) - 86400000 GROUP BY cell, slot HAVING count(*) >= 8""")
 def t9_busy_blocks(spark, sf_dir):
-    return jobs.collected(jobs.busy_blocks(reading_stream(spark, sf_dir), 8, "1 day", "12 hours", "1 day"), "cell string, start timestamp, n long")
+    """Windows that the watermark has closed."""
+    out = jobs.collected(jobs.busy_blocks(reading_stream(spark, sf_dir), 8, "1 day", "12 hours", "1 day"), "cell string, start timestamp, n long")
+    return out.select("cell", ad.millis("CAST(start AS TIMESTAMP_NTZ)").alias("start_ms"), "n")
