@@ -99,6 +99,13 @@ def noise_features(cells: DataFrame, res: Column | str) -> DataFrame:
     return cells.select("cell", F.to_json(feature).alias("value"))
 
 
+def measured_features(cells: DataFrame) -> DataFrame:
+    """GeoJSON lines of measured cells (cell, laeq, count): closed ring, level and count, nothing of who measured."""
+    g = F.struct(F.lit("Polygon").alias("type"), F.array(cell_boundary("cell")).alias("coordinates"))
+    f = F.struct(F.lit("Feature").alias("type"), F.struct("cell", "laeq", "count").alias("properties"), g.alias("geometry"))
+    return cells.select("cell", F.to_json(f).alias("value"))
+
+
 def map_cells(blocks: DataFrame, areas: DataFrame) -> DataFrame:
     """Blocks and areas as one set with their zooms."""
     z = F.create_map(*[x for k, (lo, hi) in ZOOMS.items() for x in (F.lit(k), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))])

@@ -615,6 +615,13 @@ def w7_merged_pieces(spark, sf_dir):
     return routes.merged(stretches(spark, sf_dir), ["trip_id"]).select("trip_id", "piece_no", "cell", "meters")
 
 
+@query(STRETCH + " SELECT trip_id, piece_no, CASE kind WHEN 'measured' THEN '#F46D43' WHEN 'modeled' THEN '#66BD63' END AS color FROM p")
+def s10_route_features(spark, sf_dir):
+    p = routes.merged(stretches(spark, sf_dir), ["trip_id"]).withColumn("line", F.array(F.array(F.col("piece_no") * 0.001, F.lit(37.5)), F.array((F.col("piece_no") + 1) * 0.001, F.lit(37.5))))
+    f = F.from_json("value", "struct<properties struct<color string>, geometry struct<coordinates array<array<double>>>>")
+    return routes.route_features(p).select("trip_id", "piece_no", f["properties"]["color"].alias("color"))
+
+
 @query(STRETCH + """ SELECT trip_id, sum(meters) AS meters, round(10 * log10(sum(meters * pow(10, db / 10)) / sum(meters) FILTER (db IS NOT NULL)), 6) AS laeq, sum(CASE WHEN db >= 65 THEN meters ELSE 0 END) AS loud_meters,
     sum(CASE WHEN kind = 'measured' THEN meters ELSE 0 END) AS measured_meters, count(DISTINCT CASE WHEN kind = 'measured' THEN cell END) AS measured_blocks FROM p GROUP BY trip_id""")
 def a14_a15_route_stats(spark, sf_dir):
@@ -693,6 +700,13 @@ def s8_coverage(spark, sf_dir):
     return tx.parse_coverage(lines).groupBy("poly_id").agg(F.count("*").cast("int").alias("rings"))
 
 
+@query(R + MEASURED + " SELECT cell, round(laeq, 6) AS laeq, count, 7 AS corners FROM measured")
+def s10_cell_features(spark, sf_dir):
+    f = F.from_json("value", "struct<properties struct<cell string, laeq double, count long>, geometry struct<coordinates array<array<array<double>>>>>")
+    g = sn.measured_features(measured(spark, sf_dir)).select(f.alias("f"))
+    return g.select("f.properties.cell", r6("f.properties.laeq", "laeq"), "f.properties.count", F.size(F.col("f.geometry.coordinates")[0]).alias("corners"))
+
+
 @query(ad.sql("venues") + " SELECT osm_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM venues")
 def s10_point_features(spark, sf_dir):
     f = tx.point_features(ad.venues(spark, sf_dir), ["osm_id"])
