@@ -18,6 +18,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+#: Rows of a batch between Spark and Python. Texts may be long, and both sides hold a batch or two at a time.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to hand over batches of at most BATCH rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df
+
+
 def map_rows(df: DataFrame, work: Callable[[list[list]], Iterable[tuple]], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow with plain lists: work takes the columns of some rows and returns one tuple for each output row."""
 
@@ -29,7 +39,7 @@ def map_rows(df: DataFrame, work: Callable[[list[list]], Iterable[tuple]], schem
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     names, types = arrow_schema(df, schema)
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def arrow_schema(df: DataFrame, schema: str) -> tuple[list[str], list[pa.DataType]]:
@@ -43,7 +53,7 @@ def arrow_schema(df: DataFrame, schema: str) -> tuple[list[str], list[pa.DataTyp
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for at most `most` words."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import held_out, map_rows
+from .batches import held_out, map_rows, small_batches
 
 #: Labelled documents that the model is fitted on (about), languages that it may hold (the most frequent), buckets.
 SAMPLE, LANGUAGES, BUCKETS = 20_000, 64, 1 << 15
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    rows = picked.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = small_batches(picked.select(F.col(lang).alias("lang"), F.col(text).alias("text"))).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((BUCKETS, len(names)))
     found = rows.toPandas()  # at most BUCKETS x LANGUAGES rows
     counts[found.bucket.to_numpy(), [names.index(x) for x in found.lang]] = found.n.to_numpy()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import stored
-from .batches import arrow_schema
+from .batches import arrow_schema, small_batches
 from .tokens import byte_bpe
 
 #: Partitions whose last windows are merged by one task.
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
         return run
 
-    done = stored(source.mapInArrow(first_pass, SCHEMA))
+    done = stored(small_batches(source).mapInArrow(first_pass, SCHEMA))
     out = done.where("ids IS NULL")
     parts = (done.where("ids IS NOT NULL").agg(F.max("part")).first()[0] or 0) + 1
     level = 0

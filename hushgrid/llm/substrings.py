@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.shared import stored
-from .batches import WordHashes, map_rows, mix, words_of
+from .batches import WordHashes, map_rows, mix, small_batches, words_of
 
 #: Words of an anchor.
 GRAM = 5
@@ -121,7 +121,7 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
                     anchor[again] = mix(span[again] ^ mix(ids[doc[again]].view(np.uint64) + start[again].view(np.uint64)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(th[doc]), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, th long, anchor long, span long, start int, n int")
+    return small_batches(docs).mapInArrow(run, "doc_id long, th long, anchor long, span long, start int, n int")
 
 
 def _windows(docs_and_spans: DataFrame, window: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _windows(docs_and_spans: DataFrame, window: int) -> DataFrame:
                 m = len(each)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b.column(0)[k].as_py())), pa.array(np.full(m, b.column(1)[k].as_py())), pa.array(np.repeat(anchor, n)), pa.array(h.stretch(each, each + window).view(np.int64)), pa.array(each.astype(np.int32))], schema=schema)
 
-    return docs_and_spans.mapInArrow(run, "doc_id long, th long, anchor long, hash long, start int")
+    return small_batches(docs_and_spans).mapInArrow(run, "doc_id long, th long, anchor long, hash long, start int")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -174,8 +174,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 def _joined(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
     """(row, text, spans): each row of docs as a struct, its text, and its sorted [start, end) stretches or null."""
     found = repeats(docs, doc_id, text, window).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *_key(doc_id, text), F.col(text).alias("text"))
-    return rows.join(found, ["doc_id", "th"], "left").select("row", "text", "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_key(doc_id, text))
+    return rows.join(found, ["doc_id", "th"], "left").select("row", F.col("row")[text].alias("text"), "spans")
 
 
 def _covered(n: int, spans: list | np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = _joined(docs, doc_id, text, window)
+    joined = small_batches(_joined(docs, doc_id, text, window))
     new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(left(F.col("text"), F.col("spans")))
     return joined.withColumn("text", new).select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import held_out, map_rows
+from .batches import held_out, map_rows, small_batches
 
 #: Labelled documents that the model is fitted on, picked by the hash of their id, and features that it may hold.
 SAMPLE, FEATURES = 20_000, 20_000
@@ -92,7 +92,7 @@ class Model:
 class Scorer(dict):
     """Word scores under a model, remembered for at most `most` words."""
 
-    def __init__(self, model: Model, most: int = 300_000) -> None:
+    def __init__(self, model: Model, most: int = 100_000) -> None:
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
@@ -188,7 +188,7 @@ def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
             evidence, found = shared.value.evidence(of.of(t))
             yield i, shared.value.score(evidence), [{"first": s, "end": e, "by_chance": math.exp(-x)} for s, e, x in found]
 
-    return map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, "doc_id long, score double, passages array<struct<first int, end int, by_chance double>>", 10_000)
+    return map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, "doc_id long, score double, passages array<struct<first int, end int, by_chance double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,4 +210,4 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series([shared.value.score(shared.value.evidence(of.of(t))[0]) for t in texts], dtype=float)
 
-    return docs.where(score(F.col(text)) < 0.5)
+    return small_batches(docs).where(score(F.col(text)) < 0.5)
