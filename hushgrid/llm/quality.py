@@ -1,10 +1,13 @@
 """Quality rules: counts of words, signs and repetitions, and n-gram perplexity.
 
-The language model is a modified Kneser-Ney model of order 4 over 32 classes of characters, one for each language.
-Spark counts the n-grams of all documents; a language has at most 32 ** 4 of them, which bounds the model. It is kept
-as sorted arrays of n-gram hashes (the packed classes, five bits each) beside their log probabilities. A document is
-rejected when its perplexity a character lies outside its language's band: too high is disorder, too low is
-repetition. A band is set from the distribution of all documents of that language.
+The language model is a modified Kneser-Ney model of order SPAN over characters as they are, one for each language.
+Spark counts the n-grams of all documents, combined on the map side, and estimates the model by aggregations and joins
+over tables of n-grams, so it grows with the corpus and no task or driver holds a language. Each part of the documents
+asks for the costs of its own distinct n-grams by a join, and keeps them as sorted arrays of n-gram hashes beside their
+costs. An n-gram that only one text has costs what it would if that text were unknown: it backs off to the longest
+ending that other texts have too, or no text would look disordered to a model counted from it. A document is rejected
+when its perplexity a character lies outside its language's band: too high is disorder, too low is repetition. A band
+is set from the distribution of all documents of that language.
 """
 
 from __future__ import annotations
@@ -14,18 +17,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.shared import stored
-from .batches import map_rows, small_batches, words_of
+from .batches import arrow_schema, mix, small_batches, words_of
 
+#: Characters of an n-gram; characters that are counted at once by a task; characters of a part of the documents.
+SPAN, AT_ONCE, PART = 5, 1 << 21, 1 << 24
+
+#: Order and bits of the small models of character classes (grams, kneser_ney, Model, log_perplexity).
 ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
-#: Languages with a model of their own; the rest, and null, share one. Bounds what is broadcast.
+#: Languages with a model of their own; the rest, and null, share one.
 LANGUAGES = 63
-OTHER = "*"
+OTHER = 0
 #: Words that a text needs, and the share of repeated ones that it may have: fixed by the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Signs that count as symbols: fixed by the contract.
@@ -72,27 +79,6 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(lang, gram, n) over all documents; docs has `lang`, already one of a bounded set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    have = held.setdefault(lang, np.zeros(SYMBOLS**ORDER, np.int64))
-                    g = grams(t)
-                    if len(g) > 1 << 16:
-                        have += np.bincount(g, minlength=len(have))
-                    else:
-                        np.add.at(have, g, 1)
-        for lang, have in held.items():
-            g = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(have[g])], names=["lang", "gram", "n"])
-
-    return small_batches(docs.select("lang", text)).mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from the counts of counts (Chen and Goodman 1998)."""
     n1, n2, n3, n4 = (max(1, int((n == k).sum())) for k in (1, 2, 3, 4))
@@ -153,28 +139,6 @@ class Model:
         return self.known
 
 
-def fit(docs: DataFrame, text: str = "text") -> dict[str, Model]:
-    """The models by language. Each is estimated by one task from at most SYMBOLS ** ORDER counts, and returned as
-    its packed arrays; LANGUAGES and that bound limit what the driver holds."""
-    schema = "lang string, k int, grams binary, logp binary, contexts binary, back binary, entropy double"
-    types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-
-    def estimate(table: pa.Table) -> pa.Table:
-        codes, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        at = np.argsort(codes)
-        tables = kneser_ney(codes[at].astype(np.int64), n[at])
-        entropy = float((Model(tables, 0.0).costs(codes[at].astype(np.uint32)) * n[at]).sum() / n.sum())
-        rows = [(table.column("lang")[0].as_py(), k, *(x.tobytes() for x in part), entropy) for k, part in enumerate(tables)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
-
-    tables: dict[str, list] = {}
-    entropy: dict[str, float] = {}
-    for r in count_grams(docs, text).groupBy("lang").applyInArrow(estimate, schema).orderBy("lang", "k").toLocalIterator():
-        tables.setdefault(r.lang, []).append((np.frombuffer(r.grams, np.uint32), np.frombuffer(r.logp, np.float32), np.frombuffer(r.contexts, np.uint32), np.frombuffer(r.back, np.float32)))
-        entropy[r.lang] = r.entropy
-    return {lang: Model(t, entropy[lang]) for lang, t in tables.items()}
-
-
 def _find(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
     return values[at], table[at] == wanted
@@ -223,14 +187,176 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, again, repeated
 
 
+def points(text: str) -> np.ndarray:
+    """Code points with SPAN - 1 blanks in front. White space is a blank; what Spark's strings can't hold is U+FFFD."""
+    c = np.frombuffer((" " * (SPAN - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where((c == 0) | (c >> np.uint32(11) == 0x1B), np.uint32(0xFFFD), c)
+    return np.where((c >= 9) & (c <= 13) | (c == 0x85) | (c == 0xA0), np.uint32(32), c)
+
+
+_odd = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def keys(c: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams that begin at each point but the last SPAN - 1."""
+    n = len(c) - SPAN + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(SPAN):
+        h += c[k : k + n].astype(np.uint64) * _odd[k]
+    return mix(h).view(np.int64)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, key, n, tag) over all documents (lang, text): tag is the hash of the text if but one text has the
+    n-gram, else 0. Equal texts are one."""
+
+    def counted(lang: int, texts: list[str]) -> pa.RecordBatch:
+        held = [points(t) for t in texts]
+        c = np.concatenate(held)
+        size = np.array([len(x) for x in held])
+        begins = np.concatenate([np.arange(end - n, end - SPAN + 1) for end, n in zip(np.cumsum(size), size, strict=True)])
+        tags = np.repeat(np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 | 1 for t in texts], np.int64), size - SPAN + 1)
+        k = keys(c)[begins]
+        at = np.argsort(k)
+        k, tags, begins = k[at], tags[at], begins[at]
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        least = np.minimum.reduceat(tags, cut)
+        tag = np.where(least == np.maximum.reduceat(tags, cut), least, 0)
+        grams = np.ascontiguousarray(c[begins[cut][:, None] + np.arange(SPAN)]).view(f"<U{SPAN}").ravel()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), lang, np.int32)), pa.array(grams.tolist(), pa.string()), pa.array(k[cut]), pa.array(np.diff(np.append(cut, len(k)))), pa.array(tag)], names=["lang", "gram", "key", "n", "tag"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[str]] = {}
+        size = 0
+        for b in batches:
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t:
+                    held.setdefault(lang, []).append(t)
+                    size += len(t)
+                    if size >= AT_ONCE:
+                        yield from (counted(*x) for x in held.items())
+                        held, size = {}, 0
+        yield from (counted(*x) for x in held.items())
+
+    rows = small_batches(docs.select("lang", "text")).mapInArrow(run, "lang int, gram string, key long, n long, tag long")
+    return rows.groupBy("lang", "gram", "key").agg(F.sum("n").alias("n"), _tag())
+
+
+def _tag():
+    return F.when(F.min("tag") == F.max("tag"), F.min("tag")).otherwise(F.lit(0)).alias("tag")
+
+
+def estimate(counts: DataFrame) -> DataFrame:
+    """(lang, gram, key, n, cost): the cost of the last character of each n-gram, by modified Kneser-Ney. Orders below
+    the highest count the different characters that go before."""
+    tables = {SPAN: counts.withColumn("c", F.col("n"))}
+    for k in range(SPAN - 1, 0, -1):
+        tables[k] = stored(tables[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"), _tag()))
+    below = tables[1].groupBy("lang").agg(F.count("*").alias("size")).select("lang", (1 / (F.col("size") + 1)).alias("p0"), F.log(F.col("size") + 1).alias("cost0"), F.lit("").alias("suffix"))
+    for k in range(1, SPAN + 1):
+        n1, n2, n3, n4 = (F.greatest(F.lit(1), F.count_if(F.col("c") == j)) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = tables[k].groupBy("lang").agg(*(F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * more / less)).alias(f"d{j}") for j, (less, more) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)))
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        context = Window.partitionBy("lang", F.expr(f"substring(gram, 1, {k - 1})"))
+        rows = tables[k].join(F.broadcast(d), "lang").withColumn("cut", F.least(cut, F.col("c")))
+        rows = rows.withColumn("total", F.sum("c").over(context)).withColumn("free", F.sum("cut").over(context) / F.col("total"))
+        rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, ["lang", "suffix"])
+        p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("free") * F.col("p0")
+        cost = F.when(F.col("tag") == 0, -F.log(p)).otherwise(F.col("cost0") - F.log("free"))
+        if k < SPAN:
+            below = stored(rows.select("lang", F.col("gram").alias("suffix"), p.alias("p0"), cost.alias("cost0")))
+    return rows.select("lang", "gram", "key", "n", cost.cast("float").alias("cost"))
+
+
 def _grouped(docs: DataFrame, lang: str) -> DataFrame:
-    """docs with `hg_lang`: the language if it is one of the most frequent, else OTHER."""
+    """docs with `lang`: from 1 on the place of the language if it is one of the most frequent, else 0."""
     top = docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
     own = [r[0] for r in top.collect()]  # at most LANGUAGES
-    return docs.withColumn("hg_lang", F.when(F.col(lang).isin(own), F.col(lang)).otherwise(F.lit(OTHER)) if own else F.lit(OTHER))
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, own)), F.col(lang)), F.lit(OTHER)) if own else F.lit(OTHER)
+    return docs.withColumn("lang", place.cast("int"))
+
 
+SCHEMA = "n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+
+class Costs:
+    """The costs of a part's n-grams in one language, as sorted arrays, and the mean cost of a character in the texts
+    that the language's model was counted from. Other n-grams cost as much as any."""
+
+    def __init__(self, keys: np.ndarray, cost: np.ndarray, entropy: float, most: float) -> None:
+        at = np.argsort(keys)
+        self.keys, self.cost, self.entropy, self.most = keys[at], cost[at], entropy, most
+
+    def of(self, k: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(k), self.most)
+        values, hit = _find(self.keys, self.cost, k)
+        return np.where(hit, values, self.most)
+
+
+def measured_cost(models: dict[int, Costs], lang: int, text: str) -> float:
+    """Mean cost of a character of a text that isn't empty, under its language's model.
+
+    A stretch that is clearly not of that language (FOREIGN above what the model's own texts cost) counts with the
+    model that likes it best: quotations in another language are no disorder.
+    """
+    own, k = models[lang], keys(points(text))
+    start = np.arange(0, len(k), STRETCH)
+    size = np.diff(np.append(start, len(k)))
+    cost = np.add.reduceat(own.of(k), start, dtype=np.float64)
+    for i in np.flatnonzero(cost > (own.entropy + FOREIGN) * size):
+        part = k[start[i] : start[i] + size[i]]
+        cost[i] = min(cost[i], *(m.of(part).sum(dtype=np.float64) for m in models.values()))
+    return float(cost.sum()) / len(k)
+
+
+def measure(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """(row, lang, then SCHEMA) of docs (row, lang): one row for each. The text is a field of row, of which the fields
+    in kept come back."""
+    docs = docs.withColumn("text", F.col("row")[text])
+    parts = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART))
+    table = stored(estimate(stored(count_grams(docs))))
+    means = table.groupBy("lang").agg(F.sum(F.col("cost") * F.col("n")) / F.sum("n"), F.max("cost")).collect()  # a row for each language
+    known = {r[0]: (r[1], r[2]) for r in means}
+    # Copies of a row are dealt by the id too; what is asked for and what is scored agree as it hangs on the row alone.
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+        for b in batches:
+            for part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t:
+                    held.setdefault(part, []).append(keys(points(t)))
+                    size += len(t)
+            if size >= AT_ONCE:
+                held = {p: [np.unique(np.concatenate(x))] for p, x in held.items()}
+                size = 0
+        for p, x in held.items():
+            k = np.unique(np.concatenate(x))
+            for at in range(0, len(k), 1 << 16):
+                some = k[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), pa.array(some)], names=["part", "key"])
+
+    asked = small_batches(docs.select("part", "text").repartition(int(parts), "part")).mapInArrow(ask, "part int, key long")
+    costs = asked.join(table.select("key", F.col("lang").alias("of"), "cost"), "key").select("part", "of", "key", "cost")
+    schema = docs.select(F.struct(*(F.col("row")[c].alias(c) for c in kept)).alias("row"), "lang").schema
+    for f in SCHEMA.split(", "):
+        schema = schema.add(*f.split())
+    names, types = arrow_schema(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[1:]))
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        of, key, cost = (found.column(c).to_numpy() for c in ("of", "key", "cost"))
+        models = {lang: Costs(key[of == lang], cost[of == lang], *known[lang]) for lang in known}
+        out = []
+        row = rows.column("row").combine_chunks()
+        for at in range(0, len(row), 1000):
+            for g, t in zip(rows.column("lang").slice(at, 1000).to_pylist(), row.slice(at, 1000).field(text).to_pylist(), strict=True):
+                out.append((g, len(t or ""), *counts(t), measured_cost(models, g, t) if t else None))
+        return pa.Table.from_arrays([pa.StructArray.from_arrays([row.field(c) for c in kept], names=kept), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["row", *names])
+
+    return docs.select("part", "row", "lang").groupBy("part").cogroup(small_batches(costs).groupBy("part")).applyInArrow(score, schema)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -240,15 +366,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     Null and empty texts have no words, fail the base rules and have no perplexity. Null and rare languages share a
     model and a band. Repeated rows are judged alike. An empty table gives no rows.
     """
-    ready = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")), "lang")
-    ready = ready.select("doc_id", F.col("hg_lang").alias("lang"), "text")
-    models = docs.sparkSession.sparkContext.broadcast(fit(ready))
-
-    def work(cols: list[list]) -> Iterator[tuple]:
-        for i, g, t in zip(*cols, strict=True):
-            yield i, g, len(t or ""), *counts(t), log_perplexity(models.value, g, t) if t else None
-
-    scored = stored(map_rows(ready, work, f"doc_id long, lang string, n_chars long, {SCHEMA}"))
+    ready = _grouped(docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).alias("row"), F.col(lang).alias("lang")), "lang")
+    scored = stored(measure(ready, "text", ["doc_id"]).select("row.doc_id", "lang", *(f.split()[0] for f in SCHEMA.split(", "))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 100 * MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     return scored.join(F.broadcast(bands(scored.where("NOT base_failed"))), "lang", "left").select(
@@ -273,19 +392,8 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, all columns, that `judge` would keep."""
-    ready = _grouped(docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).alias("lang"), F.col(text).alias("text")), "lang")
-    models = docs.sparkSession.sparkContext.broadcast(fit(ready.select(F.col("hg_lang").alias("lang"), "text")))
-
-    @F.pandas_udf("n_words long, n_repeat_words long, n_chars long, log_perplexity double")
-    def measure(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for g, t in zip(langs, texts, strict=True):
-            n = counts(t)
-            rows.append((n[0], n[4], len(t or ""), log_perplexity(models.value, g, t) if t else None))
-        return pd.DataFrame(rows, columns=["n_words", "n_repeat_words", "n_chars", "log_perplexity"])
-
+    ready = _grouped(docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).alias("lang")), "lang")
     # Measured once and written with the texts: the bands need all of them before the first row can go.
     passed = (F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= 100 * MOST_REPEATED * F.col("n_words"))
-    measured = stored(ready.select("row", F.col("hg_lang").alias("lang"), measure("hg_lang", "text").alias("m")))
-    flat = measured.select("row", "lang", "m.*").where(passed)
+    flat = stored(measure(ready, text, docs.columns)).where(passed)
     return flat.join(F.broadcast(bands(flat)), "lang").where(_inside()).select("row.*")

@@ -381,6 +381,55 @@ def test_quality_keeps_clean(spark):
     assert j.where("quality = 1 AND kept").count() / j.where("quality = 1").count() > 0.97
 
 
+def slow_costs(texts):
+    """Costs of all n-grams by the definition: interpolated Kneser-Ney, and back-off where one text alone has an n-gram."""
+    span = quality.SPAN
+    count, holders = [Counter() for _ in range(span + 1)], defaultdict(set)
+    for t in texts:
+        s = " " * (span - 1) + t
+        for i in range(len(s) - span + 1):
+            count[span][s[i : i + span]] += 1
+            for k in range(1, span + 1):
+                holders[s[i + span - k : i + span]].add(t)
+    for k in range(span - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+
+    def at(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(count[1]) + 1), np.log(len(count[1]) + 1)
+        n1, n2, n3, n4 = (max(1, sum(v == j for v in count[k].values())) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, *(min(max(0.1, j - (j + 1) * y * b / a), j) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+        same = [v for x, v in count[k].items() if x[:-1] == g[:-1]]
+        free = sum(d[min(v, 3)] for v in same) / sum(same)
+        p0, cost0 = at(g[1:])
+        p = (count[k][g] - d[min(count[k][g], 3)]) / sum(same) + free * p0
+        return p, -np.log(p) if len(holders[g]) > 1 else cost0 - np.log(free)
+
+    return {g: at(g)[1] for g in count[span]}
+
+
+def test_quality_model_is_kneser_ney(spark):
+    texts = ["the cat sat on the mat", "the cat sat on the mat", "the dog sat by the door", "Кот сидит. Кот спит", "кот спит 12 漢字"]
+    d = spark.createDataFrame([(0, t) for t in texts], "lang int, text string")
+    got = {r.gram: r.cost for r in quality.estimate(quality.count_grams(d)).collect()}
+    want = slow_costs(texts)
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-4) for g in want)
+
+
+def test_quality_sees_letters_of_any_script(spark):
+    rnd = random.Random(5)
+    letters = "абвгдежзиклмнопрстуфхцчшыьэюя"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 9))) for _ in range(150)]
+    prose = [" ".join(rnd.choice(words) for _ in range(200)) for _ in range(40)]
+    noise = ["".join(rnd.choice(letters) if c != " " else c for c in t) for t in prose[:4]]
+    rows = [(i, t, "ru") for i, t in enumerate(prose + noise)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert min(got[40 + i].perplexity for i in range(4)) > 1.5 * max(got[i].perplexity for i in range(40))
+    assert all(got[i].kept == (i < 40) for i in got)
+
+
 # Substrings -------------------------------------------------------------------------------------------------------
 
 
