@@ -42,7 +42,8 @@ SIGNS = "#*$%&|<>"
 REACH, LEAST_DOWN, LEAST_UP = 4.0, 0.08, 0.1
 #: How much a band widens for short texts: over the square root of the characters.
 SHORT = 1.0
-#: Characters of a stretch, and its cost a character above a model's own texts from which other models are asked.
+#: Characters of a stretch, and its cost a character above a model's own texts from which other models are asked, and
+#: up to which another model's answer counts.
 STRETCH, FOREIGN = 96, 0.3
 
 
@@ -298,8 +299,9 @@ class Costs:
 def measured_cost(models: dict[int, Costs], lang: int, text: str) -> float:
     """Mean cost of a character of a text that isn't empty, under its language's model.
 
-    A stretch that is clearly not of that language (FOREIGN above what the model's own texts cost) counts with the
-    model that likes it best: quotations in another language are no disorder.
+    A stretch that is clearly not of that language (FOREIGN above what the model's own texts cost) counts with another
+    language's model if that explains it about as well as its own texts (within FOREIGN): quotations in another language
+    are no disorder. The shared model of rare and unknown languages explains nothing.
     """
     own, k = models[lang], keys(points(text))
     start = np.arange(0, len(k), STRETCH)
@@ -307,7 +309,8 @@ def measured_cost(models: dict[int, Costs], lang: int, text: str) -> float:
     cost = np.add.reduceat(own.of(k), start, dtype=np.float64)
     for i in np.flatnonzero(cost > (own.entropy + FOREIGN) * size):
         part = k[start[i] : start[i] + size[i]]
-        cost[i] = min(cost[i], *(m.of(part).sum(dtype=np.float64) for m in models.values()))
+        other = ((m, m.of(part).sum(dtype=np.float64)) for lang_of, m in models.items() if lang_of not in (lang, OTHER))
+        cost[i] = min([cost[i], *(c for m, c in other if c <= (m.entropy + FOREIGN) * size[i])])
     return float(cost.sum()) / len(k)
 
 

@@ -430,6 +430,15 @@ def test_quality_sees_letters_of_any_script(spark):
     assert all(got[i].kept == (i < 40) for i in got)
 
 
+def test_quality_reprices_only_what_another_language_explains():
+    text = "x" * 96
+    k = np.unique(quality.keys(quality.points(text)))
+    flat = lambda cost: quality.Costs(k, np.full(len(k), cost), 1.0, 9.0)
+    models = {quality.OTHER: flat(0.5), 1: flat(5.0), 2: flat(3.0)}
+    assert quality.measured_cost(models, 1, text) == pytest.approx(5.0)  # neither the shared model nor a poor match counts
+    assert quality.measured_cost(models | {2: flat(1.2)}, 1, text) == pytest.approx(1.2)
+
+
 # Substrings -------------------------------------------------------------------------------------------------------
 
 
