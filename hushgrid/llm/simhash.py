@@ -135,6 +135,18 @@ def links(fps: DataFrame) -> DataFrame:
     return first.where("b IS NOT NULL").unionByName(second).select("a", "b").distinct()
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of each fingerprint in fps (doc_id, fp): the smallest doc_id of its component, and the
+    component's smallest fingerprint."""
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    tied = connected_components(links(classes.select("fp")))
+    tied = tied.join(classes, tied.node == classes.fp).select("fp", "component", "rep")
+    least = tied.groupBy("component").agg(F.min("rep").alias("least"))
+    moved = tied.join(least, "component").select("fp", "least", "component")
+    # Stored, so that the last join shuffles both sides, and Spark can split the rows of a fingerprint with many copies.
+    return stored(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -143,21 +155,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     no member has one. Other columns are ignored. An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, doc_id, text))
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    tied = connected_components(links(classes.select("fp")))
-    tied = tied.join(classes, tied.node == classes.fp).select("fp", "component", "rep")
-    least = tied.groupBy("component").agg(F.min("rep").alias("least"))
-    moved = tied.join(least, "component").select("fp", "least")
-    # Stored, so that the last join shuffles both sides, and Spark can split the rows of a fingerprint with many copies.
-    of_class = stored(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return fps.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(_classes(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, and of repeated rows any one. Rows without
-    doc_id go, if their component has a row with one."""
-    no_id = F.lit(-(1 << 63))
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", no_id).alias("key")).distinct()
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), no_id).alias("key"), F.struct(*docs.columns).alias("row"))
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    """docs with one row of each component: one of its smallest doc_id, and of rows with that id the one of the smallest
+    text hash. A component without any id keeps a row as well.
+
+    Rows are told apart by (doc_id, hash of the text), so texts that share an id or have none are judged each by itself.
+    """
+    key, mark = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(key.alias("hg_id"), mark.alias("hg_mark"), F.struct(*docs.columns).alias("row"))
+
+    def work(cols: list[list]) -> Iterator[tuple]:
+        for i, m, t in zip(*cols, strict=True):
+            f = fingerprint(t)
+            yield i, m, f - (1 << 64) if f >> 63 else f
+
+    fps = stored(map_rows(docs.select(key.alias("doc_id"), mark.alias("mark"), F.col(text).alias("text")), work, "doc_id long, mark long, fp long"))
+    # min of a struct puts null first, so an id is wanted before the mark; components have few rows after the map side.
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("hg_id"), F.col("mark").alias("hg_mark"))).alias("pick")
+    kept = fps.join(_classes(fps), "fp").groupBy("root").agg(pick).select("pick.hg_id", "pick.hg_mark")
+    same = F.col("r.hg_id").eqNullSafe(F.col("k.hg_id")) & (F.col("r.hg_mark") == F.col("k.hg_mark"))
+    met = rows.alias("r").join(kept.alias("k"), same, "left_semi")
+    return met.dropDuplicates(["hg_id", "hg_mark"]).select("row.*")

@@ -228,6 +228,14 @@ def test_one_of_each(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_tells_texts_apart(spark):
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(60))
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (1, text(5)), (1, text(6)), (2, text(6)), (None, text(6)), (None, None), (None, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text or "" for r in kept) == sorted(["", *(text(k) for k in range(7))])
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 1]
+
+
 # Top-k ------------------------------------------------------------------------------------------------------------
 
 
