@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .batches import held_out, map_rows, small_batches
 
-#: Labelled documents that the model is fitted on (about), languages that it may hold (the most frequent), buckets.
-SAMPLE, LANGUAGES, BUCKETS = 20_000, 64, 1 << 15
+#: Labelled documents of a language that the model is fitted on (about), and buckets.
+SAMPLE, BUCKETS = 5_000, 1 << 15
 #: Steps of expectation-maximisation, and the penalty for a language more, times the log of the trigrams.
 STEPS, PENALTY = 12, 1.5
 NONE = "und"
@@ -48,12 +48,24 @@ def trigrams(text: str) -> np.ndarray:
 
 
 class Model:
-    """Names of the languages, and a matrix (bucket x language) of log probabilities."""
+    """Names of the languages, and the log probabilities of buckets by language: those counted, sorted by bucket, and
+    one for all that a language lacks."""
 
-    def __init__(self, names: list[str], counts: np.ndarray) -> None:
+    def __init__(self, names: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
         self.names = names
-        smooth = counts + 0.1
-        self.logp = np.log(smooth / smooth.sum(axis=0, keepdims=True)).astype(np.float32)
+        total = np.bincount(lang, n, len(names)) + 0.1 * BUCKETS
+        at = np.argsort(bucket, kind="stable")
+        self.lang, self.value = lang[at], np.log((n[at] + 0.1) / total[lang[at]]).astype(np.float32)
+        self.begin = np.searchsorted(bucket[at], np.arange(BUCKETS + 1))
+        self.lacking = np.log(0.1 / total).astype(np.float32)
+
+    def rows(self, buckets: np.ndarray) -> np.ndarray:
+        """Log probabilities (bucket x language)."""
+        out = np.tile(self.lacking.astype(np.float64), (len(buckets), 1))
+        size = self.begin[buckets + 1] - self.begin[buckets]
+        where = np.repeat(self.begin[buckets] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(buckets)), size), self.lang[where]] = self.value[where]
+        return out
 
     def mixture(self, text: str | None) -> dict[str, float]:
         """Shares of the languages of a text, largest first; empty if it has no letter or nothing was learned."""
@@ -62,7 +74,7 @@ class Model:
         n = np.bincount(trigrams(text), minlength=BUCKETS)
         at = np.flatnonzero(n)
         n = n[at].astype(np.float64)
-        logp = self.logp[at].astype(np.float64)
+        logp = self.rows(at)
         top = logp.max(axis=1, keepdims=True)
         p = np.exp(logp - top)
         likelihood = n @ (logp - top)
@@ -87,14 +99,12 @@ class Model:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from text and lang of about SAMPLE documents outside the held-out fold, picked by the hash of the id."""
-    known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id))
-    top = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()  # at most LANGUAGES rows
-    names = sorted(r[0] for r in top)
-    if not names:
-        return Model([], np.zeros((BUCKETS, 0)))
-    share = min(1.0, SAMPLE / sum(r["count"] for r in top))
-    picked = known.where(F.col(lang).isin(names) & (F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < share * 1_000_000))
+    """Learns from text and lang of about SAMPLE documents of each language outside the held-out fold, picked by the
+    hash of id and text. Languages without a trigram are left out."""
+    known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text <> ''")
+    share = known.groupBy("lang").agg((F.lit(SAMPLE) / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / (1 << 40)
+    picked = known.join(F.broadcast(share), "lang").where(drawn < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -106,11 +116,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    rows = small_batches(picked.select(F.col(lang).alias("lang"), F.col(text).alias("text"))).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS, len(names)))
-    found = rows.toPandas()  # at most BUCKETS x LANGUAGES rows
-    counts[found.bucket.to_numpy(), [names.index(x) for x in found.lang]] = found.n.to_numpy()
-    return Model(names, counts)
+    rows = small_batches(picked.select("lang", "text")).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = rows.toPandas()  # at most BUCKETS rows for each language
+    names = sorted(found.lang.unique())
+    place = {x: k for k, x in enumerate(names)}
+    return Model(names, np.array([place[x] for x in found.lang], np.int64), found.bucket.to_numpy(np.int64), found.n.to_numpy(np.int64))
 
 
 def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -61,6 +61,16 @@ def test_toxicity(spark, docs, empty):
 # Language ---------------------------------------------------------------------------------------------------------
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    word = lambda k, j: "".join(chr(0x4E00 + 40 * k + (7 * j + i * i) % 40) for i in range(4))
+    rows = [(k * 100_000 + i, " ".join(word(k, i + j) for j in range(30)), f"l{k:02}") for k in range(70) for i in range(20)]
+    rows += [(10**8 + i, "the cat sat on the mat and the dog sat by the door", "zz") for i in range(20_000)] + [(10**9 + i, "", "empty") for i in range(20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == [*(f"l{k:02}" for k in range(70)), "zz"]
+    assert all(next(iter(model.mixture(rows[k * 20][1]))) == f"l{k:02}" for k in range(70))
+
+
 def test_language(spark, docs, empty):
     d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
     got = language.languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
