@@ -18,6 +18,9 @@ from .batches import map_rows
 
 #: Elements whose content is no text.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select datalist".split())
+#: Those of them whose content is plain characters up to their own end tag, and what a head may hold.
+RAW = frozenset("script style textarea title".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that don't end a block.
@@ -96,8 +99,8 @@ def blocks(html: str) -> list[Block]:
         if texts:
             text = " ".join(unescape("".join(texts)).split())
             if text:
-                top = next(x for x in reversed(stack) if x.tag not in INLINE)
-                holder = next((x for x in reversed(stack) if x.tag not in INLINE and x is not top), top)
+                top = next(x for x in reversed(stack) if x.tag not in INLINE and not x.hidden)
+                holder = next((x for x in reversed(stack) if x.tag not in INLINE and not x.hidden and x is not top), top)
                 out.append(Block(text, top.tag, linked, top.boiler, top.content, top.landmark, holder.number))
             texts, linked = [], 0
 
@@ -110,6 +113,8 @@ def blocks(html: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
+        if stack[-1].tag == "head" and raw.strip():
+            pop("head")
         if raw and not stack[-1].hidden:
             texts.append(raw)
             if open_tags.get("a"):
@@ -124,19 +129,29 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         if m["close"]:
-            if tag not in INLINE:
+            closed = next(x for x in reversed(stack) if x.tag == tag) if open_tags.get(tag) else None
+            if tag not in INLINE and tag not in HIDDEN and not (closed or stack[-1]).hidden:
                 flush()
-            if open_tags.get(tag):
+            if closed:
                 pop(tag)
             continue
+        if open_tags.get("head") and (tag == "body" or stack[-1].tag == "head" and tag not in HEAD):
+            pop("head")  # its end tag may be left out
         if tag == "br":
             add("\n")
             continue
-        if tag in HIDDEN and tag != "head":
+        if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if tag not in INLINE:
+        if tag in HIDDEN and tag != "head":
+            if not (tag in ("svg", "math") and m["attrs"].endswith("/")):
+                number += 1
+                stack.append(_Open(tag, stack[-1].boiler, stack[-1].content, stack[-1].landmark, number, True))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+            continue
+        within = stack[-1].hidden and any(x.tag in HIDDEN and x.tag != "head" for x in stack)
+        if tag not in INLINE and not within:
             flush()
             if tag in _ends_p and open_tags.get("p"):
                 pop("p")

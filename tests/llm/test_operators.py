@@ -116,6 +116,15 @@ def test_html(spark):
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got) and html_text.extract(pages.where("1 = 0")).count() == 0
 
 
+def test_html_unclosed_and_empty_elements():
+    long = "A paragraph that is long enough to be content, surely it is."
+    for icon in ('<svg class="i" />', "<math/>", "<svg><path d=x></path></svg>"):
+        assert html_text.main_text(f"<body><article><p>Begin {icon} of it.</p><p>{long}</p></article></body>") == f"Begin of it.\n\n{long}"
+    for tag in ("object", "canvas", "audio", "video", "select", "template", "noscript"):
+        assert html_text.main_text(f"<body><article><div><{tag}>gone</div><p>{long}</p></article></body>") == long
+    assert html_text.main_text(f"<head><title>T</title><meta name=x><article><p>{long}</p></article>") == long
+
+
 def test_html_articles(spark):
     """On the given pages: all text of the article, and nothing else."""
     import html
