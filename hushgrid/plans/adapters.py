@@ -133,8 +133,8 @@ def way_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips between corners of the street grids, a fifth of them within 60 meters, some over far."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    """A trip of each order between corners of the street grids, some of them over far."""
+    o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey") % 50
     lng, lat = -122.42 + c * 0.1 + F.floor(k / 50) % 10 * 0.001 + 0.0001, 37.7 + F.floor(k / 500) % 10 * 0.0009 + 0.0001
     return o.select(k.cast("string").alias("trip_id"), lng.alias("from_lng"), lat.alias("from_lat"), (lng + F.floor(k / 50) % 7 * 0.0015 + F.when(k % 350 == 0, 0.2).otherwise(0)).alias("to_lng"), (lat + 0.004).alias("to_lat"))

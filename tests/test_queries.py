@@ -41,3 +41,12 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - queries.ORACLE_SQL.keys()))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_every_order_is_a_trip(spark):
+    got = {r.trip_id for r in queries.QUERIES["g4_planned_walks"](spark, SF).select("trip_id").distinct().collect()}
+    assert got == {str(r.o_orderkey) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+
+
+def test_search_budget_takes_every_reading(spark):
+    assert queries.QUERIES["w4_search_budget"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
