@@ -1,164 +1,55 @@
 """Quality rules: counts of words, signs and repetitions, and n-gram perplexity.
 
 The language model is a modified Kneser-Ney model of order SPAN over characters as they are, one for each language.
-Spark counts the n-grams of all documents, combined on the map side, and estimates the model by aggregations and joins
-over tables of n-grams, so it grows with the corpus and no task or driver holds a language. Each part of the documents
-asks for the costs of its own distinct n-grams by a join, and keeps them as sorted arrays of n-gram hashes beside their
-costs. An n-gram that only one text has costs what it would if that text were unknown: it backs off to the longest
-ending that other texts have too, or no text would look disordered to a model counted from it. A document is rejected
-when its perplexity a character lies outside its language's band: too high is disorder, too low is repetition. A band
-is set from the distribution of all documents of that language.
+Spark counts the n-grams, combined on the map side, and estimates the model by aggregations and joins over tables of
+n-grams, so it grows with the corpus and no task or driver holds a language while it is made. The model is counted from
+every text with at most one sign in ten words (SIGN_SHARE, a published rule for prose); every text is judged. Counted
+from all, it would find the commonest kinds of disorder quite usual. An n-gram that only one text has is not stored: it
+backs off to the longest ending that other texts have too, or no text would look disordered to a model counted from it.
+
+The model is stored as a sorted array of n-gram hashes beside costs and back-off weights. Up to BROADCAST n-grams every
+worker gets the whole array; a larger model stays a table, and each part of the documents joins its own distinct n-grams
+to it. Both ways give the same costs. A document is rejected when its perplexity a character lies outside its language's
+band: too high is disorder, too low is repetition. A band is set from the distribution of all documents of that language.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.shared import stored
-from .batches import arrow_schema, mix, small_batches, words_of
+from .batches import mix, small_batches, words_of
 
-#: Characters of an n-gram; characters that are counted at once by a task; characters of a part of the documents.
-SPAN, AT_ONCE, PART = 5, 1 << 21, 1 << 24
-
-#: Order and bits of the small models of character classes (grams, kneser_ney, Model, log_perplexity).
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-#: Languages with a model of their own; the rest, and null, share one.
-LANGUAGES = 63
-OTHER = 0
+#: Characters of an n-gram; characters that are worked on at once; new n-grams that wait to be sorted in; n-grams that a
+#: task counts before it hands them on.
+SPAN, AT_ONCE, WAITING, VOCABULARY = 5, 1 << 16, 1 << 18, 1 << 21
+#: Most n-grams of a model that workers get whole (16 bytes each), and characters of a part of the documents beyond that.
+BROADCAST, PART = 1 << 22, 1 << 24
 #: Words that a text needs, and the share of repeated ones that it may have: fixed by the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Signs that count as symbols: fixed by the contract.
 SIGNS = "#*$%&|<>"
-#: A band reaches this many robust deviations from the language's median log perplexity, and at least so far down
-#: and up. Passages in another language raise the perplexity of sound texts, so it may rise further than fall.
-REACH, LEAST_DOWN, LEAST_UP = 4.0, 0.08, 0.1
-#: How much a band widens for short texts: over the square root of the characters.
-SHORT = 1.0
-#: Characters of a stretch, and its cost a character above a model's own texts from which other models are asked, and
-#: up to which another model's answer counts.
-STRETCH, FOREIGN = 96, 0.3
-
-
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """Class of each code point of the basic plane: a-z with their accented forms 0-25, capitals 26, white space 27,
-    digits 28, sentence signs 29, other signs 30, other letters 31. Higher code points have class 31."""
-    out = np.full(0x10000, 30, np.uint8)
-    for c in range(0x10000):
-        ch = chr(c)
-        kind = unicodedata.category(ch)
-        if ch.isspace() or kind[0] == "C":
-            out[c] = 27
-        elif kind == "Lu":
-            out[c] = 26
-        elif kind[0] in "LM":
-            base = unicodedata.normalize("NFKD", ch)[0]
-            out[c] = ord(base) - 97 if "a" <= base <= "z" else 31
-        elif kind[0] == "N":
-            out[c] = 28
-        elif ch in ".,;:!?'\"-()":
-            out[c] = 29
-    return out
-
-
-def grams(text: str) -> np.ndarray:
-    """The packed n-grams that end at each character; white space is thought in front."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.full(len(points) + ORDER - 1, 27, np.uint32)
-    s[ORDER - 1 :] = np.where(points < 0x10000, classes()[np.minimum(points, 0xFFFF)], 31)
-    out = s[: len(points)]
-    for k in range(1, ORDER):
-        out = (out << np.uint32(BITS)) | s[k : k + len(points)]
-    return out
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Discounts of counts 0, 1, 2 and 3 or more, from the counts of counts (Chen and Goodman 1998)."""
-    n1, n2, n3, n4 = (max(1, int((n == k).sum())) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    d = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.clip(d, [0, 0.1, 0.1, 0.1], [0, 1, 2, 3])
-
-
-def kneser_ney(codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: sorted n-gram hashes and their log probabilities, sorted contexts and their log
-    back-off weights. Orders below the highest count the different characters that go before."""
-    tables = [(codes, n)]
-    for k in range(ORDER - 1, 0, -1):
-        tables.insert(0, np.unique(tables[0][0] & (SYMBOLS**k - 1), return_counts=True))
-    out, lower = [], None
-    for k, (g, c) in enumerate(tables, 1):
-        d = _discounts(c)
-        kept = c - d[np.minimum(c, 3)]
-        context, where = np.unique(g >> BITS, return_inverse=True)
-        total = np.bincount(where, c)
-        free = np.bincount(where, d[np.minimum(c, 3)]) / total
-        if lower is None:
-            below = np.full(len(g), 1 / SYMBOLS)
-        else:
-            below = lower[np.searchsorted(tables[k - 2][0], g & (SYMBOLS ** (k - 1) - 1))]
-        lower = kept / total[where] + free[where] * below
-        out.append((g.astype(np.uint32), np.log(lower).astype(np.float32), context.astype(np.uint32), np.log(free).astype(np.float32)))
-    return out
-
-
-class Model:
-    """One language's tables (see kneser_ney), and the mean cost of a character in the texts it was counted from."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, ...]], entropy: float) -> None:
-        self.tables, self.entropy = tables, entropy
-        self.known: np.ndarray | None = None
-
-    def costs(self, g: np.ndarray) -> np.ndarray:
-        """-log p of the last character of each n-gram."""
-        out, at, back = np.empty(len(g)), np.arange(len(g)), np.zeros(len(g))
-        for k in range(ORDER, 0, -1):
-            table, logp, contexts, weight = self.tables[k - 1]
-            own = g & np.uint32(SYMBOLS**k - 1)
-            p, hit = _find(table, logp, own)
-            out[at[hit]] = -(p[hit] + back[hit])
-            g, at, back, own = g[~hit], at[~hit], back[~hit], own[~hit]
-            if not len(g):
-                return out
-            w, known = _find(contexts, weight, own >> np.uint32(BITS))
-            back = back + np.where(known, w, 0)
-        out[at] = np.log(SYMBOLS) - back
-        return out
-
-    def every(self) -> np.ndarray:
-        """The costs of all SYMBOLS ** ORDER n-grams, looked up once by a worker that meets the language: 4 MB."""
-        if self.known is None:
-            self.known = self.costs(np.arange(SYMBOLS**ORDER, dtype=np.uint32)).astype(np.float32)
-        return self.known
-
-
-def _find(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return values[at], table[at] == wanted
-
-
-def log_perplexity(models: dict[str, Model], lang: str, text: str) -> float:
-    """Mean of -log p over the characters of a text that isn't empty, under its language's model.
-
-    A stretch that is clearly not of that language (FOREIGN above what the model's own texts cost) counts with the
-    model that likes it best: quotations in another language are no disorder.
-    """
-    own, g = models[lang], grams(text)
-    start = np.arange(0, len(g), STRETCH)
-    size = np.diff(np.append(start, len(g)))
-    cost = np.add.reduceat(own.every()[g], start, dtype=np.float64)
-    for k in np.flatnonzero(cost > (own.entropy + FOREIGN) * size):
-        part = g[start[k] : start[k] + size[k]]
-        cost[k] = min(cost[k], *(m.every()[part].sum(dtype=np.float64) for m in models.values()))
-    return float(cost.sum()) / len(g)
+#: Signs a word up to which the model is counted from a text.
+SIGN_SHARE = 0.1
+#: A band reaches this many robust deviations from the language's median log perplexity, and at least so far down and up.
+#: Passages in another language raise the perplexity of sound texts, so it may rise further than fall.
+REACH, LEAST_DOWN, LEAST_UP = 5.0, 0.3, 0.6
+#: Steps of log perplexity that a band is set in.
+GRAIN = 1000
+#: Cost of a character in a language without any counted text: one of all code points.
+UNKNOWN = float(np.log(0x110000))
+
+_TOP = np.uint64((1 << 64) - 1)
+_odd = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_order = mix(np.arange(101, SPAN + 102, dtype=np.uint64))
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -167,7 +58,6 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
         return 0, 0, 0, 0, 0
     words = words_of(text)
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    symbols = sum(map(text.count, SIGNS))
     again, seen = 0, set()
     for line in text.split("\n"):
         if line in seen:
@@ -185,62 +75,165 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
             if w in twice:
                 repeated += k + 3 - max(k, upto)
                 upto = k + 3
-    return len(words), chars, symbols, again, repeated
+    return len(words), chars, sum(map(text.count, SIGNS)), again, repeated
+
+
+def counted(text: str) -> bool:
+    """Whether the model is counted from a text."""
+    signs = sum(map(text.count, SIGNS))
+    return not signs or signs <= SIGN_SHARE * len(words_of(text))
+
+
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Of each code point itself; white space is a blank, and what Spark's strings can't hold is U+FFFD."""
+    c = np.arange(0x110000, dtype=np.uint32)
+    c[[*range(9, 14), 0x85, 0xA0]] = 32
+    c[0] = c[0xD800:0xE000] = 0xFFFD
+    return c
 
 
 def points(text: str) -> np.ndarray:
-    """Code points with SPAN - 1 blanks in front. White space is a blank; what Spark's strings can't hold is U+FFFD."""
-    c = np.frombuffer((" " * (SPAN - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where((c == 0) | (c >> np.uint32(11) == 0x1B), np.uint32(0xFFFD), c)
-    return np.where((c >= 9) & (c <= 13) | (c == 0x85) | (c == 0xA0), np.uint32(32), c)
+    """Folded code points with SPAN - 1 blanks in front."""
+    return _folded()[np.frombuffer((" " * (SPAN - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-_odd = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+class Stretch:
+    """Some texts' code points end to end, each text behind SPAN - 1 characters that aren't its own (see points), and
+    the hashes of the n-grams that end at each own character."""
 
+    def __init__(self, texts: list[np.ndarray], langs: list[str]) -> None:
+        self.points = np.concatenate(texts).astype(np.uint64)
+        size = np.array([len(t) for t in texts]) - (SPAN - 1)
+        begin = np.cumsum(size + SPAN - 1) - size
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        self.at = np.arange(len(self.text)) + np.repeat(begin - (np.cumsum(size) - size), size)
+        self.seed = np.array([_seed(x) for x in langs], np.uint64)[self.text]
 
-def keys(c: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the n-grams that begin at each point but the last SPAN - 1."""
-    n = len(c) - SPAN + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SPAN):
-        h += c[k : k + n].astype(np.uint64) * _odd[k]
-    return mix(h).view(np.int64)
+    def keys(self, order: int, which: np.ndarray | None = None, back: int = 0) -> np.ndarray:
+        """Hashes of the n-grams of an order that end at the characters, or `back` characters before them."""
+        if which is None:
+            h = np.zeros(len(self.points), np.uint64)
+            for k in range(order):
+                h[k + back :] += self.points[: len(h) - k - back] * _odd[k]
+            h = h[self.at]
+        else:
+            at, h = self.at[which] - back, np.zeros(len(which), np.uint64)
+            for k in range(order):
+                h += self.points[at - k] * _odd[k]
+        return mix(h ^ (self.seed if which is None else self.seed[which]) ^ _order[order])
+
+
+class HashArray:
+    """A sorted array of hashes with a directory of their leading bits."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(1, min(22, len(keys).bit_length() + 1))
+        self.keys, self.shift = np.append(keys, _TOP), np.uint64(64 - bits)
+        size = np.bincount(keys >> self.shift, minlength=1 << bits)
+        self.first = (np.cumsum(size) - size).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there."""
+        at = self.first[wanted >> self.shift]
+        there = self.keys[at]
+        behind = np.flatnonzero(there < wanted)
+        while len(behind):
+            at[behind] += 1
+            there[behind] = found = self.keys[at[behind]]
+            behind = behind[found < wanted[behind]]
+        return at, there == wanted
+
+
+class Vocabulary:
+    """Counts of a task's n-grams of the highest order: sorted hashes, and for each its language, characters, number of
+    occurrences, and the text that has it, or 0 if there are several. New n-grams wait until there are many."""
+
+    def __init__(self) -> None:
+        self.table = HashArray(np.zeros(0, np.uint64))
+        self.n, self.tag = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.lang, self.grams = np.zeros(0, object), np.zeros((0, SPAN), np.uint32)
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def __len__(self) -> int:
+        return len(self.n) + self.waiting
+
+    def add(self, s: Stretch, langs: list[str], tags: np.ndarray) -> None:
+        keys, tag = s.keys(SPAN), tags[s.text]
+        at, known = self.table.find(keys)
+        hit, new = at[known], np.flatnonzero(~known)
+        self.n += np.bincount(hit, minlength=len(self.n))
+        self.tag[hit[self.tag[hit] != tag[known]]] = 0
+        if len(new):
+            self.new.append((keys[new], tag[new], np.array(langs, object)[s.text[new]], s.points[s.at[new][:, None] + np.arange(1 - SPAN, 1)].astype(np.uint32)))
+            self.waiting += len(new)
+            if self.waiting >= WAITING:
+                self.merge()
+
+    def merge(self) -> None:
+        if not self.new:
+            return
+        keys, tag, lang, grams = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        at = np.argsort(keys)
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(keys[at]) != 0)))
+        least = np.minimum.reduceat(tag[at], cut)
+        tag = np.where(least == np.maximum.reduceat(tag[at], cut), least, 0)
+        n, first = np.diff(np.append(cut, len(at))), at[cut]
+        keys = np.concatenate((self.table.keys[:-1], keys[first]))
+        order = np.argsort(keys, kind="stable")
+        self.n, self.tag, self.lang, self.grams = (np.concatenate(x)[order] for x in ((self.n, n), (self.tag, tag), (self.lang, lang[first]), (self.grams, grams[first])))
+        self.table, self.new, self.waiting = HashArray(keys[order]), [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        grams = np.ascontiguousarray(self.grams).view(f"<U{SPAN}").ravel()
+        return pa.RecordBatch.from_arrays([pa.array(self.lang.tolist(), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(self.n), pa.array(self.tag)], names=["lang", "gram", "n", "tag"])
+
+
+def _pieces(texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the text, piece) of at most AT_ONCE own characters; a later piece has the former's end in front."""
+    for k, t in enumerate(texts):
+        for at in range(0, len(t) - SPAN + 1, AT_ONCE):
+            yield k, t[at : at + AT_ONCE + SPAN - 1]
+
+
+def _stretches(texts: list[np.ndarray], langs: list[str]) -> Iterator[tuple[np.ndarray, Stretch]]:
+    """Stretches of about AT_ONCE characters at most twice, and the numbers of the texts in each."""
+    held, size = [], 0
+    for k, piece in _pieces(texts):
+        held.append((k, piece))
+        size += len(piece)
+        if size >= AT_ONCE:
+            yield np.array([x for x, _ in held]), Stretch([p for _, p in held], [langs[x] for x, _ in held])
+            held, size = [], 0
+    if held:
+        yield np.array([x for x, _ in held]), Stretch([p for _, p in held], [langs[x] for x, _ in held])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, key, n, tag) over all documents (lang, text): tag is the hash of the text if but one text has the
-    n-gram, else 0. Equal texts are one."""
-
-    def counted(lang: int, texts: list[str]) -> pa.RecordBatch:
-        held = [points(t) for t in texts]
-        c = np.concatenate(held)
-        size = np.array([len(x) for x in held])
-        begins = np.concatenate([np.arange(end - n, end - SPAN + 1) for end, n in zip(np.cumsum(size), size, strict=True)])
-        tags = np.repeat(np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 | 1 for t in texts], np.int64), size - SPAN + 1)
-        k = keys(c)[begins]
-        at = np.argsort(k)
-        k, tags, begins = k[at], tags[at], begins[at]
-        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        least = np.minimum.reduceat(tags, cut)
-        tag = np.where(least == np.maximum.reduceat(tags, cut), least, 0)
-        grams = np.ascontiguousarray(c[begins[cut][:, None] + np.arange(SPAN)]).view(f"<U{SPAN}").ravel()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), lang, np.int32)), pa.array(grams.tolist(), pa.string()), pa.array(k[cut]), pa.array(np.diff(np.append(cut, len(k)))), pa.array(tag)], names=["lang", "gram", "key", "n", "tag"])
+    """(lang, gram, n, tag) over the counted texts of docs (lang, text): tag is the hash of the text if but one text has
+    the n-gram, else 0. Equal texts are one text, but every copy's n-grams count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[str]] = {}
-        size = 0
+        found = Vocabulary()
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    held.setdefault(lang, []).append(t)
-                    size += len(t)
-                    if size >= AT_ONCE:
-                        yield from (counted(*x) for x in held.items())
-                        held, size = {}, 0
-        yield from (counted(*x) for x in held.items())
+            rows = [(g, t) for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and counted(t)]
+            langs = [g for g, _ in rows]
+            tags = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 33 | 1 for _, t in rows], np.int32)
+            for k, s in _stretches([points(t) for _, t in rows], langs):
+                found.add(s, [langs[x] for x in k], tags[k])
+                if len(found) >= VOCABULARY:
+                    yield found.rows()
+                    found = Vocabulary()
+        yield found.rows()
 
-    rows = small_batches(docs.select("lang", "text")).mapInArrow(run, "lang int, gram string, key long, n long, tag long")
-    return rows.groupBy("lang", "gram", "key").agg(F.sum("n").alias("n"), _tag())
+    rows = small_batches(docs.select("lang", "text")).mapInArrow(run, "lang string, gram string, n long, tag int")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"), _tag())
 
 
 def _tag():
@@ -248,155 +241,175 @@ def _tag():
 
 
 def estimate(counts: DataFrame) -> DataFrame:
-    """(lang, gram, key, n, cost): the cost of the last character of each n-gram, by modified Kneser-Ney. Orders below
-    the highest count the different characters that go before."""
+    """(lang, gram, cost, back) of the n-grams of all orders that several texts have, and of the empty one for each
+    language: the cost of the last character after the others, by modified Kneser-Ney (Chen and Goodman 1998), and what a
+    character more costs that never followed. Orders below the highest count the different characters that go before."""
     tables = {SPAN: counts.withColumn("c", F.col("n"))}
     for k in range(SPAN - 1, 0, -1):
         tables[k] = stored(tables[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"), _tag()))
-    below = tables[1].groupBy("lang").agg(F.count("*").alias("size")).select("lang", (1 / (F.col("size") + 1)).alias("p0"), F.log(F.col("size") + 1).alias("cost0"), F.lit("").alias("suffix"))
+    below = tables[1].groupBy("lang").agg(F.count("*").alias("size")).select("lang", F.lit("").alias("gram"), (1 / (F.col("size") + 1)).alias("p"), F.lit(0).alias("tag"))
+    out = None
     for k in range(1, SPAN + 1):
         n1, n2, n3, n4 = (F.greatest(F.lit(1), F.count_if(F.col("c") == j)) for j in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         d = tables[k].groupBy("lang").agg(*(F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * more / less)).alias(f"d{j}") for j, (less, more) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = Window.partitionBy("lang", F.expr(f"substring(gram, 1, {k - 1})"))
-        rows = tables[k].join(F.broadcast(d), "lang").withColumn("cut", F.least(cut, F.col("c")))
-        rows = rows.withColumn("total", F.sum("c").over(context)).withColumn("free", F.sum("cut").over(context) / F.col("total"))
-        rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, ["lang", "suffix"])
-        p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("free") * F.col("p0")
-        cost = F.when(F.col("tag") == 0, -F.log(p)).otherwise(F.col("cost0") - F.log("free"))
-        if k < SPAN:
-            below = stored(rows.select("lang", F.col("gram").alias("suffix"), p.alias("p0"), cost.alias("cost0")))
-    return rows.select("lang", "gram", "key", "n", cost.cast("float").alias("cost"))
+        rows = tables[k].join(d, "lang").withColumn("cut", F.least(cut, F.col("c"))).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        # Sums by context are combined on the map side, and a context is a key of its own on either side of the join.
+        sums = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("cuts"))
+        sums = stored(sums.select("lang", "context", "total", (F.col("cuts") / F.col("total")).alias("free")))
+        done = below.join(sums.select("lang", F.col("context").alias("gram"), "free"), ["lang", "gram"], "left").where("tag = 0")
+        done = done.select("lang", "gram", (-F.log("p")).alias("cost"), F.coalesce(-F.log("free"), F.lit(0.0)).alias("back"))
+        out = done if out is None else out.unionByName(done)
+        rows = rows.join(sums, ["lang", "context"]).withColumn("suffix", F.expr("substring(gram, 2)"))
+        rows = rows.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p0")), ["lang", "suffix"])
+        below = rows.select("lang", "gram", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("free") * F.col("p0")).alias("p"), "tag")
+        below = stored(below) if k < SPAN else below
+    return out.unionByName(below.where("tag = 0").select("lang", "gram", (-F.log("p")).alias("cost"), F.lit(0.0).alias("back")))
+
+
+def keyed(model: DataFrame) -> DataFrame:
+    """(key, cost, back): an estimated model by the hashes of its n-grams."""
+
+    @F.pandas_udf("long")
+    def key(langs: pd.Series, grams: pd.Series) -> pd.Series:
+        seeds = {g: _seed(g) for g in langs.unique()}
+        seed = np.array([seeds[g] for g in langs], np.uint64)
+        size = grams.str.len().to_numpy(np.int64)
+        c = np.frombuffer("".join(grams.str.rjust(SPAN)).encode("utf-32-le"), np.uint32).reshape(-1, SPAN)[:, ::-1]
+        c = np.where(np.arange(SPAN) < size[:, None], c, 0).astype(np.uint64)
+        return pd.Series(mix((c * _odd).sum(axis=1, dtype=np.uint64) ^ seed ^ _order[size]).view(np.int64))
+
+    return model.select(key("lang", "gram").alias("key"), F.col("cost").cast("float").alias("cost"), F.col("back").cast("float").alias("back"))
+
 
+class Costs:
+    """Costs and back-off weights beside a sorted array of hashes."""
 
-def _grouped(docs: DataFrame, lang: str) -> DataFrame:
-    """docs with `lang`: from 1 on the place of the language if it is one of the most frequent, else 0."""
-    top = docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    own = [r[0] for r in top.collect()]  # at most LANGUAGES
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, own)), F.col(lang)), F.lit(OTHER)) if own else F.lit(OTHER)
-    return docs.withColumn("lang", place.cast("int"))
+    def __init__(self, keys: np.ndarray, cost: np.ndarray, back: np.ndarray) -> None:
+        keys = keys.view(np.uint64)
+        at = np.argsort(keys)
+        self.table, self.cost, self.back = HashArray(keys[at]), np.append(cost[at], np.float32(0)), np.append(back[at], np.float32(0))
+
+    def of(self, s: Stretch) -> np.ndarray:
+        """-log p of each character: the longest known n-gram's cost, after the back-off weights of longer contexts."""
+        out, left = np.zeros(len(s.at)), np.arange(len(s.at))
+        for k in range(SPAN, -1, -1):
+            at, known = self.table.find(s.keys(k, left))
+            out[left[known]] += self.cost[at[known]]
+            left = left[~known]
+            if k and len(left):
+                at, known = self.table.find(s.keys(k - 1, left, 1))
+                out[left[known]] += self.back[at[known]]
+        out[left] = UNKNOWN
+        return out
 
 
-SCHEMA = "n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+def mean_costs(model: Costs, texts: list[str | None], langs: list[str]) -> list[float | None]:
+    """The log perplexity of a character of each text under its language's model; None for empty texts."""
+    rows = [(k, points(t)) for k, t in enumerate(texts) if t]
+    total = np.zeros(len(texts))
+    for k, s in _stretches([p for _, p in rows], [langs[k] for k, _ in rows]):
+        np.add.at(total, np.array([rows[x][0] for x in k]), np.bincount(s.text, model.of(s), len(k)))
+    return [float(x) / len(t) if t else None for x, t in zip(total, texts, strict=True)]
 
 
-class Costs:
-    """The costs of a part's n-grams in one language, as sorted arrays, and the mean cost of a character in the texts
-    that the language's model was counted from. Other n-grams cost as much as any."""
+MEASURES = "n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+_names = [f.split()[0] for f in MEASURES.split(", ")]
 
-    def __init__(self, keys: np.ndarray, cost: np.ndarray, entropy: float, most: float) -> None:
-        at = np.argsort(keys)
-        self.keys, self.cost, self.entropy, self.most = keys[at], cost[at], entropy, most
 
-    def of(self, k: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(k), self.most)
-        values, hit = _find(self.keys, self.cost, k)
-        return np.where(hit, values, self.most)
+def _measured(model: Costs, texts: list[str | None], langs: list[str]) -> pd.DataFrame:
+    rows = [(len(t or ""), *counts(t), c) for t, c in zip(texts, mean_costs(model, texts, langs), strict=True)]
+    return pd.DataFrame(rows, columns=_names).astype({n: "int64" for n in _names[:-1]} | {_names[-1]: "float64"})
 
 
-def measured_cost(models: dict[int, Costs], lang: int, text: str) -> float:
-    """Mean cost of a character of a text that isn't empty, under its language's model.
+def measure(docs: DataFrame) -> DataFrame:
+    """docs (row, lang, text) with the struct m of MEASURES instead of text. The model is counted from docs."""
+    model = stored(keyed(estimate(stored(count_grams(docs)))))
+    if model.count() > BROADCAST:
+        return _by_join(docs, model)
+    found = model.toPandas()  # at most BROADCAST rows
+    shared = docs.sparkSession.sparkContext.broadcast(Costs(found.key.to_numpy(np.int64), found.cost.to_numpy(np.float32), found.back.to_numpy(np.float32)))
 
-    A stretch that is clearly not of that language (FOREIGN above what the model's own texts cost) counts with another
-    language's model if that explains it about as well as its own texts (within FOREIGN): quotations in another language
-    are no disorder. The shared model of rare and unknown languages explains nothing.
-    """
-    own, k = models[lang], keys(points(text))
-    start = np.arange(0, len(k), STRETCH)
-    size = np.diff(np.append(start, len(k)))
-    cost = np.add.reduceat(own.of(k), start, dtype=np.float64)
-    for i in np.flatnonzero(cost > (own.entropy + FOREIGN) * size):
-        part = k[start[i] : start[i] + size[i]]
-        other = ((m, m.of(part).sum(dtype=np.float64)) for lang_of, m in models.items() if lang_of not in (lang, OTHER))
-        cost[i] = min([cost[i], *(c for m, c in other if c <= (m.entropy + FOREIGN) * size[i])])
-    return float(cost.sum()) / len(k)
-
-
-def measure(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
-    """(row, lang, then SCHEMA) of docs (row, lang): one row for each. The text is a field of row, of which the fields
-    in kept come back."""
-    docs = docs.withColumn("text", F.col("row")[text])
+    @F.pandas_udf(MEASURES)
+    def m(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, langs in batches:
+            yield _measured(shared.value, texts.tolist(), langs.tolist())
+
+    return small_batches(docs).select("row", "lang", m("text", "lang").alias("m"))
+
+
+def _by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """`measure` with a model of any size: a part of the documents meets the costs of its own n-grams and contexts."""
     parts = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART))
-    table = stored(estimate(stored(count_grams(docs))))
-    means = table.groupBy("lang").agg(F.sum(F.col("cost") * F.col("n")) / F.sum("n"), F.max("cost")).collect()  # a row for each language
-    known = {r[0]: (r[1], r[2]) for r in means}
-    # Copies of a row are dealt by the id too; what is asked for and what is scored agree as it hangs on the row alone.
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    # Copies of a row are dealt out by its other columns too; what is asked for and what is scored agree on the row alone.
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("row", "text"), F.lit(parts)).cast("int"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
         for b in batches:
-            for part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    held.setdefault(part, []).append(keys(points(t)))
-                    size += len(t)
-            if size >= AT_ONCE:
-                held = {p: [np.unique(np.concatenate(x))] for p, x in held.items()}
-                size = 0
-        for p, x in held.items():
-            k = np.unique(np.concatenate(x))
-            for at in range(0, len(k), 1 << 16):
-                some = k[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), pa.array(some)], names=["part", "key"])
-
-    asked = small_batches(docs.select("part", "text").repartition(int(parts), "part")).mapInArrow(ask, "part int, key long")
-    costs = asked.join(table.select("key", F.col("lang").alias("of"), "cost"), "key").select("part", "of", "key", "cost")
-    schema = docs.select(F.struct(*(F.col("row")[c].alias(c) for c in kept)).alias("row"), "lang").schema
-    for f in SCHEMA.split(", "):
-        schema = schema.add(*f.split())
-    names, types = arrow_schema(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[1:]))
+            part, langs, texts = (b.column(k).to_pylist() for k in range(3))
+            rows = sorted((p, g, t) for p, g, t in zip(part, langs, texts, strict=True) if t)
+            for p in sorted({p for p, _, _ in rows}):
+                own = [(g, t) for q, g, t in rows if q == p]
+                for _, s in _stretches([points(t) for _, t in own], [g for g, _ in own]):
+                    keys = np.unique(np.concatenate([s.keys(k) for k in range(SPAN + 1)] + [s.keys(k, back=1) for k in range(SPAN)])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), p, np.int32)), pa.array(keys)], names=["part", "key"])
+
+    asked = small_batches(docs.select("part", "lang", "text").repartition(int(parts), "part")).mapInArrow(ask, "part int, key long")
+    costs = asked.distinct().join(model, "key").select("part", "key", "cost", "back")
+    schema = docs.select("row", "lang").schema.add("m", StructType.fromDDL(MEASURES))
 
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        of, key, cost = (found.column(c).to_numpy() for c in ("of", "key", "cost"))
-        models = {lang: Costs(key[of == lang], cost[of == lang], *known[lang]) for lang in known}
-        out = []
-        row = rows.column("row").combine_chunks()
-        for at in range(0, len(row), 1000):
-            for g, t in zip(rows.column("lang").slice(at, 1000).to_pylist(), row.slice(at, 1000).field(text).to_pylist(), strict=True):
-                out.append((g, len(t or ""), *counts(t), measured_cost(models, g, t) if t else None))
-        return pa.Table.from_arrays([pa.StructArray.from_arrays([row.field(c) for c in kept], names=kept), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["row", *names])
+        own = Costs(*(found.column(c).to_numpy() for c in ("key", "cost", "back")))
+        out = [_measured(own, *(rows.column(c).slice(at, 1000).to_pylist() for c in ("text", "lang"))) for at in range(0, rows.num_rows, 1000)]
+        m = pa.Table.from_pandas(pd.concat(out), preserve_index=False)
+        return pa.table([rows.column("row"), rows.column("lang"), pa.StructArray.from_arrays([m.column(n).combine_chunks() for n in _names], names=_names)], names=["row", "lang", "m"])
 
-    return docs.select("part", "row", "lang").groupBy("part").cogroup(small_batches(costs).groupBy("part")).applyInArrow(score, schema)
+    return docs.select("part", "row", "lang", "text").groupBy("part").cogroup(small_batches(costs).groupBy("part")).applyInArrow(score, schema)
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, and perplexity with its band's lower and upper ends.
+def _ready(docs: DataFrame, row, text: str, lang: str) -> DataFrame:
+    return docs.select(row.alias("row"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
+
+
+def _base_failed():
+    return (F.col("m.n_words") < LEAST_WORDS) | (100 * F.col("m.n_repeat_words") > 100 * MOST_REPEATED * F.col("m.n_words"))
 
-    Null and empty texts have no words, fail the base rules and have no perplexity. Null and rare languages share a
-    model and a band. Repeated rows are judged alike. An empty table gives no rows.
-    """
-    ready = _grouped(docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).alias("row"), F.col(lang).alias("lang")), "lang")
-    scored = stored(measure(ready, "text", ["doc_id"]).select("row.doc_id", "lang", *(f.split()[0] for f in SCHEMA.split(", "))))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 100 * MOST_REPEATED * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    return scored.join(F.broadcast(bands(scored.where("NOT base_failed"))), "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce(~F.col("base_failed") & _inside(), F.lit(False)).alias("kept"),
-        F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("lower"), F.exp("high").alias("upper"),
-    )
+
+def bands(scored: DataFrame) -> DataFrame:
+    """(lang, low, high) of log perplexity, from the exact quartiles, to a GRAIN-th, of all of scored (lang, m): the
+    median and robust deviations."""
+    step = scored.where("m.log_perplexity IS NOT NULL").groupBy("lang", F.round(F.col("m.log_perplexity") * GRAIN).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    # As many rows for a language as there are different steps: some thousands at most, whatever the corpus.
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
+    whole = F.sum("n").over(Window.partitionBy("lang"))
+    ranked = step.withColumn("upto", upto / whole)
+    q = [F.min(F.when(F.col("upto") >= x, F.col("step") / GRAIN)) for x in (0.25, 0.5, 0.75)]
+    wide = REACH * 0.7413 * (q[2] - q[0])
+    return ranked.groupBy("lang").agg((q[1] - F.greatest(F.lit(LEAST_DOWN), wide)).alias("low"), (q[1] + F.greatest(F.lit(LEAST_UP), wide)).alias("high"))
 
 
 def _inside():
-    slack = F.lit(SHORT) / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    return F.col("log_perplexity").between(F.col("low") - slack, F.col("high") + slack)
+    return F.coalesce(F.col("m.log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """(lang, low, high) of log perplexity: the median and robust deviations, from the quartiles of all documents.
-    One row a language, of which there are at most LANGUAGES + 1."""
-    quarter = scored.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    wide = REACH * 0.7413 * (F.col("q")[2] - F.col("q")[0])
-    return quarter.select("lang", (F.col("q")[1] - F.greatest(F.lit(LEAST_DOWN), wide)).alias("low"), (F.col("q")[1] + F.greatest(F.lit(LEAST_UP), wide)).alias("high"))
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, and perplexity with its band's lower and upper ends.
+
+    Null and empty texts have no words, fail the base rules and have no perplexity. Null and empty languages are one,
+    with a model and a band like any other. Repeated rows are judged alike. A text of any length is measured whole, in
+    pieces. Other columns are ignored. An empty table gives no rows.
+    """
+    scored = stored(measure(_ready(docs, F.struct(F.col(doc_id).alias("doc_id")), text, lang))).withColumn("base_failed", _base_failed())
+    return scored.join(bands(scored.where("NOT base_failed")), "lang", "left").select(
+        "row.doc_id", *(f"m.{n}" for n in _names[1:-1]), "base_failed", (~F.col("base_failed") & _inside()).alias("kept"),
+        F.exp("m.log_perplexity").alias("perplexity"), F.exp("low").alias("lower"), F.exp("high").alias("upper"),
+    )
 
 
 def good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that `judge` would keep."""
-    ready = _grouped(docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).alias("lang")), "lang")
+    """The rows of docs, all columns, that `judge` would keep. Nulls, empties, repeats and an empty table as there."""
     # Measured once and written with the texts: the bands need all of them before the first row can go.
-    passed = (F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= 100 * MOST_REPEATED * F.col("n_words"))
-    flat = stored(measure(ready, text, docs.columns)).where(passed)
-    return flat.join(F.broadcast(bands(flat)), "lang").where(_inside()).select("row.*")
+    passed = stored(measure(_ready(docs, F.struct(*docs.columns), text, lang)).where(~_base_failed()))
+    return passed.join(bands(passed), "lang").where(_inside()).select("row.*")

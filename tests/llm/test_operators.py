@@ -365,42 +365,6 @@ def test_quality_counts(spark, docs, empty):
     assert quality.judge(empty).count() == 0 and quality.good(empty).count() == 0 and quality.good(docs).columns == docs.columns
 
 
-def test_kneser_ney_sums_to_one():
-    g, n = np.unique(quality.grams("the cat sat on the mat, and the dog sat by the door. 12 THE CATS! " * 5 + "so it goes"), return_counts=True)
-    model = quality.kneser_ney(g.astype(np.int64), n)
-    for context in (int(g[0]) >> 5, int(g[-1]) >> 5, 12345):
-        assert sum(np.exp(-one(model, context, c)) for c in range(32)) == pytest.approx(1, abs=1e-5)
-
-
-def one(model, context, c, k=4):
-    """-log p of a class after a context of three, by the definition's recursion."""
-    if k == 0:
-        return float(np.log(32))
-    table, logp, contexts, back = model[k - 1]
-    own = np.array([(context << 5 | c) & (32**k - 1)], np.uint32)
-    p, hit = quality._find(table, logp, own)
-    if hit[0]:
-        return -float(p[0])
-    w, known = quality._find(contexts, back, own >> np.uint32(5))
-    return one(model, context, c, k - 1) - (float(w[0]) if known[0] else 0.0)
-
-
-def test_perplexity_is_the_recursion(spark):
-    text = "the cat sat on the mat, and the dog sat by the door. " * 8
-    g, n = np.unique(quality.grams(text), return_counts=True)
-    model = quality.kneser_ney(g.astype(np.int64), n)
-    other = "a zebra QUIT 99 mats; the cat"
-    want = np.mean([one(model, int(x) >> 5, int(x) & 31) for x in quality.grams(other)])
-    models = {"en": quality.Model(model, 9.0)}
-    assert quality.log_perplexity(models, "en", other) == pytest.approx(want, rel=1e-4)
-    assert quality.log_perplexity(models, "en", text) < quality.log_perplexity(models, "en", other)
-    german = "der hund und die katze schlafen auf der matte bei der tuer. " * 8
-    g, n = np.unique(quality.grams(german), return_counts=True)
-    models = {"en": quality.Model(model, 0.5), "de": quality.Model(quality.kneser_ney(g.astype(np.int64), n), 0.5)}
-    mixed = text + "\n" + german
-    assert quality.log_perplexity(models, "en", mixed) < 0.5 * quality.log_perplexity({"en": models["en"]}, "en", mixed)
-
-
 def test_quality_keeps_clean(spark):
     sf = SF.replace("0.001", "0.01")
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -409,7 +373,8 @@ def test_quality_keeps_clean(spark):
 
 
 def slow_costs(texts):
-    """Costs of all n-grams by the definition: interpolated Kneser-Ney, and back-off where one text alone has an n-gram."""
+    """-log p of a character after the four before it, by the definition: interpolated modified Kneser-Ney, from which
+    n-grams of one text alone are left out."""
     span = quality.SPAN
     count, holders = [Counter() for _ in range(span + 1)], defaultdict(set)
     for t in texts:
@@ -420,29 +385,109 @@ def slow_costs(texts):
                 holders[s[i + span - k : i + span]].add(t)
     for k in range(span - 1, 0, -1):
         count[k] = Counter(g[1:] for g in count[k + 1])
-
-    def at(g):
-        k = len(g)
-        if not k:
-            return 1 / (len(count[1]) + 1), np.log(len(count[1]) + 1)
+    discount = [None]
+    for k in range(1, span + 1):
         n1, n2, n3, n4 = (max(1, sum(v == j for v in count[k].values())) for j in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
-        d = [0, *(min(max(0.1, j - (j + 1) * y * b / a), j) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        same = [v for x, v in count[k].items() if x[:-1] == g[:-1]]
-        free = sum(d[min(v, 3)] for v in same) / sum(same)
-        p0, cost0 = at(g[1:])
-        p = (count[k][g] - d[min(count[k][g], 3)]) / sum(same) + free * p0
-        return p, -np.log(p) if len(holders[g]) > 1 else cost0 - np.log(free)
-
-    return {g: at(g)[1] for g in count[span]}
+        discount.append([0, *(min(max(0.1, j - (j + 1) * y * b / a), j) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
+    after = [defaultdict(list) for _ in range(span + 1)]
+    for k in range(1, span + 1):
+        for g, v in count[k].items():
+            after[k][g[:-1]].append(v)
+
+    def free(context):
+        same = after[len(context) + 1].get(context)
+        return sum(discount[len(context) + 1][min(v, 3)] for v in same) / sum(same) if same else 1.0
+
+    def p(g):
+        if not g:
+            return 1 / (len(count[1]) + 1)
+        same, v = sum(after[len(g)][g[:-1]]), count[len(g)][g]
+        return (v - discount[len(g)][min(v, 3)]) / same + free(g[:-1]) * p(g[1:])
+
+    def cost(g):
+        if not g or len(holders[g]) > 1:
+            return -np.log(p(g))
+        return cost(g[1:]) - (np.log(free(g[:-1])) if not g[:-1] or len(holders[g[:-1]]) > 1 else 0)
+
+    return cost
+
+
+QUALITY_TEXTS = ["the cat sat on the mat", "the cat sat on the mat", "the dog sat by the door\tand slept", "a zebra QUIT 99 mats; the cat", "# # # % & * $ odd", "the \U0001f600 and 漢字"]
+
+
+def slow_means():
+    """(language, text) -> log perplexity, for QUALITY_TEXTS in English and two Russian texts without a language."""
+    span, out = quality.SPAN, {}
+    for lang, texts in (("en", QUALITY_TEXTS), (None, ["Кот сидит. Кот спит", "кот спит 12 漢字"])):
+        plain = [t.replace("\t", " ") for t in texts]
+        cost = slow_costs([t for t in plain if sum(map(t.count, quality.SIGNS)) <= 0.1 * len(t.split())])
+        for t, own in zip(texts, plain):
+            s = " " * (span - 1) + own
+            out[lang, t] = np.mean([cost(s[i : i + span]) for i in range(len(t))])
+    return out
 
 
-def test_quality_model_is_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the cat sat on the mat", "the dog sat by the door", "Кот сидит. Кот спит", "кот спит 12 漢字"]
-    d = spark.createDataFrame([(0, t) for t in texts], "lang int, text string")
-    got = {r.gram: r.cost for r in quality.estimate(quality.count_grams(d)).collect()}
-    want = slow_costs(texts)
-    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-4) for g in want)
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_perplexity_is_kneser_ney(spark, monkeypatch, most):
+    """By the definition, whether workers get the whole model or parts join it, also where texts are cut into pieces."""
+    monkeypatch.setattr(quality, "BROADCAST", most)
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
+    monkeypatch.setattr(quality, "PART", 50)
+    want = slow_means()
+    rows = [(i, t, g) for i, (g, t) in enumerate([*want, ("en", QUALITY_TEXTS[0])])]
+    got = quality.judge(spark.createDataFrame([*rows, (98, None, "en"), (99, "", None)], "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        assert r.perplexity is None if r.doc_id > 90 else np.log(r.perplexity) == pytest.approx(want[rows[r.doc_id][2], rows[r.doc_id][1]], rel=1e-4)
+
+
+def test_quality_hash_array():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        array, wanted = quality.HashArray(keys), np.concatenate((keys, keys + np.uint64(1), np.array([0, 3, (1 << 64) - 2], np.uint64)))
+        at, known = array.find(wanted)
+        assert known.tolist() == np.isin(wanted, keys).tolist() and (array.keys[at[known]] == wanted[known]).all()
+
+
+def test_quality_vocabulary(monkeypatch):
+    monkeypatch.setattr(quality, "WAITING", 40)
+    texts = ["abab abab abab", "abab", "漢字漢字漢字", "abab abab abab"]
+    found = quality.Vocabulary()
+    for _ in range(3):
+        for k, s in quality._stretches([quality.points(t) for t in texts], ["x", "x", "y", "y"]):
+            found.add(s, [["x", "x", "y", "y"][i] for i in k], np.array([1, 2, 3, 1], np.int32)[k])
+    want, tags = Counter(), defaultdict(set)
+    for t, g, tag in zip(texts, "xxyy", (1, 2, 3, 1)):
+        for i in range(len(t)):
+            gram = ("    " + t)[i : i + 5]
+            want[g, gram] += 3
+            tags[g, gram].add(tag)
+    rows = found.rows().to_pylist()
+    assert {(r["lang"], r["gram"]): r["n"] for r in rows} == want and len(rows) == len(want)
+    assert all(r["tag"] == (min(x) if len(x := tags[r["lang"], r["gram"]]) == 1 else 0) for r in rows)
+
+
+def test_quality_bands(spark):
+    """Quartiles and verdicts by the definition, on the given table."""
+    got = quality.judge(all_docs(spark)).join(all_docs(spark).select("doc_id", "lang"), "doc_id").where("NOT base_failed").toPandas()
+    for _, own in got.groupby("lang"):
+        x = np.sort(np.round(np.log(own.perplexity) * quality.GRAIN) / quality.GRAIN)
+        low, mid, high = (x[int(np.ceil(q * len(x))) - 1] for q in (0.25, 0.5, 0.75))
+        wide = quality.REACH * 0.7413 * (high - low)
+        lower, upper = np.exp(mid - max(quality.LEAST_DOWN, wide)), np.exp(mid + max(quality.LEAST_UP, wide))
+        assert own.lower.to_numpy() == pytest.approx(lower) and own.upper.to_numpy() == pytest.approx(upper)
+        assert (own.kept == own.perplexity.between(own.lower, own.upper)).all()
+
+
+def test_quality_rejects_poor(spark):
+    sf = SF.replace("0.001", "0.01")
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    j = quality.judge(d).join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").where("NOT base_failed")
+    assert j.where("quality = 0").count() > 20
+    for r in j.groupBy("lang").agg(F.expr("avg(int(kept)) FILTER (WHERE quality = 0)").alias("poor"), F.expr("avg(int(kept)) FILTER (WHERE quality = 1)").alias("sound")).collect():
+        assert (r.poor or 0) < 0.5 and r.sound > 0.97
 
 
 def test_quality_sees_letters_of_any_script(spark):
@@ -457,15 +502,6 @@ def test_quality_sees_letters_of_any_script(spark):
     assert all(got[i].kept == (i < 40) for i in got)
 
 
-def test_quality_reprices_only_what_another_language_explains():
-    text = "x" * 96
-    k = np.unique(quality.keys(quality.points(text)))
-    flat = lambda cost: quality.Costs(k, np.full(len(k), cost), 1.0, 9.0)
-    models = {quality.OTHER: flat(0.5), 1: flat(5.0), 2: flat(3.0)}
-    assert quality.measured_cost(models, 1, text) == pytest.approx(5.0)  # neither the shared model nor a poor match counts
-    assert quality.measured_cost(models | {2: flat(1.2)}, 1, text) == pytest.approx(1.2)
-
-
 # Substrings -------------------------------------------------------------------------------------------------------
 
 
