@@ -243,29 +243,36 @@ def _tag():
 def estimate(counts: DataFrame) -> DataFrame:
     """(lang, gram, cost, back) of the n-grams of all orders that several texts have, and of the empty one for each
     language: the cost of the last character after the others, by modified Kneser-Ney (Chen and Goodman 1998), and what a
-    character more costs that never followed. Orders below the highest count the different characters that go before."""
-    tables = {SPAN: counts.withColumn("c", F.col("n"))}
-    for k in range(SPAN - 1, 0, -1):
-        tables[k] = stored(tables[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"), _tag()))
-    below = tables[1].groupBy("lang").agg(F.count("*").alias("size")).select("lang", F.lit("").alias("gram"), (1 / (F.col("size") + 1)).alias("p"), F.lit(0).alias("tag"))
-    out = None
-    for k in range(1, SPAN + 1):
-        n1, n2, n3, n4 = (F.greatest(F.lit(1), F.count_if(F.col("c") == j)) for j in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = tables[k].groupBy("lang").agg(*(F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * more / less)).alias(f"d{j}") for j, (less, more) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)))
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = tables[k].join(d, "lang").withColumn("cut", F.least(cut, F.col("c"))).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
-        # Sums by context are combined on the map side, and a context is a key of its own on either side of the join.
-        sums = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("cuts"))
-        sums = stored(sums.select("lang", "context", "total", (F.col("cuts") / F.col("total")).alias("free")))
-        done = below.join(sums.select("lang", F.col("context").alias("gram"), "free"), ["lang", "gram"], "left").where("tag = 0")
-        done = done.select("lang", "gram", (-F.log("p")).alias("cost"), F.coalesce(-F.log("free"), F.lit(0.0)).alias("back"))
-        out = done if out is None else out.unionByName(done)
-        rows = rows.join(sums, ["lang", "context"]).withColumn("suffix", F.expr("substring(gram, 2)"))
-        rows = rows.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p0")), ["lang", "suffix"])
-        below = rows.select("lang", "gram", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("free") * F.col("p0")).alias("p"), "tag")
-        below = stored(below) if k < SPAN else below
-    return out.unionByName(below.where("tag = 0").select("lang", "gram", (-F.log("p")).alias("cost"), F.lit(0.0).alias("back")))
+    character more costs that never followed. Orders below the highest count the different characters that go before.
+
+    All orders go through each step together, told apart by the length of the n-gram."""
+    size = F.length("gram")
+    longer = counts.select("lang", F.explode(F.sequence(F.lit(2), F.lit(SPAN))).alias("k"), "gram", "n", "tag")
+    longer = longer.select("lang", F.expr("substring(gram, 1 - k + length(gram))").alias("gram"), F.when(F.col("k") == SPAN, F.col("n")).otherwise(0).alias("n"), "tag")
+    longer = longer.groupBy("lang", "gram").agg(F.sum("n").alias("c"), _tag())
+    shorter = longer.select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("c"), "tag")
+    rows = stored(shorter.unionByName(longer.where(size == SPAN)).groupBy("lang", "gram").agg(F.sum("c").alias("c"), _tag()))
+    n1, n2, n3, n4 = (F.greatest(F.lit(1), F.count_if(F.col("c") == j)) for j in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    d = [F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * more / less)).alias(f"d{j}") for j, (less, more) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+    discounts = rows.groupBy("lang", size.alias("k")).agg(*d)  # SPAN rows for each language
+    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = rows.withColumn("k", size).join(discounts, ["lang", "k"]).withColumn("cut", F.least(cut, F.col("c"))).withColumn("context", F.expr("substring(gram, 1, k - 1)"))
+    # Sums by context are combined on the map side. A context's length is the order but one.
+    sums = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("cuts"))
+    sums = stored(sums.select("lang", "context", "total", (F.col("cuts") / F.col("total")).alias("free")))
+    parts = rows.join(sums, ["lang", "context"]).select("lang", "gram", "k", ((F.col("c") - F.col("cut")) / F.col("total")).alias("own"), "free", "tag")
+    parts = stored(parts)
+    # p(gram) = own + free * p(gram without its first character), down to one of all characters and an unknown one.
+    base = parts.where("k = 1").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0"))
+    known = parts.where("tag = 0")
+    ends = known.select("lang", F.col("gram").alias("whole"), F.explode(F.expr("transform(sequence(1, k), j -> substring(gram, j))")).alias("gram"))
+    chain = ends.join(parts.select("lang", "gram", "k", "own", "free"), ["lang", "gram"]).groupBy("lang", "whole").agg(F.sort_array(F.collect_list(F.struct("k", "own", "free"))).alias("chain"))
+    p = F.aggregate("chain", F.col("p0"), lambda below, x: x["own"] + x["free"] * below)
+    costs = chain.join(base, "lang").select("lang", F.col("whole").alias("gram"), (-F.log(p)).alias("cost"))
+    costs = costs.unionByName(base.select("lang", F.lit("").alias("gram"), (-F.log("p0")).alias("cost")))
+    backs = sums.select("lang", F.col("context").alias("gram"), (-F.log("free")).alias("back"))
+    return costs.join(backs, ["lang", "gram"], "left").select("lang", "gram", "cost", F.coalesce("back", F.lit(0.0)).alias("back"))
 
 
 def keyed(model: DataFrame) -> DataFrame:
