@@ -1,9 +1,12 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vectors become integers, and a component's impact is quantised to a multiple of STEP. A block of candidates is
-indexed as posting segments: for each dimension and quantised impact the vectors that have it. A query takes the
-segments of all dimensions by descending contribution and adds them to the accumulators. It may stop only when the
-bounds prove that few enough candidates can still be among its k best; these possible members are rescored exactly.
+Vectors become integers. A block of candidates is indexed as posting segments: for each dimension and quantised impact
+(a range of STEP) the vectors that have it, with their exact component. A query takes the segments of all dimensions by
+descending contribution, whatever its sign, and adds their postings to three accumulators of each candidate: the score so
+far, and the squares of the candidate's and of the query's components that are still unread. What is unread can't change a
+score by more than the root of the product of these two sums. A query starts from the k-th best exact score of a small
+sample, which no block needs to beat again, and stops only when this proves that few candidates can still be among its k
+best; these possible members are rescored exactly.
 """
 
 from __future__ import annotations
@@ -12,72 +15,120 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-#: Candidates of a block and queries that meet it in one task; together they bound a task's memory.
-BLOCK, QUERIES = 16_384, 1024
-#: Most partitions that the pairs of blocks are dealt out to.
-PARTITIONS = 10_000
-#: Width of a quantised impact, segments between two attempts at a proof, share of a block that is rescored.
-STEP, BETWEEN, RESCORED = 16, 128, 0.04
+from .batches import small_batches
+
+#: Candidates of a block, at most and at least, and queries that meet it in one task; together they bound a task's memory.
+BLOCK, LEAST, QUERIES = 16_384, 2048, 65_536
+#: Candidates, picked by hash, that every query is scored against beforehand.
+SAMPLE = 1024
+#: Width of a quantised impact, and the share of a block that is rescored as soon as no more can be members.
+STEP, RESCORED = 64, 0.2
+#: The shares of all postings after which a proof is tried.
+TRIES = np.arange(4, 17) / 16
 
 
 class ImpactIndex:
-    """The index of one block: ids (sorted) and integer vectors."""
+    """The index of one block: ids (sorted), their numbers of copies, integer vectors, and posting segments."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        at = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[at], vectors[at]
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
+        at = np.lexsort((copies, ids))
+        self.ids, self.copies, self.vectors = ids[at], copies[at], vectors[at]
+        n, dims = vectors.shape
         level = np.floor_divide(self.vectors, STEP)
-        self.dim, self.value, self.postings = [], [], []
-        for d in range(level.shape[1]):
-            order = np.argsort(level[:, d], kind="stable").astype(np.int32)
-            sorted_level = level[order, d]
-            cut = np.flatnonzero(np.concatenate(([True], sorted_level[1:] != sorted_level[:-1])))
-            self.dim += [d] * len(cut)
-            self.value += (sorted_level[cut] * STEP).tolist()
-            self.postings += np.split(order, cut[1:])
-        self.dim, self.value = np.array(self.dim, np.int64), np.array(self.value, np.int64)
-
-    def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best candidates but `own`, ties to smaller ids: their ids and exact scores."""
-        n, dims = self.vectors.shape
-        contribution = query[self.dim] * self.value
-        floor = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dim, contribution)
-        impact = contribution - floor[self.dim]  # what a segment brings above the least of its dimension
-        order = np.argsort(-impact, kind="stable")
-        # Below a quantised impact lie 0 to STEP - 1 more, so a score lies between low and high above its sum.
-        rest = query * (STEP - 1)
-        low, high = int(np.minimum(rest, 0).sum()), int(np.maximum(rest, 0).sum())
-        sums = np.zeros(n, np.int64)
+        # Postings lie dimension by dimension, within it level by level: a segment is one stretch.
+        order = np.argsort(level, axis=0, kind="stable").T
+        self.posting = order.ravel().astype(np.int32)
+        self.component = np.take_along_axis(self.vectors.T, order, 1).ravel().astype(np.float64)
+        level = np.take_along_axis(level.T, order, 1)
+        new = np.ones((dims, n), bool)
+        new[:, 1:] = level[:, 1:] != level[:, :-1]
+        self.start = np.flatnonzero(new.ravel())
+        self.size = np.diff(np.append(self.start, n * dims))
+        self.dim = self.start // max(1, n)
+        low = level.ravel()[self.start].astype(np.float64) * STEP
+        self.impact = np.maximum(np.abs(low), np.abs(low + STEP - 1))
+        self.square = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
+
+    def search(self, query: np.ndarray, k: int, own: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places of the k best candidates but those of the id `own`, ties to smaller ids, their exact scores, and the
+        number of postings read. What scores below the floor may be missing."""
+        n = len(self.ids)
+        q = query.astype(np.float64)
         free = self.ids != own
-        members = np.flatnonzero(free)
-        few = max(4 * k, int(RESCORED * n))
-        for at in range(0, len(order), BETWEEN):
-            for s in order[at : at + BETWEEN].tolist():
-                sums[self.postings[s]] += impact[s]
-            left = order[at + BETWEEN :]
-            open_ = np.zeros(dims, np.int64)
-            np.maximum.at(open_, self.dim[left], impact[left])
-            spread = int(open_.sum()) + high - low  # the most that a smaller sum can still make up
-            if int(free.sum()) > k:
-                bar = np.partition(sums[free], -k)[-k]
-                members = np.flatnonzero(free & (sums + spread >= bar))
-            else:
-                members = np.flatnonzero(free)
-            if len(members) <= few:
+        order = np.argsort(-np.abs(q[self.dim]) * self.impact, kind="stable")
+        upto = np.cumsum(self.size[order])
+        score, unread, asked = np.zeros(n), self.square.copy(), np.full(n, (q * q).sum())
+        members, read, at = np.flatnonzero(free), 0, 0
+        tries = np.unique(np.searchsorted(upto, TRIES * upto[-1])) + 1 if len(upto) else []
+        for end in tries:
+            if len(members) <= max(k, RESCORED * n):
                 break
-        scores = self.vectors[members] @ query
-        best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members][best], scores[best]
+            some, at = order[at:end], end
+            size = self.size[some]
+            where = np.repeat(self.start[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            who, x, y = self.posting[where], self.component[where], np.repeat(q[self.dim[some]], size)
+            score += np.bincount(who, x * y, n)
+            unread -= np.bincount(who, x * x, n)
+            asked -= np.bincount(who, y * y, n)
+            read += len(who)
+            # Squares beyond 2 ** 53 are rounded: a little more than the bound allows for it.
+            more = np.sqrt(np.maximum(unread, 0) * np.maximum(asked, 0)) + 1 + 1e-9 * np.abs(score) + 1e-6 * np.sqrt(self.square * (q * q).sum()) * (self.square > 2.0**50)
+            bar = floor
+            if len(members) > k:
+                least = (score - more)[members]
+                bar = max(floor, np.partition(least, -k)[-k])
+            members = np.flatnonzero(free & (score + more >= bar))
+        exact = self.vectors[members] @ query
+        best = np.lexsort((self.ids[members], -exact))[:k]
+        best = best[exact[best] >= floor]
+        return members[best], exact[best], read
 
 
 def as_integers(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): floor(1024 * x) of every component x as double, without vectors that are null or hold a null or
-    non-finite component, or rows without id."""
+    """(vec_id, v, dims, copies): floor(1024 * x) of every component x as double, without vectors that are null or hold
+    a null or non-finite component, or rows without id. Equal rows are one, with their number."""
     whole = F.col(embedding).isNotNull() & F.forall(embedding, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    return vectors.where(whole & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("vec_id"), F.transform(embedding, lambda x: F.floor(1024 * x.cast("double")).cast("long")).alias("v"))
+    rows = vectors.where(whole & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(1024 * x.cast("double")).cast("long")).alias("v"))
+    return rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v"))
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    column = table.column("v")
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, -1 if table.num_rows else 0)
+
+
+def with_floors(asked: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """asked with `floor`: the k-th best exact score in a sample of base, or null where the sample has fewer rows."""
+    rows = base.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).select("vec_id", "v").collect()  # at most SAMPLE
+    sample: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dims in {len(r.v) for r in rows}:
+        own = [r for r in rows if len(r.v) == dims]
+        sample[dims] = np.array([r.vec_id for r in own], np.int64), np.array([r.v for r in own], np.int64).reshape(len(own), dims)
+    shared = asked.sparkSession.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64), None
+        for b in batches:
+            floors = []
+            for q, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
+                ids, vectors = shared.value.get(len(v), none)
+                other = ids != q
+                floors.append(int(np.partition(vectors[other] @ np.array(v, np.int64), -k)[-k]) if other.sum() >= k else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floors, pa.int64())], names=[*b.schema.names, "floor"])
+
+    return small_batches(asked).mapInArrow(run, StructType([*asked.schema.fields, StructField("floor", LongType())]))
+
+
+def _deal(n: int) -> Column:
+    return F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
+
+
+def _copied(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -85,41 +136,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
 
     A query's own id is no candidate, whatever row has it. Vectors that are null or hold a null or non-finite
     component take no part, nor do rows without id. A query meets the vectors of its own length only; empty vectors
-    score 0. Repeated rows are candidates each for itself. Ties go to the smaller id. Without queries or candidates
-    there are no rows.
+    score 0. Repeated rows are candidates each for itself, and are indexed once. Ties go to the smaller id. Other columns
+    are ignored. Without queries or candidates there are no rows. Blocks hold at most some BLOCK rows of any length.
     """
     base, asked = as_integers(vectors, vec_id, embedding), as_integers(queries, vec_id, embedding)
-    blocks, groups = -(-max(1, base.count()) // BLOCK), -(-max(1, asked.count()) // QUERIES)
-    # Blocks of candidates meet groups of queries on their two numbers; a group of rows is one task's bounded work.
-    base = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), F.size("v").alias("dims"), "vec_id", "v")
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.size("v").alias("dims"), "vec_id", "v")
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.astype(np.int64).reshape(len(ids), -1 if len(ids) else 0)
+    n, m = max(1, base.count()), max(1, asked.count())
+    # Enough blocks for all cores, as long as they aren't small. A query goes to every block once; the candidates are
+    # copied only for each QUERIES queries.
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    blocks, groups = max(-(-n // BLOCK), min(4 * cores, -(-n // LEAST))), -(-m // QUERIES)
+    asked = with_floors(asked, base, k)
+    base = base.select(_deal(blocks).alias("block"), _copied(groups).alias("part"), "dims", "vec_id", "copies", "v")
+    asked = asked.select(_copied(blocks).alias("block"), _deal(groups).alias("part"), "dims", "vec_id", "copies", "v", "floor")
 
     def search(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
         if candidates.num_rows and wanted.num_rows:
-            index = ImpactIndex(*matrix(candidates))
-            for q, vector in zip(*matrix(wanted), strict=True):
-                ids, scores = index.search(vector, k, q)
-                for column, values in zip(out, (np.full(len(ids), q), ids, scores), strict=True):
+            index = ImpactIndex(candidates.column("vec_id").to_numpy(), candidates.column("copies").to_numpy(), _matrix(candidates))
+            of = zip(wanted.column("vec_id").to_pylist(), wanted.column("copies").to_pylist(), wanted.column("floor").to_pylist(), _matrix(wanted), strict=True)
+            for q, copies, floor, vector in of:
+                places, scores, _ = index.search(vector, k, q, -np.inf if floor is None else floor)
+                for column, values in zip(out, (np.full(len(places), q), index.ids[places], scores, index.copies[places] * copies), strict=True):
                     column.append(values)
-        done = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-        return pa.table([pa.array(c.astype(np.int64)) for c in done], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "vec_id", "score", "copies"])
 
     # So many partitions as pairs of blocks: the rows are few but each pair is much work, which adaptive merging of
     # small partitions would put into few tasks.
-    key, n = ["block", "part", "dims"], min(PARTITIONS, blocks * groups)
-    pairs = base.repartition(n, *key).groupBy(*key).cogroup(asked.repartition(n, *key).groupBy(*key))
-    return best_of_blocks(pairs.applyInArrow(search, "query_id long, vec_id long, score long"), k)
+    key, tasks = ["block", "part", "dims"], min(10_000, 2 * blocks * groups)
+    pairs = base.repartition(tasks, *key).groupBy(*key).cogroup(asked.repartition(tasks, *key).groupBy(*key))
+    return best_of_blocks(pairs.applyInArrow(search, "query_id long, vec_id long, score long, copies long"), k)
 
 
 def best_of_blocks(found: DataFrame, k: int) -> DataFrame:
-    """The k best of the blocks' best: at most k rows come from a block."""
-    from pyspark.sql import Window
-
+    """The k best of the blocks' best: at most k rows come from a block, each for `copies` equal ones."""
+    each = found.select("query_id", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.least("copies", F.lit(k)).cast("int"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -262,19 +262,37 @@ def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     vectors += [(i + 300, v) for i, v in vectors[:20]] + [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (None, vectors[0][1]), (1100, [0.5, 0.5]), (1200, [])]
+    vectors += [vectors[7]] * 3 + [(500, vectors[9][1])] * 2
     df = spark.createDataFrame([(*v, 0, 0) for v in vectors], "vec_id long, embedding array<float>, score int, rank int")
-    monkeypatch.setattr(topk, "BLOCK", 64)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+    for name, value in (("BLOCK", 64), ("LEAST", 16), ("QUERIES", 2), ("SAMPLE", 30), ("RESCORED", 0.01)):
+        monkeypatch.setattr(topk, name, value)
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 100 = 0")).collect()}
-    whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors if i is not None and i not in (1000, 1001, 1002, 1003)}
+    whole = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in vectors if i is not None and i not in (1000, 1001, 1002, 1003)]
     want = {}
-    for q in (x for x in whole if x % 100 == 0):
-        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:10]
+    for q in {i for i, _ in whole if i % 100 == 0}:
+        best = sorted((-int(x @ v), i) for j, x in whole if j == q for i, v in whole if i != q and len(v) == len(x))[:10]
         want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
     assert got == want
     assert topk.top_k(df.where("1 = 0"), df).count() == 0 and topk.top_k(df, df.where("1 = 0")).count() == 0
 
 
+def test_topk_reads_less(spark):
+    """The given vectors look alike in all directions, the worst case; a vector near its neighbours reads far less."""
+    v = np.floor(1024 * np.array([r.embedding for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet").where("size(embedding) = 64").orderBy("vec_id").collect()])).astype(np.int64)
+    ids = np.arange(len(v))
+    index = topk.ImpactIndex(ids, np.ones(len(v), np.int64), v)
+    shares = []
+    for q in range(0, len(v), 40):
+        exact = np.where(ids == q, -(1 << 60), v @ v[q])
+        places, scores, read = index.search(v[q], 10, q, np.sort(exact)[-20])
+        assert places.tolist() == np.lexsort((ids, -exact))[:10].tolist() and scores.tolist() == exact[places].tolist()
+        shares.append(read / v.size)
+    assert np.mean(shares) < 0.55
+    huge = np.array([[3 << 28, 1], [3 << 28, 2], [-(3 << 28), 5], [1 << 29, 1 << 29]])
+    places, scores, _ = topk.ImpactIndex(np.arange(4), np.ones(4, np.int64), huge).search(huge[0], 2, 0)
+    assert places.tolist() == [1, 3] and scores.tolist() == [int(huge[0] @ huge[1]), int(huge[0] @ huge[3])]
+
+
 # Packing ----------------------------------------------------------------------------------------------------------
 
 
