@@ -83,7 +83,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     Every document is its byte-BPE ids and then end_id; null and empty texts are the end_id alone, and a row
     without doc_id is packed under a null id. Repeated rows are packed each for itself. Ids lie in exactly one
     piece; a sequence's pieces lie gapless from offset 0, and all sequences but one are full. Sequence ids depend
-    on how the input is split, not on the order in which tasks end. An empty table gives no rows.
+    on how the input is split, not on the order in which tasks end. A text is encoded whole, however long. Other columns
+    are ignored. An empty table gives no rows.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     names, types = arrow_schema(source, SCHEMA)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,28 +12,45 @@ from pyspark.sql import DataFrame, functions as F
 from .batches import map_rows
 
 
-@lru_cache(maxsize=2)
-def _encoding(path: str | None):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+class ByteBpe:
+    """The ids that `tokenizers` gives for a byte-level BPE file with add_special_tokens=False: a special token's string in
+    a text is that token.
 
+    Another library of the same merges takes a quarter of the time. It can't take very long runs of white space; such
+    texts go to `tokenizers` itself.
+    """
 
-def byte_bpe(path: str | None = None) -> Callable[[str], np.ndarray]:
-    """text -> uint32 ids. path: ranks of the vocabulary; its file is found on the executor, by default the
-    public byte-level one, whose ids are those of byte_bpe_50k.json. Strings of special tokens are plain text."""
-    encoding = _encoding(path)
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.library = Tokenizer.from_file(path)
+        self.size = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.size[i] = len(token)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """uint32 ids."""
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str | None = None) -> np.ndarray:
-    """Length in bytes of every id's token."""
-    encoding = _encoding(path)
-    return np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.max_token_value + 1)], np.int64)
+def byte_bpe(path: str | None = None) -> ByteBpe:
+    """The encoder of a `tokenizers` file that is found on the executor, by default the public byte_bpe_50k.json."""
+    import public_tokenizers
+
+    return ByteBpe(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def allocate(spans: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +79,12 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", fields: tuple[str, .
     The fields of a document are joined by the border string and encoded once, as a whole; within a field each
     border ends a section, and belongs to it. So every token of the document is counted in exactly one row. Null
     fields are empty; a document of null or empty fields has one empty section a field, without tokens. start_char
-    and end_char are code points of the joined document. Repeated rows are counted each for itself.
+    and end_char are code points of the joined document. Repeated rows are counted each for itself, rows without id under
+    a null id. A text is encoded whole, however long. Other columns are ignored. An empty table gives no rows.
     """
 
     def work(cols: list[list]) -> Iterator[tuple]:
-        encode, size = byte_bpe(vocabulary), token_bytes(vocabulary)
+        encode = byte_bpe(vocabulary)
         mark = border.encode()
         for doc, *values in zip(*cols, strict=True):
             parts = []  # (field, number, bytes)
@@ -78,7 +96,7 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", fields: tuple[str, .
             ends = np.cumsum([len(p[2]) for p in parts])
             chars = np.cumsum([len(p[2].decode("utf-8", "surrogatepass")) for p in parts])
             if whole:
-                count, cross = allocate(np.cumsum(size[encode(whole.decode("utf-8", "surrogatepass"))]), ends)
+                count, cross = allocate(np.cumsum(encode.size[encode(whole.decode("utf-8", "surrogatepass"))]), ends)
             else:
                 count = cross = np.zeros(len(parts), np.int64)
             for (name, j, _), end, before, n, x in zip(parts, chars.tolist(), [0, *chars.tolist()], count.tolist(), cross.tolist(), strict=False):

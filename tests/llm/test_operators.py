@@ -301,7 +301,6 @@ def check_pieces(rows, texts, size):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
         by_seq[r.sequence_id].append(r)
@@ -341,17 +340,63 @@ def test_allocation():
     assert n.tolist() == [2, 0, 0, 1, 1] and crossing.tolist() == [1, 0, 0, 0, 0]
 
 
+LONG_RUNS = {k: c * 2_000_000 for k, c in enumerate((" ", "\n", "a", "\t \n"), 100)} | {104: "x" + " " * 1_000_000 + "y <|endoftext|>", 105: "<|endoftext|>"}
+
+
+def library_tokens():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path("byte_bpe_50k.json"))
+
+
+def test_byte_bpe_is_the_library():
+    own, library = tokens.byte_bpe(), library_tokens()
+    rnd = random.Random(11)
+    letters = [*"abcdefghij etao  in.,'(){}_²1", "the", "ing", "    ", "\n", "\t", "é", "漢", "😀", "\u0301", "'s", "<|endoftext|>", "|>", "\x00", "\xa0", "\u2003"]
+    for s in ["".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 30))) for _ in range(3000)] + list(LONG_RUNS.values()):
+        ids = own(s)
+        assert ids.tolist() == library.encode(s, add_special_tokens=False).ids, repr(s[:60])
+        assert own.size[ids].sum() == len(s.encode())
+
+
+def slow_sections(text, library):
+    """(start, end, tokens, crossing) of each line: every byte of the text belongs to a token and to a line."""
+    ids = library.encode(text, add_special_tokens=False).ids
+    size = {i: 13 if i == 50256 else len(library.id_to_token(i)) for i in set(ids)}  # a character of a token is a byte
+    lines = text.split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + lines[-1:]
+    of = [k for k, x in enumerate(lines) for _ in x.encode()]
+    out, at = [[0, 0] for _ in lines], 0
+    for i in ids:
+        held = Counter(of[at : at + size[i]])
+        owner = min(held, key=lambda k: (-held[k], k))
+        out[owner][0] += 1
+        out[owner][1] += len(held) > 1
+        at += size[i]
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    return [(k, a, b, *n) for k, (a, b, n) in enumerate(zip([0, *ends], ends, out))]
+
+
 def test_token_counts(spark, docs, empty):
-    got = tokens.section_tokens(docs).toPandas()
-    total = got[got.doc_id == 6].n_tokens.sum()
-    assert total == tokens.byte_bpe()(ROWS[5][1]).size and got.n_tokens.sum() == sum(tokens.byte_bpe()(t).size for _, t, _ in ROWS if t)
-    assert got[got.doc_id == 14].shape[0] == 5 and got[got.doc_id == 2].n_tokens.tolist() == [0]
-    assert (got.end_char >= got.start_char).all() and got[got.doc_id == 10].end_char.max() == len(ROWS[12][1])
+    library = library_tokens()
+    for d in (docs, all_docs(spark), docs.limit(1).select(F.lit(7).alias("doc_id"), F.lit("a\n\n \n\n\nb <|endoftext|>\n漢\n" * 3).alias("text"))):
+        want = Counter((r.doc_id, "text", *x) for r in d.select("doc_id", "text").collect() for x in slow_sections(r.text or "", library))
+        assert Counter(map(tuple, tokens.section_tokens(d).collect())) == want
     both = tokens.section_tokens(docs, fields=("lang", "text")).where("doc_id = 1").toPandas()
-    assert both.field.tolist() == ["lang", "text"] and both.n_tokens.sum() == tokens.byte_bpe()("en\n" + ROWS[0][1]).size
+    assert both.field.tolist() == ["lang", "text"] and both.n_tokens.sum() == len(library.encode("en\n" + ROWS[0][1], add_special_tokens=False).ids)
     assert tokens.section_tokens(empty).count() == 0
 
 
+def test_long_runs(spark):
+    """Texts that a backtracking pattern can't take are packed and counted like others."""
+    library = library_tokens()
+    d = spark.createDataFrame(list(LONG_RUNS.items()), "doc_id long, text string")
+    check_pieces(packing.pack(d).collect(), LONG_RUNS, 1024)
+    got = dict(tokens.section_tokens(d.where("doc_id <> 103")).groupBy("doc_id").agg(F.sum("n_tokens")).collect())
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in LONG_RUNS.items() if i != 103}
+
+
 # Quality ----------------------------------------------------------------------------------------------------------
 
 
