@@ -30,9 +30,9 @@ from .batches import mix, small_batches, words_of
 
 #: Characters of an n-gram; characters that are worked on at once; new n-grams that wait to be sorted in; n-grams that a
 #: task counts before it hands them on.
-SPAN, AT_ONCE, WAITING, VOCABULARY = 5, 1 << 16, 1 << 18, 1 << 21
+SPAN, AT_ONCE, WAITING, VOCABULARY = 4, 1 << 16, 1 << 18, 1 << 21
 #: Most n-grams of a model that workers get whole (16 bytes each), and characters of a part of the documents beyond that.
-BROADCAST, PART = 1 << 22, 1 << 24
+BROADCAST, PART = 1 << 20, 1 << 24
 #: Words that a text needs, and the share of repeated ones that it may have: fixed by the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Signs that count as symbols: fixed by the contract.

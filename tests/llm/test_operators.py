@@ -436,7 +436,7 @@ def test_quality_keeps_clean(spark):
 
 
 def slow_costs(texts):
-    """-log p of a character after the four before it, by the definition: interpolated modified Kneser-Ney, from which
+    """-log p of a character after those before it, by the definition: interpolated modified Kneser-Ney, from which
     n-grams of one text alone are left out."""
     span = quality.SPAN
     count, holders = [Counter() for _ in range(span + 1)], defaultdict(set)
@@ -524,7 +524,7 @@ def test_quality_vocabulary(monkeypatch):
     want, tags = Counter(), defaultdict(set)
     for t, g, tag in zip(texts, "xxyy", (1, 2, 3, 1)):
         for i in range(len(t)):
-            gram = ("    " + t)[i : i + 5]
+            gram = (" " * (quality.SPAN - 1) + t)[i : i + quality.SPAN]
             want[g, gram] += 3
             tags[g, gram].add(tag)
     rows = found.rows().to_pylist()
