@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.shared import stored
 from .batches import held_out, map_rows, small_batches
 
-#: Labelled documents that the model is fitted on, picked by the hash of their id, and features that it may hold.
-SAMPLE, FEATURES = 20_000, 20_000
+#: Labelled documents that the model is fitted on, picked by the hash of their id. They bound the features too.
+SAMPLE = 20_000
 #: Characters of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: Weight of the Dirichlet prior as a share of the smaller class, and deviations from zero that a feature's log-odds
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # The labels broadcast are at most SAMPLE rows of two numbers. Copies of a text count once, as do a text's
     # repetitions of a word: both would pass for evidence that there isn't.
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(own), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    sample = stored(sample)  # read three times
 
     def tally(cols: list[list]) -> Iterator[tuple]:
         of = {0: Counter(), 1: Counter()}
@@ -122,43 +124,44 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for f in of[0].keys() | of[1].keys():
             yield f, of[1][f], of[0][f]
 
-    counts = map_rows(sample, tally, "feature string, toxic long, clean long", 500).groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0")).persist()
+    counts = map_rows(sample, tally, "feature string, toxic long, clean long", 500).groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
+    counts = stored(counts)
     words = counts.where(~F.col("feature").endswith("*")).agg(F.sum("y1"), F.sum("y0")).first()
     n1, n0 = float(words[0] or 0), float(words[1] or 0)
     if not n1 or not n0:
-        counts.unpersist()
         return Model()
     weight = PRIOR * min(n1, n0)
     prior = weight * (F.col("y1") + F.col("y0")) / (n1 + n0)
     odds = lambda y, n: F.log((y + prior) / (n + weight - y - prior))
     scored = counts.withColumn("odds", odds(F.col("y1"), n1) - odds(F.col("y0"), n0)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
-    top = scored.where(F.abs("z") >= DEVIATIONS).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).select("feature", "odds", "z")
-    model = Model({r.feature: (r.odds, r.z) for r in top.collect()})
-    counts.unpersist()
-    return calibrated(model, sample)
+    sure = scored.where(F.abs("z") >= DEVIATIONS).select("feature", "odds", "z")
+    # So sure a feature stands in several of the sample's texts, so these are far fewer than the sample's words.
+    return calibrated(Model({r.feature: (r.odds, r.z) for r in sure.collect()}), sample)
+
+
+def extreme_value(n: float, islands: float, total: float) -> tuple[float, float]:
+    """lambda and K of Karlin and Altschul (1990), so that about K * n * exp(-lambda * x) segments of n words reach x by
+    chance, from the maximal segments ("islands") of texts without a signal: their words, the segments' number and their
+    summed scores. The likeliest lambda of exponential scores is one over their mean (Altschul and others 2001)."""
+    if not islands or not total:
+        return 1.0, 1 / max(1.0, n)
+    return islands / total, islands / n
 
 
 def calibrated(model: Model, sample: DataFrame) -> Model:
-    """Sets lam and k from the word scores of clean documents, then the logistic scale from all of the sample."""
+    """Sets lam and k from the segments of clean documents, then the logistic scale from all of the sample."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def spread(cols: list[list]) -> Iterator[tuple]:
-        of, seen = Scorer(shared.value), Counter()
+        of = Scorer(shared.value)
         for toxic, t in zip(*cols, strict=True):
             if not toxic:
-                seen.update(np.round(of.of(t), 1).tolist())
-        yield from seen.items()
-
-    rows = map_rows(sample, spread, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()  # scores to one decimal: at most some hundred
-    s = np.array([r.score for r in rows] + [MOST - DRIFT])
-    p = np.array([r.n for r in rows] + [1], float)
-    p /= p.sum()
-    low, high = 1e-6, 50.0
-    for _ in range(100):  # sum p exp(lam s) = 1 has one positive root when the mean is negative
-        lam = (low + high) / 2
-        low, high = (lam, high) if (p * np.exp(lam * s)).sum() < 1 else (low, lam)
-    up = p[s > 0].sum()
-    model.lam, model.k = lam, max(1e-6, min(1.0, float(up)))
+                scores = of.of(t)
+                found = segments(scores)
+                yield len(scores), len(found), sum(x for _, _, x in found)
+
+    seen = map_rows(sample, spread, "n long, islands long, total double").agg(F.sum("n"), F.sum("islands"), F.sum("total")).first()
+    model.lam, model.k = extreme_value(*(float(x or 0) for x in seen))
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def weigh(cols: list[list]) -> Iterator[tuple]:
@@ -194,14 +197,15 @@ def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, passages for every row of docs; the model learns from the other folds.
 
-    Rows without doc_id count as held out. Repeated rows score alike. An empty table gives no rows.
+    Rows without doc_id count as held out. Repeated rows score alike; null and empty texts as texts without a toxic word.
+    A text is scanned whole, in linear time. Other columns are ignored. An empty table gives no rows.
     """
     scored = score_documents(docs, fit(docs, labels, doc_id, text), doc_id, text)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that don't score as toxic."""
+    """The rows of docs, all columns, that don't score as toxic. Null and empty texts stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -43,6 +43,57 @@ def test_segments_are_maximal():
         assert [(a, b) for a, b, _ in toxic.segments(np.array(s))] == best(s, 0, len(s))
 
 
+def test_extreme_values():
+    """What some random scores say of chance holds for others."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: np.where(rng.random(n) < 0.02, rng.exponential(1.0, n), 0) - 0.25
+    n = 300_000
+    islands = toxic.segments(draw(n))
+    lam, k = toxic.extreme_value(n, len(islands), sum(x for _, _, x in islands))
+    for over in (1.0, 2.0, 3.0):
+        found = sum(x >= over for _ in range(4) for _, _, x in toxic.segments(draw(n)))
+        assert found == pytest.approx(4 * k * n * np.exp(-lam * over), rel=0.25)
+    assert toxic.extreme_value(0, 0, 0) == (1.0, 1.0)
+
+
+def test_toxicity_is_the_method(spark):
+    """Scores and passages by the definition: log-odds, segments and calibration anew in plain Python, from the same texts."""
+    import math
+    import re
+
+    sf = SF.replace("0.001", "0.01")
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    text = {r.doc_id: r.text for r in d.collect()}
+    label = defaultdict(int)
+    for r in labels.where("toxic IS NOT NULL").collect():
+        if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 5:
+            label[text[r.doc_id]] = max(label[text[r.doc_id]], r.toxic)
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    of = [Counter(), Counter()]
+    for t, y in label.items():
+        of[y].update({f for w in set(words(t)) for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)]})
+    n = [sum(v for f, v in c.items() if not f.endswith("*")) for c in of]
+    weight, odds = toxic.PRIOR * min(n), {}
+    for f in of[0].keys() | of[1].keys():
+        prior = weight * (of[0][f] + of[1][f]) / sum(n)
+        o = [math.log((of[k][f] + prior) / (n[k] + weight - of[k][f] - prior)) for k in (0, 1)]
+        z = (o[1] - o[0]) / math.sqrt(1 / (of[1][f] + prior) + 1 / (of[0][f] + prior))
+        if abs(z) >= toxic.DEVIATIONS:
+            odds[f] = o[1] - o[0] - toxic.SURE * (o[1] - o[0]) / z
+    model = toxic.fit(d, labels)
+    assert model.odds.keys() == odds.keys()
+    score = lambda w: min(max((odds[f] for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)] if f in odds), default=0.0), toxic.MOST) - toxic.DRIFT
+    got = {r.doc_id: r for r in toxic.toxicity(d, labels).collect()}
+    for i, t in text.items():
+        w = words(t)
+        over = math.log(model.k * len(w)) if w else 0
+        found = [(a, b, model.lam * x - over) for a, b, x in toxic.segments(np.array([score(x) for x in w]))] if w else []
+        found = [f for f in found if math.exp(-f[2]) < toxic.SIGNIFICANT]
+        assert [(p.first, p.end) for p in got[i].passages] == [f[:2] for f in found]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * math.log1p(sum(f[2] for f in found)) + model.shift))), rel=1e-6)
+        assert got[i].predicted == (got[i].score >= 0.5)
+
+
 def test_toxicity(spark, docs, empty):
     d, labels = all_docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     got = toxic.toxicity(d, labels).toPandas()
@@ -281,6 +332,13 @@ def test_simhash_links(spark, monkeypatch):
         assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
     key = np.zeros(len(prints), np.int64)
     monkeypatch.setattr(simhash, "LONG", 4)
+    # One run over LONG that passes through in several batches, between two short ones.
+    keys, rows = np.array([1, 1, *[2] * 12, 3, 3]), np.arange(16, dtype=np.int64)
+    parts = [simhash.pa.record_batch({"key": keys[k : k + 5], "fp": rows[k : k + 5]}) for k in range(0, 16, 5)]
+    held = [r for b in simhash._merge_runs(iter(parts), True) for r in b.to_pylist()]
+    assert sorted(r["a"] for r in held if r["b"] is None) == list(range(2, 14)) and {(r["a"], r["b"]) for r in held if r["b"] is not None} == {(0, 1), (14, 15)}
+    joined = slow_groups(signed, [(k.a, k.b) for k in simhash.links(df).collect()])
+    assert joined == slow_groups(signed, ((signed[i], signed[g]) for i, g in enumerate(group)))
     for limit in (32, 1):
         monkeypatch.setattr(simhash, "SHORT", limit)
         a, b = simhash._pairs_of_runs(key, np.array(prints, np.uint64))
