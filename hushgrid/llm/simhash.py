@@ -9,7 +9,7 @@ met pair is verified on all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .batches import map_rows
 
 #: Shingle length in words, seed of the shingle hash, differing bits of a link: fixed by the contract.
 WORDS, SEED, BITS = 3, 42, 3
-#: Runs up to SHORT are verified pair by pair; runs over LONG are filed anew by the bytes of the other half.
+#: Runs up to SHORT are verified pair by pair; runs over LONG are filed anew by parts of the other half.
 SHORT, LONG = 32, 16_384
 
 
@@ -84,7 +84,8 @@ def _pairs_of_runs(key: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], l
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch], defer: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, fp) sorted by key: links (a, b, null); with defer, rows (fp, null, key) of runs over LONG."""
+    """Of rows (key, fp) sorted by key: links (a, b, null); with defer, rows (fp, null, key) of runs over LONG, which pass
+    through without being held."""
 
     def out(a, b, key=None):
         n = len(a)
@@ -92,7 +93,8 @@ def _merge_runs(batches: Iterator[pa.RecordBatch], defer: bool) -> Iterator[pa.R
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), none if b is None else pa.array(b.view(np.int64)), none if key is None else pa.array(key)], names=["a", "b", "key"])
 
     def links(key, fp):
-        if defer and len(key):
+        """Of whole runs."""
+        if defer:
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(cut, len(key)))
             long = np.repeat(size > LONG, size)
@@ -104,17 +106,27 @@ def _merge_runs(batches: Iterator[pa.RecordBatch], defer: bool) -> Iterator[pa.R
             if a and (n := np.concatenate(a)).size:
                 yield out(n, np.concatenate(b))
 
-    held_k, held_f, n_held = [], [], 0
+    held_k, held_f, passing = [], [], None  # the last run, which may go on in the next batch; the key of one over LONG
     for batch in batches:
         key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if passing is not None:
+            n = np.searchsorted(key, passing, side="right")
+            if n:
+                yield out(fp[:n], None, key[:n])
+            key, fp = key[n:], fp[n:]
         if not len(key):
             continue
-        last = np.searchsorted(key, key[-1])  # the last run may go on in the next batch
+        passing = None
+        last = np.searchsorted(key, key[-1])
         if last or held_k and held_k[-1][-1] != key[0]:
             yield from links(np.concatenate([*held_k, key[:last]]), np.concatenate([*held_f, fp[:last]]))
             held_k, held_f = [], []
         held_k.append(key[last:])
         held_f.append(fp[last:])
+        if defer and sum(map(len, held_k)) > LONG:
+            passing = key[-1]
+            yield out(np.concatenate(held_f), None, np.concatenate(held_k))
+            held_k, held_f = [], []
     if held_k:
         yield from links(np.concatenate(held_k), np.concatenate(held_f))
 
@@ -128,9 +140,11 @@ def links(fps: DataFrame) -> DataFrame:
     low = "(shiftrightunsigned(fp, IF(i < 32, 0, 32)) & 4294967295L & ~shiftleft(1L, i % 32))"
     filed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).selectExpr(f"shiftleft(CAST(i AS BIGINT), 32) | {low} AS key", "fp")
     first = stored(filed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _merge_runs(it, True), "a long, b long, key long"))
-    # A run over LONG shares 31 bits of one half; among the other half's four bytes a linked pair has an equal one.
-    again = first.where("b IS NULL").select(F.col("a").alias("fp"), "key", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
-    again = again.selectExpr("xxhash64(key, i, shiftrightunsigned(fp, IF(key < shiftleft(32L, 32), 32, 0) + 8 * i) & 255) AS key", "fp")
+    # A run over LONG shares 31 bits of one half. Of the other half's eight half-bytes a linked pair has five equal ones;
+    # runs of equal key and five such leave 13 bits open, so they hold at most 8,192 different fingerprints.
+    masks = [sum(15 << 4 * k for k in some) for some in combinations(range(8), 5)]
+    again = first.where("b IS NULL").select(F.col("a").alias("fp"), "key", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
+    again = again.selectExpr("xxhash64(key, mask, shiftrightunsigned(fp, IF(key < shiftleft(32L, 32), 32, 0)) & mask) AS key", "fp")
     second = again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _merge_runs(it, False), "a long, b long, key long")
     return first.where("b IS NOT NULL").unionByName(second).select("a", "b").distinct()
 
@@ -152,7 +166,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and equal texts share
     a fingerprint, hence a component. A row without doc_id gets its component's smallest id, which is null where
-    no member has one. Other columns are ignored. An empty table gives no rows.
+    no member has one. A text is hashed whole, however long. Other columns are ignored. An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, doc_id, text))
     return fps.join(_classes(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
