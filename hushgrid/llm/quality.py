@@ -290,6 +290,19 @@ def keyed(model: DataFrame) -> DataFrame:
     return model.select(key("lang", "gram").alias("key"), F.col("cost").cast("float").alias("cost"), F.col("back").cast("float").alias("back"))
 
 
+def packed(model: DataFrame) -> DataFrame:
+    """(keys, costs, backs): a keyed model in arrays of bytes, each sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one partition of a model of at most BROADCAST rows
+        if held:
+            t = pa.Table.from_batches(held)
+            at = np.argsort(t.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([t.column(c).to_numpy()[at].tobytes()], pa.binary()) for c in ("key", "cost", "back")], names=["keys", "costs", "backs"])
+
+    return small_batches(model).mapInArrow(run, "keys binary, costs binary, backs binary")
+
+
 class Costs:
     """Costs and back-off weights beside a sorted array of hashes."""
 
@@ -335,8 +348,9 @@ def measure(docs: DataFrame) -> DataFrame:
     model = stored(keyed(estimate(stored(count_grams(docs)))))
     if model.count() > BROADCAST:
         return _by_join(docs, model)
-    found = model.toPandas()  # at most BROADCAST rows
-    shared = docs.sparkSession.sparkContext.broadcast(Costs(found.key.to_numpy(np.int64), found.cost.to_numpy(np.float32), found.back.to_numpy(np.float32)))
+    rows = packed(model).collect()  # arrays of at most BROADCAST n-grams together
+    arrays = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows)]) for c, kind in (("keys", np.int64), ("costs", np.float32), ("backs", np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast(Costs(*arrays))
 
     @F.pandas_udf(MEASURES)
     def m(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
