@@ -17,25 +17,53 @@ RETRY_MS = 60_000
 
 
 class Table:
-    """A Parquet table in the shared folder that a micro-batch replaces: each version is a folder of its own, and a
-    batch that is run again writes the same version again."""
+    """A Parquet table in a shared folder that micro-batches write: batch n owns the folder n in it, and writes it again
+    if it is run again. A batch reads what earlier batches finished, never its own or a half-written folder, so a batch
+    that was killed between two writes can run again, in this process or another."""
 
     def __init__(self, spark: SparkSession, schema: str, folder: str | None = None) -> None:
-        self.spark, self.schema, self.folder, self.version = spark, schema, folder or f"{shared_dir(spark)}/{uuid.uuid4().hex}", -1
-
-    def read(self) -> DataFrame:
-        if self.version < 0:
+        self.spark, self.schema, self.folder = spark, schema, folder or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def finished(self, before: int | None = None) -> list[int]:
+        """Batches that wrote to the end, in order."""
+        path, fs = self._path("")
+        if not fs.exists(path):
+            return []
+        found = sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit())
+        done = lambda n: fs.exists(self._path(f"{n}/_SUCCESS")[0])
+        return [n for n in found if (before is None or n < before) and done(n)]
+
+    def _read(self, batches: list[int]) -> DataFrame:
+        if not batches:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.version}")
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{n}" for n in batches))
+
+    def last(self, before: int | None = None) -> DataFrame:
+        """Of a table that each batch replaces."""
+        return self._read(self.finished(before)[-1:])
+
+    def all(self, before: int | None = None) -> DataFrame:
+        """Of a table that each batch adds to."""
+        return self._read(self.finished(before))
 
-    def replace(self, df: DataFrame, batch: int) -> None:
+    def write(self, df: DataFrame, batch: int, keep: int | None = None) -> None:
+        """keep: finished batches that stay beside this one; of a replaced table the last one must."""
         df.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
-        self.version = batch
+        if keep:
+            for n in self.finished(batch)[:-keep]:
+                path, fs = self._path(str(n))
+                fs.delete(path, True)
 
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    """Everything that is there now, in micro-batches; the position is kept in the shared folder."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
+    """Everything that is there now, in micro-batches; the position is kept in a shared folder. With the same folder a
+    later run goes on from there."""
+    at = f"{folder or f'{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}'}/position"
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -50,15 +78,16 @@ def merged(held: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return held.unionByName(delta).groupBy(*keys).agg(F.sum("energy").alias("energy"), F.sum("count").alias("count")).where("count > 0")
 
 
-def rollup(stream: DataFrame, keys: list[str], key_schema: str, sign: str | None = None) -> DataFrame:
-    """Continuous rollup of a stream of readings: every micro-batch is summed and merged into the table."""
-    table = Table(stream.sparkSession, f"{key_schema}, energy double, count long")
+def rollup(stream: DataFrame, keys: list[str], key_schema: str, sign: str | None = None, folder: str | None = None) -> DataFrame:
+    """Continuous rollup of a stream of readings: every micro-batch is summed and merged into the table, which is as large
+    as there are keys. folder: where the table and the position live, to go on with later."""
+    table = Table(stream.sparkSession, f"{key_schema}, energy double, count long", folder and f"{folder}/totals")
 
     def each(batch: DataFrame, n: int) -> None:
-        table.replace(merged(table.read(), signed_rollup(batch, keys, F.col(sign) if sign else None), keys), n)
+        table.write(merged(table.last(n), signed_rollup(batch, keys, F.col(sign) if sign else None), keys), n, keep=1)
 
-    run_to_end(stream, each)
-    return table.read()
+    run_to_end(stream, each, folder)
+    return table.last()
 
 
 def split_valid(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,30 +97,32 @@ def split_valid(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
-def admit_stream(stream: DataFrame, user: Limit = USER_LIMIT, block: Limit = BLOCK_LIMIT) -> DataFrame:
+def admit_stream(stream: DataFrame, user: Limit = USER_LIMIT, block: Limit = BLOCK_LIMIT, folder: str | None = None) -> DataFrame:
     """(seq, status, retry_after_ms) of a stream of readings under both limits, exact: each micro-batch is decided
     together with what was saved within the last window and with earlier saves of its own readings, so retries of
-    saved readings are known however old they are."""
+    saved readings are known however old they are. A micro-batch adds what it saved and decided and rewrites nothing.
+    folder: where both tables and the position live, to go on with later."""
     spark = stream.sparkSession
-    cols = "seq long, user_id long, client_id long, cell string, saved_ms long"
-    saved, decided = Table(spark, cols), Table(spark, "seq long, status string, retry_after_ms long")
+    saved = Table(spark, "seq long, user_id long, client_id long, cell string, saved_ms long", folder and f"{folder}/saved")
+    decided = Table(spark, "seq long, status string, retry_after_ms long", folder and f"{folder}/decided")
     window = max(user.window_ms, block.window_ms)
 
     def each(batch: DataFrame, n: int) -> None:
         new = batch.select("seq", "user_id", "client_id", "cell", "saved_ms").persist()
-        old = saved.read()
-        again = new.join(old.select("user_id", "client_id").distinct(), ["user_id", "client_id"], "left_semi").select("seq")
+        old = saved.all(n)
+        # The history is looked up by the batch's own readings, of which the smaller side decides the join.
+        again = old.select("user_id", "client_id").join(new, ["user_id", "client_id"]).select("seq").distinct()
         dups = again.select("seq", F.lit("duplicate").alias("status"), F.lit(None).cast("long").alias("retry_after_ms"))
         open_rows = new.join(again, "seq", "left_anti")
         since = open_rows.agg(F.min("saved_ms")).first()[0] or 0
-        recent = old.where(F.col("saved_ms") > since - window)
+        recent = old.where(F.col("saved_ms") > since - window)  # reaches the scan
         out = admit(open_rows.unionByName(recent), user, block).join(open_rows.select("seq"), "seq", "left_semi").unionByName(dups).checkpoint()
-        saved.replace(old.unionByName(new.join(out.where("status = 'admitted'"), "seq", "left_semi").select(old.columns)), n)
-        decided.replace(decided.read().unionByName(out), n)
+        saved.write(new.join(out.where("status = 'admitted'"), "seq", "left_semi").select(old.columns), n)
+        decided.write(out, n)
         new.unpersist()
 
-    run_to_end(stream, each)
-    return decided.read()
+    run_to_end(stream, each, folder)
+    return decided.all()
 
 
 def retry_times(refused: DataFrame) -> DataFrame:
