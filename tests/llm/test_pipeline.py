@@ -35,6 +35,38 @@ def test_stages(spark):
     assert simhash.BITS == 3 and packing.FAN_IN == 64
 
 
+def test_stages_on_awkward_rows(spark, docs, empty, tmp_path):
+    """Nulls, empties, ties, repeated rows, a long text, columns of clashing names and empty tables, stage by stage."""
+    from collections import Counter
+
+    labels = spark.createDataFrame([(1, 0, 0), (7, None, 1), (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    whole = texts(docs)
+    sound = {k: n for k, n in whole.items() if k[1] and len(k[1].split()) >= 50}
+    for name, stage in cp.STAGES[:-1]:
+        got, none = stored(stage(spark, docs, str(tmp_path))), stage(spark, empty, str(tmp_path))
+        assert got.columns == none.columns == docs.columns and none.count() == 0, name
+        rows = texts(got)
+        if name == "toxicity":
+            assert rows == whole
+        elif name == "quality rules":
+            assert all(sound.get(k) == n for k, n in rows.items())
+        elif name == "near-duplicates":
+            keyed = {}
+            for (i, t), p in zip(whole, slow_components([slow_fingerprint(t) for _, t in whole])):
+                keyed.setdefault(p, []).append((i is None, i or 0, t))
+            assert {(r[0], r[1] or "") for r in rows} == {(None if n else i, t or "") for n, i, t in (min(v, key=lambda x: x[:2]) for v in keyed.values())} and set(rows.values()) == {1}
+        else:
+            assert all(t for _, t in rows) and sum(rows.values()) < sum(whole.values())
+    pieces = cp.pack_windows(spark, docs, str(tmp_path)).collect()
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces) and sum(r.length for r in pieces) == sum(n * (len(packing.byte_bpe()(t)) + 1 if t else 1) for (_, t), n in whole.items())
+    assert cp.pack_windows(spark, empty, str(tmp_path)).count() == 0
+    for t, d in (("documents", empty), ("labels", labels.where("1 = 0"))):
+        d.write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_run(spark):
     assert cp.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert [n for n, _ in cp.STAGES] == ["toxicity", "quality rules", "near-duplicates", "substring dedup", "packing"]
