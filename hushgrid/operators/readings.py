@@ -14,6 +14,7 @@ from ..plans.components import connected_components
 #: Seconds of a session, minutes that a phone's clock may be ahead, bounds of levels, offsets and model names.
 SESSION_SECONDS, CLOCK_SKEW_MS = 30.0, 5 * 60_000
 LEVELS, OFFSETS, MODEL_LENGTH = (0.0, 140.0), (80.0, 160.0), 100
+DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
 
@@ -61,11 +62,17 @@ def unseen(readings: DataFrame, history: DataFrame) -> DataFrame:
     return readings.join(history.select("user_id", "client_id"), ["user_id", "client_id"], "left_anti")
 
 
-def arrivals_before(key: str, window_ms: int) -> Column:
-    """Rows of the key that arrived in the trailing window before this one; equal times are ordered by seq."""
-    w = Window.partitionBy(key).orderBy("saved_ms").rangeBetween(-(window_ms - 1), 0)
-    peers = Window.partitionBy(key, "saved_ms").orderBy(F.desc("seq"))
-    return F.count("*").over(w) - F.row_number().over(peers)
+def with_arrivals(rows: DataFrame, name: str, key: str, window_ms: int) -> DataFrame:
+    """rows with `name`: how many rows of the key arrived in the trailing window before; equal times are ordered by seq.
+
+    A key's time is cut into slots of a window's length, and a row is also filed under the slot after its own, so a task
+    gets two windows of a busy key and not all of its time.
+    """
+    slot = F.floor(F.col("saved_ms") / window_ms)
+    each = rows.withColumn("hg_slot", F.explode(F.array(slot, slot + 1)))
+    w = Window.partitionBy(key, "hg_slot").orderBy("saved_ms").rangeBetween(-(window_ms - 1), 0)
+    peers = Window.partitionBy(key, "hg_slot", "saved_ms").orderBy(F.desc("seq"))
+    return each.withColumn(name, F.count("*").over(w) - F.row_number().over(peers)).where(F.col("hg_slot") == slot).drop("hg_slot")
 
 
 ADMITTED = "seq long, status string, retry_after_ms long"
@@ -117,7 +124,8 @@ def admit(readings: DataFrame, user: Limit = USER_LIMIT, block: Limit = BLOCK_LI
     users and blocks; a user or block that is often contested is one that its own limit holds down.
     """
     rows = readings.select("seq", "user_id", "client_id", "cell", "saved_ms")
-    flagged = rows.withColumn("full", (arrivals_before("user_id", user.window_ms) >= user.count) | (arrivals_before("cell", block.window_ms) >= block.count))
+    flagged = with_arrivals(with_arrivals(rows, "by_user", "user_id", user.window_ms), "by_cell", "cell", block.window_ms)
+    flagged = flagged.withColumn("full", (F.col("by_user") >= user.count) | (F.col("by_cell") >= block.count)).drop("by_user", "by_cell")
     tries = Window.partitionBy("user_id", "client_id")
     flagged = flagged.withColumn("contested", F.max("full").over(tries)).withColumn("attempt", F.row_number().over(tries.orderBy("saved_ms", "seq"))).checkpoint()
     sure = flagged.where("NOT contested")
@@ -173,15 +181,22 @@ def search_budget(searches: DataFrame, limit: Limit = SEARCH_LIMIT) -> DataFrame
 def attach_visits(readings: DataFrame, searches: DataFrame) -> DataFrame:
     """Adds venue_id: the reading's osm_id if the latest search of its block by then listed it, else null.
 
-    searches: (cell, fetched_ms, venues array<struct<osm_id, ...>>). As-of by union: readings and searches of a block
-    in one sorted window, where a reading takes the last search before it.
+    searches: (cell, fetched_ms, venues array<struct<osm_id, ...>>). As-of by union: readings and searches of a block's
+    day in one sorted window, where a reading takes the last search before it. Each day begins with the last search of
+    the days before, so a busy block is cut by days.
     """
-    r = readings.withColumns({"hg_at": F.col("saved_ms"), "hg_kind": F.lit(1), "hg_listed": F.lit(None).cast("array<string>")})
-    s = searches.select("cell", F.col("fetched_ms").alias("hg_at"), F.lit(0).alias("hg_kind"), F.col("venues.osm_id").alias("hg_listed"))
-    w = Window.partitionBy("cell").orderBy("hg_at", "hg_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(s, allowMissingColumns=True).withColumn("hg_listed", F.last("hg_listed", ignorenulls=True).over(w))
+    day = lambda c: F.floor(F.col(c) / DAY_MS)
+    r = readings.withColumns({"hg_at": F.col("saved_ms"), "hg_kind": F.lit(1), "hg_listed": F.lit(None).cast("array<string>"), "hg_day": day("saved_ms")})
+    s = searches.select("cell", F.col("fetched_ms").alias("hg_at"), F.lit(0).alias("hg_kind"), F.col("venues.osm_id").alias("hg_listed"), day("fetched_ms").alias("hg_day"))
+    latest = s.groupBy("cell", "hg_day").agg(F.max_by("hg_listed", "hg_at").alias("hg_listed"))
+    days = r.select("cell", "hg_day").distinct().join(latest, ["cell", "hg_day"], "full")
+    before = Window.partitionBy("cell").orderBy("hg_day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    carried = days.withColumn("hg_listed", F.last("hg_listed", ignorenulls=True).over(before)).where("hg_listed IS NOT NULL")
+    carried = carried.select("cell", (F.col("hg_day") * DAY_MS - 1).alias("hg_at"), F.lit(0).alias("hg_kind"), "hg_listed", "hg_day")
+    w = Window.partitionBy("cell", "hg_day").orderBy("hg_at", "hg_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(s.unionByName(carried), allowMissingColumns=True).withColumn("hg_listed", F.last("hg_listed", ignorenulls=True).over(w))
     ok = valid_visit() & F.array_contains("hg_listed", F.col("osm_id"))
-    return both.where("hg_kind = 1").withColumn("venue_id", F.when(ok, F.col("osm_id"))).drop("hg_at", "hg_kind", "hg_listed")
+    return both.where("hg_kind = 1").withColumn("venue_id", F.when(ok, F.col("osm_id"))).drop("hg_at", "hg_kind", "hg_listed", "hg_day")
 
 
 def cell_rollup(readings: DataFrame) -> DataFrame:

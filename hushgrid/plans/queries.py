@@ -69,7 +69,8 @@ def w1_first_saved(spark, sf_dir):
 @query(R + """ SELECT seq, count(*) OVER (PARTITION BY user_id ORDER BY saved_ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) - row_number() OVER (PARTITION BY user_id, saved_ms ORDER BY seq DESC) AS by_user,
     count(*) OVER (PARTITION BY cell ORDER BY saved_ms RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) - row_number() OVER (PARTITION BY cell, saved_ms ORDER BY seq DESC) AS by_cell FROM readings""")
 def w2_arrivals(spark, sf_dir):
-    return ad.readings(spark, sf_dir).select("seq", rd.arrivals_before("user_id", DAY).alias("by_user"), rd.arrivals_before("cell", rd.HOUR_MS).alias("by_cell"))
+    rows = ad.readings(spark, sf_dir).select("seq", "user_id", "cell", "saved_ms")
+    return rd.with_arrivals(rd.with_arrivals(rows, "by_user", "user_id", DAY), "by_cell", "cell", rd.HOUR_MS).select("seq", "by_user", "by_cell")
 
 
 def _limits():
@@ -458,7 +459,8 @@ WAYS = """WITH w AS (SELECT o_orderkey AS k, ['residential', 'footway', 'motorwa
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wg.node_refs(tx.parse_ways(ad.way_lines(spark, sf_dir)).where(wg.walkable()))
+    # Stored, as setting levels apart reads it three times.
+    return stored(wg.node_refs(tx.parse_ways(ad.way_lines(spark, sf_dir)).where(wg.walkable())))
 
 
 @query(WAYS + " SELECT way_id, pos, node_id, lng_e7, lat_e7, level, flags FROM refs")

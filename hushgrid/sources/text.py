@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cells as ce
 from ..functions.acoustics import is_finite, round_to
@@ -49,9 +48,23 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartitionByRange("cell").sortWithinPartitions("cell").select(line.alias("value")).write.text(path)
 
 
-@F.pandas_udf(T.StringType())
-def opl_unescape(text: pd.Series) -> pd.Series:
-    return text.str.replace(r"%([0-9a-f]+)%", lambda m: chr(int(m[1], 16)), regex=True)
+def unescaped(text: Column) -> Column:
+    """Text in which a code point's hexadecimal digits between two percent signs stand for the character. The parts between
+    percent signs are taken one by one: digits behind an unused sign use it and the next one up."""
+    digits = lambda x: (F.length(x) > 0) & (F.length(x) <= 8) & (F.translate(x, "0123456789abcdef", "") == "")
+    char = lambda x: F.decode(F.unhex(F.lpad(x, 8, "0")), "UTF-32")
+    start = lambda parts: F.struct(parts[0].alias("done"), F.lit(False).alias("used"), F.lit(1).alias("k"))
+
+    def step(n):
+        def take(state, x):
+            escape = ~state["used"] & digits(x) & (state["k"] < n - 1)
+            more = F.when(escape, char(x)).when(state["used"], x).otherwise(F.concat(F.lit("%"), x))
+            return F.struct(F.concat(state["done"], more).alias("done"), escape.alias("used"), (state["k"] + 1).alias("k"))
+
+        return take
+
+    whole = lambda parts: F.aggregate(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), start(parts), step(F.size(parts)), lambda state: state["done"])
+    return F.when(F.instr(text, "%") == 0, text).otherwise(ce.let(F.split(text, "%"), whole))
 
 
 def parse_ways(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -61,24 +74,24 @@ def parse_ways(lines: DataFrame, value: str = "value") -> DataFrame:
     tag = F.filter(F.split(F.substring(F.col("f")[1], 2, 1 << 30), ","), lambda x: F.length(x) > 0)
     ref = F.filter(F.split(F.substring(F.col("f")[2], 2, 1 << 30), ","), lambda x: F.length(x) > 0)
     w = w.select(F.substring(F.col("f")[0], 2, 30).cast("long").alias("way_id"), tag.alias("t"), ref.alias("r"))
-    pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.try_element_at(F.split(x, "="), F.lit(2)).alias("v"))
-    e7 = lambda x, g: round_to(F.regexp_extract(x, NODE, g).try_cast("double") * 1e7).cast("int")
-    node = lambda x: F.struct(F.regexp_extract(x, NODE, 1).try_cast("long").alias("id"), e7(x, 2).alias("lng_e7"), e7(x, 3).alias("lat_e7"))
-    w = w.withColumn("t", F.filter(F.transform("t", pair), lambda p: p["k"] != ""))
-    # Escapes are rare: the helper runs on those ways only, over the tags joined by characters that tags don't have.
-    mark, sep = "\x1e", "\x1f"
-    joined = F.array_join(F.transform("t", lambda p: F.concat(p["k"], F.lit(sep), F.coalesce(p["v"], F.lit("")))), mark)
-    w = w.withColumn("j", joined).withColumn("j", F.when(F.col("j").rlike("%[0-9a-f]+%"), opl_unescape("j")).otherwise(F.col("j")))
-    entries = F.transform(F.filter(F.split("j", mark), lambda x: F.length(x) > 0), lambda x: F.struct(F.split(x, sep)[0].alias("k"), F.split(x, sep)[1].alias("v")))
+    pair = lambda x: F.struct(unescaped(F.substring_index(x, "=", 1)).alias("k"), unescaped(F.coalesce(F.try_element_at(F.split(x, "="), F.lit(2)), F.lit(""))).alias("v"))
+    number = lambda x: F.when(F.translate(x, "0123456789.-", "") == "", x.try_cast("double"))
+    e7 = lambda x: round_to(number(x) * 1e7).cast("int")
+
+    def node(x: Column) -> Column:
+        """n<id>x<lng>y<lat>, where the places may be empty."""
+        first, place = F.substring_index(x, "x", 1), F.try_element_at(F.split(x, "x"), F.lit(2))
+        lng, lat = F.substring_index(place, "y", 1), F.try_element_at(F.split(place, "y"), F.lit(2))
+        whole = x.startswith("n") & lat.isNotNull()
+        return F.struct(F.when(whole, F.substring(first, 2, 30).try_cast("long")).alias("id"), F.when(whole, e7(lng)).alias("lng_e7"), F.when(whole, e7(lat)).alias("lat_e7"))
+
+    entries = F.filter(F.transform(F.filter("t", lambda x: F.substring_index(x, "=", 1) != ""), pair), lambda p: p["k"].isNotNull())
     last = lambda e: ce.let(F.array_distinct(F.transform(e, lambda x: x["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(e, lambda x: x["k"] == k), -1)["v"])))
     tags = ce.let(entries, last)
     # Through a generator, so that filters on tags aren't pushed below, where each would parse the line again.
     return w.select(F.inline(F.array(F.struct("way_id", tags.alias("tags"), F.transform("r", node).alias("nodes")))))
 
 
-NODE = r"^n(\d+)x(-?[\d.]*)y(-?[\d.]*)$"
-
-
 def parse_outbox(rows: DataFrame) -> DataFrame:
     """Rows of an outbox in order of `at`: those of a wrong type or an invalid cell drop; a visit that doesn't parse
     is null. Columns are text as stored, visit JSON."""

@@ -388,6 +388,33 @@ def test_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
     assert got == {r.cell: (r["count"], round(r.energy)) for r in rd.cell_rollup(df).collect()}
 
 
+def test_busy_block(spark):
+    """A third of all rows in one block: arrivals and visits as counted one by one, over several days."""
+    rnd = random.Random(12)
+    rows = [(n, rnd.randrange(9), "hot" if rnd.random() < 0.4 else f"c{rnd.randrange(6)}", rnd.randrange(5 * 86_400_000) // 60_000 * 60_000, f"node/{rnd.randrange(4)}", 9) for n in range(400)]
+    df = spark.createDataFrame(rows, "seq long, user_id long, cell string, saved_ms long, osm_id string, hour int")
+    got = {r.seq: r.n for r in rd.with_arrivals(df, "n", "cell", 3_600_000).collect()}
+    assert got == {q: sum(c2 == c and t - 3_600_000 < t2 and (t2, q2) < (t, q) for q2, _, c2, t2, *_ in rows) for q, _, c, t, *_ in rows}
+    found = [(c, t + 7, [f"node/{rnd.randrange(4)}"]) for _, _, c, t, *_ in rnd.sample(rows, 25)]
+    found = list({(c, t): (c, t, v) for c, t, v in found}.values())
+    searches = spark.createDataFrame([(c, t, [(x,) for x in v]) for c, t, v in found], "cell string, fetched_ms long, venues array<struct<osm_id string>>")
+    got = {r.seq: r.venue_id for r in rd.attach_visits(df, searches).collect()}
+    for q, _, c, t, v, _ in rows:
+        last = max(((t2, v2) for c2, t2, v2 in found if c2 == c and t2 <= t), default=(0, []))
+        assert got[q] == (v if v in last[1] else None)
+
+
+def test_unescaped(spark):
+    import re
+
+    rnd = random.Random(3)
+    texts = ["A%20%B", "100% sure", "%zz%20%", "%41%%42%", "%", "%%", "%1f600%", "a%41%b%", "", "%41", "no"] + ["".join(rnd.choice(["%", "%", "4", "1", "f", "z"]) for _ in range(rnd.randrange(9))) for _ in range(300)]
+    texts = [t for t in texts if not any(int(x, 16) == 0 or int(x, 16) > 0x10FFFF or 0xD800 <= int(x, 16) < 0xE000 for x in re.findall(r"[0-9a-f]+", t))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.unescaped(F.col("t")).alias("u")).collect()
+    for r in got:
+        assert r.u == re.sub(r"%([0-9a-f]+)%", lambda m: chr(int(m[1], 16)), r.t), r.t
+
+
 def test_removal_leaves_nothing(spark):
     rows = spark.createDataFrame([("a", 60.0, 1), ("a", 80.0, 1), ("a", 80.0, -1), ("a", 60.0, -1), ("b", 50.0, 1)], "cell string, laeq double, sign int")
     empty = spark.createDataFrame([], "cell string, energy double, count long")
