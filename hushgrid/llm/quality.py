@@ -357,7 +357,8 @@ def measure(docs: DataFrame) -> DataFrame:
         for texts, langs in batches:
             yield _measured(shared.value, texts.tolist(), langs.tolist())
 
-    return small_batches(docs).select("row", "lang", m("text", "lang").alias("m"))
+    # Else a filter on m would be pushed below, with another run of it.
+    return small_batches(docs).select("row", "lang", m.asNondeterministic()("text", "lang").alias("m"))
 
 
 def _by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
