@@ -33,6 +33,8 @@ from .batches import mix, small_batches, words_of
 SPAN, AT_ONCE, WAITING, VOCABULARY = 4, 1 << 16, 1 << 18, 1 << 21
 #: Most n-grams of a model that workers get whole (16 bytes each), and characters of a part of the documents beyond that.
 BROADCAST, PART = 1 << 20, 1 << 24
+#: Rows about languages that tasks get whole.
+LANGUAGES = 100_000
 #: Words that a text needs, and the share of repeated ones that it may have: fixed by the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Signs that count as symbols: fixed by the contract.
@@ -240,6 +242,13 @@ def _tag():
     return F.when(F.min("tag") == F.max("tag"), F.min("tag")).otherwise(F.lit(0)).alias("tag")
 
 
+def _by_language(rows: DataFrame) -> DataFrame:
+    """Some rows for each language, to be joined to many: sent to all tasks if they are at most LANGUAGES, as a join by
+    language would bring a language's rows into one task."""
+    rows = stored(rows)
+    return F.broadcast(rows) if rows.count() <= LANGUAGES else rows
+
+
 def estimate(counts: DataFrame) -> DataFrame:
     """(lang, gram, cost, back) of the n-grams of all orders that several texts have, and of the empty one for each
     language: the cost of the last character after the others, by modified Kneser-Ney (Chen and Goodman 1998), and what a
@@ -255,7 +264,7 @@ def estimate(counts: DataFrame) -> DataFrame:
     n1, n2, n3, n4 = (F.greatest(F.lit(1), F.count_if(F.col("c") == j)) for j in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
     d = [F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * more / less)).alias(f"d{j}") for j, (less, more) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
-    discounts = rows.groupBy("lang", size.alias("k")).agg(*d)  # SPAN rows for each language
+    discounts = _by_language(rows.groupBy("lang", size.alias("k")).agg(*d))
     cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = rows.withColumn("k", size).join(discounts, ["lang", "k"]).withColumn("cut", F.least(cut, F.col("c"))).withColumn("context", F.expr("substring(gram, 1, k - 1)"))
     # Sums by context are combined on the map side. A context's length is the order but one.
@@ -264,7 +273,7 @@ def estimate(counts: DataFrame) -> DataFrame:
     parts = rows.join(sums, ["lang", "context"]).select("lang", "gram", "k", ((F.col("c") - F.col("cut")) / F.col("total")).alias("own"), "free", "tag")
     parts = stored(parts)
     # p(gram) = own + free * p(gram without its first character), down to one of all characters and an unknown one.
-    base = parts.where("k = 1").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0"))
+    base = _by_language(parts.where("k = 1").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0")))
     known = parts.where("tag = 0")
     ends = known.select("lang", F.col("gram").alias("whole"), F.explode(F.expr("transform(sequence(1, k), j -> substring(gram, j))")).alias("gram"))
     chain = ends.join(parts.select("lang", "gram", "k", "own", "free"), ["lang", "gram"]).groupBy("lang", "whole").agg(F.sort_array(F.collect_list(F.struct("k", "own", "free"))).alias("chain"))
@@ -424,7 +433,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     pieces. Other columns are ignored. An empty table gives no rows.
     """
     scored = stored(measure(_ready(docs, F.struct(F.col(doc_id).alias("doc_id")), text, lang))).withColumn("base_failed", _base_failed())
-    return scored.join(bands(scored.where("NOT base_failed")), "lang", "left").select(
+    return scored.join(_by_language(bands(scored.where("NOT base_failed"))), "lang", "left").select(
         "row.doc_id", *(f"m.{n}" for n in _names[1:-1]), "base_failed", (~F.col("base_failed") & _inside()).alias("kept"),
         F.exp("m.log_perplexity").alias("perplexity"), F.exp("low").alias("lower"), F.exp("high").alias("upper"),
     )
@@ -434,4 +443,4 @@ def good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, all columns, that `judge` would keep. Nulls, empties, repeats and an empty table as there."""
     # Measured once and written with the texts: the bands need all of them before the first row can go.
     passed = stored(measure(_ready(docs, F.struct(*docs.columns), text, lang)).where(~_base_failed()))
-    return passed.join(bands(passed), "lang").where(_inside()).select("row.*")
+    return passed.join(_by_language(bands(passed)), "lang").where(_inside()).select("row.*")
