@@ -302,6 +302,13 @@ def guard(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.explode(rules).alias("g")).where("g.bad").select("g.name", "g.value", "g.bound")
 
 
+def guarded(metrics: DataFrame) -> DataFrame:
+    """The one row of metrics; an error when it runs if a guard is violated."""
+    said = F.concat_ws(", ", F.collect_list(F.concat("name", F.lit(" "), F.col("value").cast("string"), F.lit(" against "), F.col("bound").cast("string"))))
+    bad = guard(metrics).agg(said.alias("hg_bad"))  # one row, empty text if all is well
+    return metrics.join(bad).where(F.when(F.col("hg_bad") != "", F.raise_error(F.concat(F.lit("guards: "), "hg_bad")).cast("boolean")).otherwise(True)).drop("hg_bad")
+
+
 def spanning(pieces: DataFrame) -> DataFrame:
     """One row: pieces whose midpoint isn't in their block."""
     from .venues import cell_of

@@ -410,6 +410,13 @@ def j10_o1_nearby(spark, sf_dir):
     return ve.nearby(ad.centers(spark, sf_dir), ad.venues(spark, sf_dir), rings=None).select("cell", "osm_id", r6("meters", "meters", 3), "rank")
 
 
+@query()
+def j10_within_rings(spark, sf_dir):
+    """With the rule of at most three steps between cells."""
+    c = ad.centers(spark, sf_dir).withColumn("cell", ve.cell_of("lat", "lng", F.lit(10))).dropDuplicates(["cell"])
+    return ve.nearby(c, ad.venues(spark, sf_dir)).select("cell", "osm_id", r6("meters", "meters", 3), "rank")
+
+
 @query(ad.sql("centers", "venues") + " SELECT cell, osm_id, round((pow((v.lng - c.lng) * cos(radians(c.lat)), 2) + pow(v.lat - c.lat, 2)) * 1e8, 4) AS d2 FROM centers c JOIN venues v ON substr(c.cell, 12, 1) = substr(v.osm_id, 6, 1)")
 def f16_squared_offsets(spark, sf_dir):
     c, v = ad.centers(spark, sf_dir), ad.venues(spark, sf_dir)
@@ -677,6 +684,13 @@ def j8_trip_tiles(spark, sf_dir):
     return routes.trip_tiles(t).groupBy("trip_id").agg(F.count_distinct("x").cast("double").alias("columns"))
 
 
+@query()
+def j8_trip_measured(spark, sf_dir):
+    """Measured cells of the regions that each trip's box touches, as sums."""
+    found = routes.trip_measured(ad.trips(spark, sf_dir), measured(spark, sf_dir))
+    return found.groupBy("trip_id").agg(F.count("*").alias("cells"), F.sum("count").alias("readings"))
+
+
 # Meter ------------------------------------------------------------------------------------------------------------
 
 
