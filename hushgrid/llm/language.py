@@ -128,7 +128,8 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     shares of the selected languages.
 
     Null texts and texts without a letter are `und` with score 0. Repeated rows come out alike; a row without
-    doc_id counts as held out. Rows of null lang are predicted like others. An empty table gives no rows.
+    doc_id counts as held out. Rows of null lang are predicted like others. A text is counted whole, however long; of
+    equally likely languages the first name is taken. Other columns are ignored. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text, lang))
 

@@ -148,7 +148,8 @@ def digest_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows and rows without id are kept as
-    they come. A line of any length is one piece of work, in linear memory.
+    they come. A line of any length is one piece of work, in linear memory. Other columns are ignored. An empty table
+    gives no rows.
     """
 
     def work(cols: list[list]) -> Iterator[tuple]:

@@ -188,7 +188,8 @@ def _covered(n: int, spans: list | np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """docs with the repeated words taken out of `text`, kept words and the white space in front of them unchanged.
 
-    Null and empty texts stay as they are; texts without repeats keep every character.
+    Null and empty texts stay as they are; texts without repeats keep every character. Columns of any name are carried
+    along. Rows of one id and equal texts are one document and come out alike.
     """
     @F.pandas_udf("string")
     def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -212,7 +213,8 @@ def repeat_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space).
 
     Null and empty texts have no words. Rows of one id and equal texts are one document and come out alike. A row
-    without id ranks behind all others. An empty table gives no rows.
+    without id ranks behind all others. A text is taken whole, however long. Other columns are ignored. An empty table
+    gives no rows.
     """
 
     def work(cols: list[list]) -> Iterator[tuple]:

@@ -136,6 +136,48 @@ def test_language(spark, docs, empty):
     assert {x.lang_pred for x in r if x.doc_id in (2, 3, 4)} == {"und"} and language.languages(empty).count() == 0
 
 
+def test_language_is_the_method(spark):
+    """Mixtures by the definition, in plain Python: trigrams, likelihoods, and expectation-maximisation over a set that
+    grows by the language that gains most."""
+    import math
+
+    d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in d.collect()]
+    learned = {(i, t, g) for i, t, g in rows if g is not None and t and zlib.crc32(str(i).encode()) % 5}
+    assert len(learned) < language.SAMPLE
+    of = lambda t: Counter(language.trigrams(t).tolist())
+    count = defaultdict(Counter)
+    for _, t, g in learned:
+        count[g].update(of(t))
+    names = sorted(count)
+    total = {g: sum(count[g].values()) + 0.1 * language.BUCKETS for g in names}
+    model = language.fit(d)
+    assert model.names == names
+    mixed = [a[1][:300] + " " + b[1][:200] for a, b in zip(rows[:200:5], rows[3:200:5]) if a[1] and b[1]]
+    for t in [t for _, t, _ in rows[:60] if t] + mixed:
+        n = of(t)
+        if not any(map(str.isalpha, t)):
+            continue
+        p = {x: {g: (count[g][x] + 0.1) / total[g] for g in names} for x in n}
+        like = lambda share: sum(k * math.log(sum(w * p[x][g] for g, w in share.items())) for x, k in n.items())
+        size = sum(n.values())
+        share = {max(names, key=lambda g: like({g: 1.0})): 1.0}
+        while len(share) < len(names):
+            gain = {g: sum(k * p[x][g] / sum(w * p[x][h] for h, w in share.items()) for x, k in n.items()) for g in names if g not in share}
+            new = max(gain, key=gain.get)
+            if gain[new] <= size:
+                break
+            more = {g: 0.9 * w for g, w in share.items()} | {new: 0.1}
+            for _ in range(language.STEPS):
+                parts = {x: sum(w * p[x][g] for g, w in more.items()) for x in n}
+                more = {g: w * sum(k * p[x][g] / parts[x] for x, k in n.items()) / size for g, w in more.items()}
+            if like(more) - like(share) <= language.PENALTY * math.log(max(2, size)):
+                break
+            share = more
+        got = model.mixture(t)
+        assert got.keys() == share.keys() and all(got[g] == pytest.approx(w, abs=2e-3) for g, w in share.items())
+
+
 # HTML -------------------------------------------------------------------------------------------------------------
 
 
