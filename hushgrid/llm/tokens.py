@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -23,8 +23,8 @@ class ByteBpe:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -32,11 +32,17 @@ class ByteBpe:
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.library = Tokenizer.from_file(path)
         self.size = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.size[i] = len(token)
 
+    @cached_property
+    def library(self):
+        """Loaded only for a text that needs it: each worker would hold it for good."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         """uint32 ids."""
         try:
