@@ -276,8 +276,11 @@ def estimate(counts: DataFrame) -> DataFrame:
     base = _by_language(parts.where("k = 1").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0")))
     known = parts.where("tag = 0")
     ends = known.select("lang", F.col("gram").alias("whole"), F.explode(F.expr("transform(sequence(1, k), j -> substring(gram, j))")).alias("gram"))
-    chain = ends.join(parts.select("lang", "gram", "k", "own", "free"), ["lang", "gram"]).groupBy("lang", "whole").agg(F.sort_array(F.collect_list(F.struct("k", "own", "free"))).alias("chain"))
-    p = F.aggregate("chain", F.col("p0"), lambda below, x: x["own"] + x["free"] * below)
+    of_order = [F.max(F.when(F.col("k") == j, F.col(c))).alias(f"{c}{j}") for j in range(1, SPAN + 1) for c in ("own", "free")]
+    chain = ends.join(parts.select("lang", "gram", "k", "own", "free"), ["lang", "gram"]).groupBy("lang", "whole").agg(*of_order)
+    p = F.col("p0")
+    for j in range(1, SPAN + 1):
+        p = F.coalesce(f"own{j}", F.lit(0.0)) + F.coalesce(f"free{j}", F.lit(1.0)) * p
     costs = chain.join(base, "lang").select("lang", F.col("whole").alias("gram"), (-F.log(p)).alias("cost"))
     costs = costs.unionByName(base.select("lang", F.lit("").alias("gram"), (-F.log("p0")).alias("cost")))
     backs = sums.select("lang", F.col("context").alias("gram"), (-F.log("free")).alias("back"))
