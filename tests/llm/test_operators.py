@@ -775,7 +775,7 @@ def test_oracle(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
