@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import table
-from . import html_text, language, lexical, packing, pieces, quality, simhash, substrings, tokens, topk, whitening
+from . import credentials, html_text, language, lexical, packing, pieces, quality, simhash, substrings, tokens, topk, whitening
 from . import toxicity as toxic
 
 
@@ -57,6 +57,10 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(credentials.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null if it has no long
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
     "op11_lexical": op11_lexical,
+    "op12_secrets": op12_secrets,
     "op13_whitening": op13_whitening,
 }
 
@@ -105,4 +110,5 @@ ORACLE_SQL: dict[str, str] = {
             FROM items JOIN held USING (t) JOIN weights USING (t), stats GROUP BY item_id, r, doc_id)
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
         FROM scored WHERE score > 0 QUALIFY rank <= 50""",
+    "op12_secrets": credentials.SQL,
 }
