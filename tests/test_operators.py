@@ -296,28 +296,39 @@ def test_outcomes(spark):
 
 
 def test_search_is_cheapest():
-    """Against Dijkstra's algorithm on random grids."""
+    """Against Dijkstra's algorithm on random grids, all weights at once; places on one edge and at corners too."""
     rnd = random.Random(8)
-    rows = []
-    for i in range(8):
-        for j in range(8):
-            for di, dj in ((1, 0), (0, 1)):
-                if i + di < 8 and j + dj < 8 and rnd.random() < 0.85:
-                    p = lambda i, j: (round(LNG * 1e7 + i * 90 * MX), round(LAT * 1e7 + j * 90 * MY))
-                    rows.append((*p(i, j), *p(i + di, j + dj), rnd.choice([45.0, 60.0, 75.0, math.nan]), rnd.choice([0, 0, 1])))
-    g = routes.StreetGraph(pd.DataFrame(rows, columns=["from_lng", "from_lat", "to_lng", "to_lat", "db", "flags"]), (LNG - 0.1, LAT - 0.1, LNG + 0.1, LAT + 0.1))
-    for w in (0.0, 0.5, 3.0):
-        cost = g.costs(w)
-        for _ in range(10):
-            (a, sa), (b, sb) = ((rnd.randrange(len(rows)), rnd.random()) for _ in range(2))
-            best = {n: math.inf for n in range(len(g.xy))}
-            best[g.ends[a, 0]], best[g.ends[a, 1]] = cost[a] * sa, cost[a] * (1 - sa)
-            for _ in range(len(best)):
-                for e, (u, v) in enumerate(g.ends):
-                    best[u], best[v] = min(best[u], best[v] + cost[e]), min(best[v], best[u] + cost[e])
-            want = min(best[g.ends[b, 0]] + cost[b] * sb, best[g.ends[b, 1]] + cost[b] * (1 - sb), abs(sa - sb) * cost[a] if a == b else math.inf)
-            walk = g.search(w, (a, sa), (b, sb))
-            assert (sum(abs(f - s) * cost[e] for e, s, f in walk) if walk else math.inf) == pytest.approx(want)
+    for size in (3, 8):
+        rows = []
+        for i in range(size):
+            for j in range(size):
+                for di, dj in ((1, 0), (0, 1)):
+                    if i + di < size and j + dj < size and rnd.random() < 0.85:
+                        p = lambda i, j: (round(LNG * 1e7 + i * 90 * MX), round(LAT * 1e7 + j * 90 * MY))
+                        rows.append((0, 0, *p(i, j), *p(i + di, j + dj), rnd.choice([45.0, 60.0, 75.0, math.nan]), rnd.choice([0, 0, 1])))
+        edges = routes.Streets(pd.DataFrame(rows, columns=["tile_x", "tile_y", "from_lng", "from_lat", "to_lng", "to_lat", "db", "flags"]))
+        g = routes.Corridor(edges, np.arange(len(rows)), (LNG - 0.1, LAT - 0.1, LNG + 0.1, LAT + 0.1))
+        weights = [0.0, 0.5, 3.0]
+        for trial in range(40):
+            (a, sa), (b, sb) = ((rnd.randrange(len(rows)), rnd.choice([0.0, 1.0, rnd.random(), rnd.random()])) for _ in range(2))
+            if trial % 8 == 0:
+                b = a
+            walks = g.walks((a, sa), (b, sb), weights)
+            for k, cost in enumerate(g.costs(weights)):
+                best = {n: math.inf for n in range(len(g.xy))}
+                best[g.ends[a, 0]], best[g.ends[a, 1]] = cost[a] * sa, cost[a] * (1 - sa)
+                for _ in range(len(best)):
+                    for e, (u, v) in enumerate(g.ends):
+                        best[u], best[v] = min(best[u], best[v] + cost[e]), min(best[v], best[u] + cost[e])
+                want = min(best[g.ends[b, 0]] + cost[b] * sb, best[g.ends[b, 1]] + cost[b] * (1 - sb), abs(sa - sb) * cost[a] if a == b else math.inf)
+                if walks is None:  # no way, or nothing to walk
+                    assert want == math.inf or want < 1e-9
+                    continue
+                assert sum(abs(y - x) * cost[e] for e, x, y in walks[k]) == pytest.approx(want)
+                # It hangs together: each stretch begins where the one before ended.
+                at = lambda e, x: g.xy[g.ends[e, 0]] + x * (g.xy[g.ends[e, 1]] - g.xy[g.ends[e, 0]])
+                ways = [(a, sa, sa), *walks[k], (b, sb, sb)]
+                assert all(np.allclose(at(e, y), at(f, x), atol=1e-6) for (e, _, y), (f, x, _) in zip(ways, ways[1:]))
 
 
 def test_a_weighting():
