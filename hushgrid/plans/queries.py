@@ -710,12 +710,26 @@ def t7_plain_frames(spark, sf_dir):
     return meter.plain_frames(s).select("session_id", "frame_no", r6("dbfs", "dbfs"))
 
 
-@query()
+def _weighted(rate: int) -> str:
+    """A-weighting as a recursion over the samples of all sessions, stage after stage."""
+    zeros, poles, gain = meter.a_chain(rate)
+    stages = "".join(f", y{k} + s{k + 1} AS y{k + 1}, {p!r}::DOUBLE * y{k + 1} - {z!r}::DOUBLE * y{k} AS t{k + 1}" for k, (z, p) in enumerate(zip(zeros, poles, strict=True)))
+    n = range(1, len(poles) + 1)
+    return f"""WITH RECURSIVE x AS MATERIALIZED (SELECT l_suppkey // 10 AS session_id, row_number() OVER (PARTITION BY l_suppkey // 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount) - 1 AS n, CAST(CAST(l_discount - 0.05 AS FLOAT) AS DOUBLE) AS v FROM lineitem),
+    r AS (SELECT session_id, CAST(-1 AS BIGINT) AS n, {", ".join(f"0::DOUBLE AS s{k}" for k in n)}, 0::DOUBLE AS y FROM x WHERE n = 0
+        UNION ALL SELECT session_id, n, {", ".join(f"t{k}" for k in n)}, y{len(poles)} FROM (SELECT x.session_id, x.n, r.* EXCLUDE (session_id, n, y), v * {gain!r}::DOUBLE AS y0{stages} FROM r JOIN x ON x.session_id = r.session_id AND x.n = r.n + 1))
+    SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(n // {meter.frame_length(rate)} AS INTEGER) AS frame_no, round(20 * log10(greatest(sqrt(avg(y * y)), 1e-9)), 4) AS dbfs FROM r WHERE n >= 0 GROUP BY session_id, n // {meter.frame_length(rate)} HAVING count(*) = {meter.frame_length(rate)}"""
+
+
+@query(_weighted(8000))
 def g3_a_weighted(spark, sf_dir):
-    """A-weighted frames of sessions made of orders' line prices."""
-    s = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 20).cast("string").alias("session_id"), F.lit(0).alias("chunk_no"))
-    v = F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", (F.col("l_discount") - 0.05).cast("float").alias("v")))), lambda x: x["v"])
-    return meter.level_frames(s.agg(v.alias("pcm")).withColumn("sample_rate", F.lit(8000))).select("session_id", "frame_no", r6("dbfs", "dbfs", 4))
+    """A-weighted frames of sessions that ten suppliers' lines make up, in chunks of 500 samples."""
+    session = F.floor(F.col("l_suppkey") / 10)
+    no = F.row_number().over(Window.partitionBy(session).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount")) - 1
+    li = table(spark, sf_dir, "lineitem").select(session.cast("string").alias("session_id"), no.alias("no"), (F.col("l_discount") - 0.05).cast("float").alias("v"))
+    chunks = li.groupBy("session_id", F.floor(F.col("no") / 500).alias("chunk_no")).agg(F.sort_array(F.collect_list(F.struct("no", "v"))).alias("held"))
+    samples = chunks.select("session_id", "chunk_no", F.lit(8000).alias("sample_rate"), F.transform("held", lambda x: x["v"]).alias("pcm"))
+    return meter.level_frames(samples).select("session_id", "frame_no", r6("dbfs", "dbfs", 4))
 
 
 # Sources ----------------------------------------------------------------------------------------------------------

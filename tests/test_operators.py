@@ -332,21 +332,60 @@ def test_search_is_cheapest():
 
 
 def test_a_weighting():
+    """Published values of the curve, and the filter as one difference equation."""
     rate = 48_000
     t = np.arange(rate) / rate
-    level = lambda hz: meter.frames_of(np.sin(2 * np.pi * hz * t)[None], rate)[0][-1]
+    level = lambda hz: meter.frames_of(np.sin(2 * np.pi * hz * t), rate)[-1]
     assert level(1000) == pytest.approx(20 * math.log10(1 / math.sqrt(2)), abs=0.05)
     assert level(100) - level(1000) == pytest.approx(-19.1, abs=0.3)
     assert meter.frame_length(44_100) == 5513 and meter.frame_length(48_000) == 6000
-    assert meter.frames_of(np.zeros((1, 6001)), rate).tolist() == [[-180.0]]
-
-
-def test_level_frames_across_chunks(spark):
+    assert meter.frames_of(np.zeros(6001), rate).tolist() == [-180.0]
+    for rate in (800, 8000, 48_000):
+        x = np.random.default_rng(1).normal(0.3, 0.1, 1500)
+        y = difference_equation(x, rate)
+        f = meter.a_weighting(rate)
+        assert np.allclose(f.run(x)[0], y, atol=1e-9)
+        for cut in (0, 1, 255, 256, 700):
+            first, state = f.run(x[:cut])
+            assert np.allclose(np.concatenate([first, f.run(x[cut:], state)[0]]), y, atol=1e-9)
+
+
+def difference_equation(x, rate):
+    zeros, poles, gain = meter.a_chain(rate)
+    b, a, y = np.poly(zeros) * gain, np.poly(poles), [0.0] * 6
+    x = [0.0] * 6 + list(x)
+    for k in range(6, len(x)):
+        y.append(sum(c * x[k - i] for i, c in enumerate(b)) - sum(c * y[k - i] for i, c in enumerate(a) if i))
+    return np.array(y[6:])
+
+
+@pytest.mark.parametrize("run", [512, 2])
+def test_level_frames_across_chunks(spark, monkeypatch, run):
+    """Sessions of chunks of any length, empty ones too, in runs of any length."""
+    monkeypatch.setattr(meter, "RUN", run)
     rng = np.random.default_rng(0)
-    pcm = rng.normal(0, 0.1, 2500).astype("float32")
-    rows = [("s", 0, 8000, pcm[:700].tolist()), ("s", 1, 8000, pcm[700:].tolist())]
-    got = [r.dbfs for r in meter.level_frames(spark.createDataFrame(rows, "session_id string, chunk_no int, sample_rate int, pcm array<float>")).orderBy("frame_no").collect()]
-    assert got == pytest.approx(meter.frames_of(pcm[None], 8000)[0].tolist()) and len(got) == 2
+    rows, want = [], {}
+    for name, rate, cuts in (("s", 8000, [0, 700, 700, 701, 2500, 6100]), ("t", 800, [0, 999, 1000]), ("u", 8000, [0, 500]), ("v", 4000, [*range(0, 4001, 250)])):
+        pcm = rng.normal(0.2, 0.1, cuts[-1]).astype("float32")
+        rows += [(name, 3 * k, rate, pcm[a:b].tolist(), "x", 1.0) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        n, y = meter.frame_length(rate), difference_equation(pcm.astype(float), rate)
+        want |= {(name, k): 20 * math.log10(math.sqrt((y[k * n : (k + 1) * n] ** 2).mean())) for k in range(len(y) // n)}
+    rnd = random.Random(3)
+    rnd.shuffle(rows)
+    rows += [("n", 0, 8000, None, "x", 1.0), ("n", 1, 8000, [], "x", 1.0), (None, 0, 8000, [1.0] * 1000, "x", 1.0), ("z", 0, None, [1.0] * 1000, "x", 1.0), ("h", 0, 800, [None] * 100, "x", 1.0)]
+    samples = spark.createDataFrame(rows, "session_id string, chunk_no int, sample_rate int, pcm array<float>, state string, n double")
+    got = {(r.session_id, r.frame_no): r.dbfs for r in meter.level_frames(samples).collect()}
+    assert got.pop(("h", 0)) == -180
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+    assert meter.level_frames(samples.limit(0)).count() == 0
+
+
+def test_long_session(spark):
+    """Two million samples of one session in 16 chunks: within 1e-6 dB of one pass over all."""
+    chunks = spark.range(16).select(F.lit("s").alias("session_id"), F.col("id").alias("chunk_no"), F.lit(48_000).alias("sample_rate"), F.transform(F.sequence(F.col("id") * 125_000, F.col("id") * 125_000 + 124_999), lambda i: F.sin(i * i / 1e7).cast("float")).alias("pcm"))
+    pcm = np.concatenate([r.pcm for r in chunks.orderBy("chunk_no").collect()])
+    got = [r.dbfs for r in meter.level_frames(chunks.repartition(8)).orderBy("frame_no").collect()]
+    assert len(got) == 2_000_000 // 6000 and np.abs(np.array(got) - meter.frames_of(pcm, 48_000)).max() < 1e-6
 
 
 def test_stream_equals_batch(spark, tmp_path):

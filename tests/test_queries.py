@@ -181,17 +181,6 @@ def test_a16_evaluation(spark, walks):
         assert (r.trips, r.n1, r.n3) == (len(trips), sum(x >= 1 for x in db), sum(x >= 3 for x in db)) and r.median_db == pytest.approx(np.median(db), abs=2e-6) and r.median_detour == pytest.approx(np.median(detour), abs=2e-6)
 
 
-def test_g3_a_weighted(spark):
-    li = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_discount").toPandas()
-    li["v"] = (li.l_discount.astype(float) - 0.05).astype("float32")
-    got = run(spark, "g3_a_weighted")
-    for session, own in li.groupby(li.l_orderkey % 20):
-        pcm = own.sort_values(["l_orderkey", "l_linenumber", "v"]).v.to_numpy()
-        want = meter.frames_of(pcm[None], 8000)[0]
-        mine = got[got.session_id == str(session)].sort_values("frame_no").dbfs.to_numpy()
-        assert len(mine) == len(want) and np.allclose(mine, want, atol=1e-3)
-
-
 def test_j8_trip_measured(spark):
     cells = queries.measured(spark, SF).toPandas()
     region = [f"{(int(c, 16) & ~(15 << 52)) | (5 << 52) | (1 << 30) - 1:015x}" for c in cells.cell]
