@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import acoustics as ac, cells as ce, geo
 from ..operators import meter, readings as rd, routes, street_noise as sn, venues as ve, walk_graph as wg
 from ..sources import text as tx
-from ..streaming import jobs
+from ..streaming import jobs, retries
 from . import adapters as ad
 from .shared import stored, table
 
@@ -858,6 +858,29 @@ def t5_retry_times(spark, sf_dir):
     return jobs.retry_times(held)
 
 
+#: Readings and rounds of each block one by one: a held-back reading has its next turn in its user's round.
+ROUNDS = R.replace("WITH", "WITH RECURSIVE", 1) + """, asked AS MATERIALIZED (SELECT cell, seq, CAST(user_id AS BIGINT) AS user_id, CAST(client_id AS BIGINT) AS client_id, saved_ms, row_number() OVER (PARTITION BY cell ORDER BY saved_ms, seq) AS i, max(saved_ms) OVER () AS until FROM readings),
+    told AS (SELECT cell, CAST(0 AS BIGINT) AS i, any_value(until) AS until, CAST(NULL AS BIGINT) AS seq, 0 AS attempt, CAST(NULL AS BIGINT) AS at_ms, '' AS status, CAST(NULL AS BIGINT) AS wait_ms, CAST([] AS STRUCT(u BIGINT, c BIGINT, t BIGINT)[]) AS held, CAST([] AS STRUCT(due BIGINT, u BIGINT, q BIGINT, c BIGINT, n INTEGER, r BIGINT)[]) AS late FROM asked GROUP BY cell
+    UNION ALL SELECT cell, i, until, q, n, t, status, wait, CASE WHEN status = 'admitted' THEN list_append(held, {u: u, c: c, t: t}) ELSE held END,
+        CASE WHEN wait IS NULL THEN rest WHEN again THEN list_append(list_transform(rest, lambda x: CASE WHEN x.u = u AND x.r = t THEN {due: due, u: x.u, q: x.q, c: x.c, n: x.n, r: x.r} ELSE x END), {due: due, u: u, q: q, c: c, n: n + 1, r: t})
+            ELSE list_append(rest, {due: due, u: u, q: q, c: c, n: n + 1, r: CAST(-1 AS BIGINT)}) END
+        FROM (SELECT *, CASE WHEN again THEN greatest(t + greatest(60000, wait), coalesce(list_max(list_transform(list_filter(rest, lambda x: x.u = u AND x.r = t), lambda x: x.due)), 0)) ELSE coalesce(list_min(list_transform(list_filter(rest, lambda x: x.u = u), lambda x: x.due)), t + greatest(60000, wait)) END AS due
+        FROM (SELECT *, CASE status WHEN 'held-user' THEN mine[1].t + 86400000 - t WHEN 'held-block' THEN near[1].t + 3600000 - t END AS wait
+        FROM (SELECT *, CASE WHEN known THEN 'duplicate' WHEN len(mine) >= 3 THEN 'held-user' WHEN len(near) >= 2 THEN 'held-block' ELSE 'admitted' END AS status
+        FROM (SELECT *, len(list_filter(held, lambda x: x.u = u AND x.c = c)) > 0 AS known, list_filter(held, lambda x: x.u = u AND x.t > t - 86400000) AS mine, list_filter(held, lambda x: x.t > t - 3600000) AS near
+        FROM (SELECT cell, until, held, again, CASE WHEN again THEN i ELSE i + 1 END AS i, CASE WHEN again THEN w.u ELSE user_id END AS u, CASE WHEN again THEN w.c ELSE client_id END AS c, CASE WHEN again THEN w.q ELSE seq END AS q,
+            CASE WHEN again THEN w.due ELSE saved_ms END AS t, CASE WHEN again THEN w.n ELSE 0 END AS n, CASE WHEN again THEN list_filter(late, lambda x: x.q <> w.q) ELSE late END AS rest
+        FROM (SELECT t.cell, t.i, t.until, t.held, t.late, list_sort(t.late)[1] AS w, a.seq, a.user_id, a.client_id, a.saved_ms, coalesce(list_sort(t.late)[1].due <= least(t.until, coalesce(a.saved_ms, t.until)), false) AS again
+            FROM told t LEFT JOIN asked a ON a.cell = t.cell AND a.i = t.i + 1) WHERE again OR seq IS NOT NULL))))))"""
+
+
+@query(ROUNDS + " SELECT seq, attempt, at_ms, status, wait_ms FROM told WHERE seq IS NOT NULL")
+def t5_reentry(spark, sf_dir):
+    """Every attempt of a stream of readings: what is held back comes in again by timers, until it is admitted."""
+    with retries.state_store(spark):
+        return jobs.collected(retries.admit_with_retries(reading_stream(spark, sf_dir), "cell", *_limits(), delay="0 seconds"), retries.ATTEMPTS)
+
+
 @query("""WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 DAY THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM f)
     SELECT user_id AS device_id, CAST(floor(epoch_us(min(ts)) / 1000.0) AS BIGINT) AS start_ms, count(*) AS n FROM s GROUP BY user_id, no HAVING count(*) >= 3 AND max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")

@@ -156,10 +156,11 @@ def busy_blocks(stream: DataFrame, least: int = BLOCK_LIMIT.count, length: str =
     return w.where(F.col("n") >= least).select("cell", F.col("w.start").alias("start"), "n")
 
 
-def collected(stream: DataFrame, schema: str) -> DataFrame:
-    """All that an append-mode stream gives over what is there now, as a table."""
+def collected(stream: DataFrame, schema: str, folder: str | None = None) -> DataFrame:
+    """All that an append-mode stream gives over what is there now, as a table. With the same folder a later run goes on
+    from there and adds to it."""
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     query: StreamingQuery = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
