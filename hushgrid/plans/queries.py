@@ -815,6 +815,14 @@ def t1_stream_rollup(spark, sf_dir):
     return rd.with_level(jobs.rollup(reading_stream(spark, sf_dir), ["cell"], "cell string")).select("cell", r6("laeq", "laeq"), "count")
 
 
+@query(VISITS + " SELECT venue_id, hour, round(10 * log10(avg(pow(10, laeq / 10))), 6) AS laeq, count(*) AS count FROM visits WHERE venue_id IS NOT NULL GROUP BY ALL")
+def t1_stream_venue_hours(spark, sf_dir):
+    """The venue hours that each reading of a stream adds to, in one commit with its cell."""
+    s = reading_stream(spark, sf_dir).withColumns({"osm_id": F.concat(F.lit("node/"), F.col("client_id") % 7), "hour": F.hour("arrived")})
+    _, hours = jobs.rollup_visits(s, ad.searches(spark, sf_dir))
+    return hours.select("venue_id", "hour", r6(ac.level_of(F.col("energy") / F.col("count")), "laeq"), "count")
+
+
 @query(R + " SELECT cell, count(*) FILTER (model <> 'click') - count(*) FILTER (model = 'click') AS count FROM readings GROUP BY cell HAVING count(*) FILTER (model <> 'click') - count(*) FILTER (model = 'click') > 0")
 def t6_stream_removals(spark, sf_dir):
     s = reading_stream(spark, sf_dir).withColumn("sign", F.when(F.col("event_type") == "click", -1).otherwise(1))
@@ -826,13 +834,14 @@ def t2_t3_stream_admission(spark, sf_dir):
     return jobs.admit_stream(reading_stream(spark, sf_dir), *_limits())
 
 
-@query(R + " SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM readings WHERE at_ms <= saved_ms + 300000")
+@query(R + " SELECT seq, user_id, CASE WHEN at_ms > saved_ms + 300000 THEN 'time' END AS reason FROM readings")
 def t4_stream_validity(spark, sf_dir):
+    """Every reading of a stream with the reason for which it was refused, out of the tables of accepted and refused ones."""
     s = reading_stream(spark, sf_dir).withColumns({
         "at_ms": F.col("saved_ms") - 60_000 + F.when(F.col("seq") % 50 == 0, 3_600_000).otherwise(0), "duration_sec": F.lit(30.0), "lamax": F.col("laeq"), "l10": F.col("laeq"), "l90": F.col("laeq"), "model": F.col("event_type"), "offset_db": F.lit(120.0),
     })
-    ok, _ = jobs.split_valid(s)
-    return jobs.collected(ok.select("seq", "user_id"), "seq long, user_id long").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    accepted, refused = jobs.split_stream(s)
+    return accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(refused).select("seq", "user_id", "reason")
 
 
 @query(R + " SELECT DISTINCT user_id, client_id FROM readings")

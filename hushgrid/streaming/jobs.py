@@ -5,60 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import acoustics as ac
-from ..operators.readings import BLOCK_LIMIT, USER_LIMIT, Limit, admit, rejection_reason
+from ..operators.readings import BLOCK_LIMIT, USER_LIMIT, Limit, admit, attach_visits, rejection_reason
 from ..plans.shared import shared_dir
+from .store import Kept, Store
 
 #: Least milliseconds before a held-back reading is tried again.
 RETRY_MS = 60_000
 
 
-class Table:
-    """A Parquet table in a shared folder that micro-batches write: batch n owns the folder n in it, and writes it again
-    if it is run again. A batch reads what earlier batches finished, never its own or a half-written folder, so a batch
-    that was killed between two writes can run again, in this process or another."""
-
-    def __init__(self, spark: SparkSession, schema: str, folder: str | None = None) -> None:
-        self.spark, self.schema, self.folder = spark, schema, folder or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def finished(self, before: int | None = None) -> list[int]:
-        """Batches that wrote to the end, in order."""
-        path, fs = self._path("")
-        if not fs.exists(path):
-            return []
-        found = sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit())
-        done = lambda n: fs.exists(self._path(f"{n}/_SUCCESS")[0])
-        return [n for n in found if (before is None or n < before) and done(n)]
-
-    def _read(self, batches: list[int]) -> DataFrame:
-        if not batches:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{n}" for n in batches))
-
-    def last(self, before: int | None = None) -> DataFrame:
-        """Of a table that each batch replaces."""
-        return self._read(self.finished(before)[-1:])
-
-    def all(self, before: int | None = None) -> DataFrame:
-        """Of a table that each batch adds to."""
-        return self._read(self.finished(before))
-
-    def write(self, df: DataFrame, batch: int, keep: int | None = None) -> None:
-        """keep: finished batches that stay beside this one; of a replaced table the last one must."""
-        df.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
-        if keep:
-            for n in self.finished(batch)[:-keep]:
-                path, fs = self._path(str(n))
-                fs.delete(path, True)
-
-
 def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
     """Everything that is there now, in micro-batches; the position is kept in a shared folder. With the same folder a
     later run goes on from there."""
@@ -75,19 +33,46 @@ def signed_rollup(rows: DataFrame, keys: list[str], sign: Column | None = None)
 
 def merged(held: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """A rollup with a delta. Rows without a reading left disappear, so nothing of their energy is left over."""
-    return held.unionByName(delta).groupBy(*keys).agg(F.sum("energy").alias("energy"), F.sum("count").alias("count")).where("count > 0")
+    return summed(keys)(held.unionByName(delta), True)
+
+
+def summed(keys: list[str]) -> Callable[[DataFrame, bool], DataFrame]:
+    """Brings parts of a rollup together. Only when no part is missing is a key without readings known to have none."""
+
+    def merge(rows: DataFrame, whole: bool) -> DataFrame:
+        out = rows.groupBy(*keys).agg(F.sum("energy").alias("energy"), F.sum("count").alias("count"))
+        return out.where("count > 0") if whole else out
+
+    return merge
+
+
+def rolled(keys: list[str], key_schema: str) -> Kept:
+    return Kept(f"{key_schema}, energy double, count long", summed(keys))
 
 
 def rollup(stream: DataFrame, keys: list[str], key_schema: str, sign: str | None = None, folder: str | None = None) -> DataFrame:
-    """Continuous rollup of a stream of readings: every micro-batch is summed and merged into the table, which is as large
-    as there are keys. folder: where the table and the position live, to go on with later."""
-    table = Table(stream.sparkSession, f"{key_schema}, energy double, count long", folder and f"{folder}/totals")
+    """Continuous rollup of a stream of readings: every micro-batch is summed and added, and sums are merged level by level.
+    folder: where the table and the position live, to go on with later. Removals come after what they remove."""
+    store = Store(stream.sparkSession, {"totals": rolled(keys, key_schema)}, folder and f"{folder}/rollup")
+    run_to_end(stream, lambda batch, n: store.commit(n, {"totals": signed_rollup(batch, keys, F.col(sign) if sign else None)}), folder)
+    return store.read("totals")
+
+
+def rollup_visits(stream: DataFrame, searches: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, venue hours) of a stream of readings with osm_id and hour: a reading adds to its cell and, if its venue was
+    listed by the last search of its block by then, to that venue's hour, both in one commit. searches as in attach_visits."""
+    hours = ["venue_id", "hour"]
+    tables = {"cells": rolled(["cell"], "cell string"), "hours": rolled(hours, "venue_id string, hour int")}
+    store = Store(stream.sparkSession, tables, folder and f"{folder}/rollups")
 
     def each(batch: DataFrame, n: int) -> None:
-        table.write(merged(table.last(n), signed_rollup(batch, keys, F.col(sign) if sign else None), keys), n, keep=1)
+        batch = batch.persist()
+        visits = attach_visits(batch, searches).where("venue_id IS NOT NULL")
+        store.commit(n, {"cells": signed_rollup(batch, ["cell"]), "hours": signed_rollup(visits, hours)})
+        batch.unpersist()
 
     run_to_end(stream, each, folder)
-    return table.last()
+    return store.read("cells"), store.read("hours")
 
 
 def split_valid(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,32 +82,45 @@ def split_valid(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
+def split_stream(stream: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused with reason) of a stream, as tables: every row is in one of them, once, whenever the job is killed
+    and started again with the same folder, as both get their part of a micro-batch in one commit."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    store = Store(stream.sparkSession, {"accepted": Kept(schema), "refused": Kept(f"{schema}, reason string")}, folder and f"{folder}/readings")
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        accepted, refused = split_valid(batch)
+        store.commit(n, {"accepted": accepted, "refused": refused})
+        batch.unpersist()
+
+    run_to_end(stream, each, folder)
+    return store.read("accepted"), store.read("refused")
+
+
 def admit_stream(stream: DataFrame, user: Limit = USER_LIMIT, block: Limit = BLOCK_LIMIT, folder: str | None = None) -> DataFrame:
     """(seq, status, retry_after_ms) of a stream of readings under both limits, exact: each micro-batch is decided
     together with what was saved within the last window and with earlier saves of its own readings, so retries of
-    saved readings are known however old they are. A micro-batch adds what it saved and decided and rewrites nothing.
-    folder: where both tables and the position live, to go on with later."""
-    spark = stream.sparkSession
-    saved = Table(spark, "seq long, user_id long, client_id long, cell string, saved_ms long", folder and f"{folder}/saved")
-    decided = Table(spark, "seq long, status string, retry_after_ms long", folder and f"{folder}/decided")
+    saved readings are known however old they are. folder: where both tables and the position live, to go on with later."""
+    saves = Kept("seq long, user_id long, client_id long, cell string, saved_ms long", order=("saved_ms",))
+    store = Store(stream.sparkSession, {"saved": saves, "decided": Kept("seq long, status string, retry_after_ms long")}, folder and f"{folder}/admission")
     window = max(user.window_ms, block.window_ms)
 
     def each(batch: DataFrame, n: int) -> None:
         new = batch.select("seq", "user_id", "client_id", "cell", "saved_ms").persist()
-        old = saved.all(n)
+        old = store.read("saved", n)
         # The history is looked up by the batch's own readings, of which the smaller side decides the join.
         again = old.select("user_id", "client_id").join(new, ["user_id", "client_id"]).select("seq").distinct()
         dups = again.select("seq", F.lit("duplicate").alias("status"), F.lit(None).cast("long").alias("retry_after_ms"))
         open_rows = new.join(again, "seq", "left_anti")
         since = open_rows.agg(F.min("saved_ms")).first()[0] or 0
-        recent = old.where(F.col("saved_ms") > since - window)  # reaches the scan
+        recent = old.where(F.col("saved_ms") > since - window)  # reaches the scan, which skips what is sorted before it
         out = admit(open_rows.unionByName(recent), user, block).join(open_rows.select("seq"), "seq", "left_semi").unionByName(dups).checkpoint()
-        saved.write(new.join(out.where("status = 'admitted'"), "seq", "left_semi").select(old.columns), n)
-        decided.write(out, n)
+        store.commit(n, {"saved": new.join(out.where("status = 'admitted'"), "seq", "left_semi").select(old.columns), "decided": out})
         new.unpersist()
 
     run_to_end(stream, each, folder)
-    return decided.all()
+    return store.read("decided")
 
 
 def retry_times(refused: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hushgrid.functions import hexgrid
 from hushgrid.operators import meter, readings as rd, routes, street_noise as sn, venues as ve, walk_graph as wg
 from hushgrid.sources import text as tx
-from hushgrid.streaming import jobs
+from hushgrid.streaming import jobs, store
 
 CELL = "8a2830828747fff"
 READING = "seq long, user_id long, client_id long, cell string, saved_ms long, at_ms long, duration_sec double, laeq double, lamax double, l10 double, l90 double, model string, offset_db double"
@@ -413,18 +413,18 @@ def test_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
     add(0), add(1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     user, block = rd.Limit(4, 10_000), rd.Limit(3, 5_000)
-    write, fails = jobs.Table.write, ["decided", "totals"]
+    publish, fails = store.Store._publish, ["admission", "rollup"]
 
-    def dying(self, out, batch, keep=None):
+    def dying(self, batch, now):
         name = self.folder.rsplit("/", 1)[1]
         if batch == 1 and name in fails:
             fails.remove(name)
-            if name == "totals":
-                write(self, out, batch)  # all written, but the stream doesn't know
+            if name == "rollup":
+                publish(self, batch, now)  # all is there, but the stream doesn't know
             raise RuntimeError("killed")
-        write(self, out, batch, keep)
+        publish(self, batch, now)
 
-    monkeypatch.setattr(jobs.Table, "write", dying)
+    monkeypatch.setattr(store.Store, "_publish", dying)
     at = [str(tmp_path / "admission"), str(tmp_path / "rollup")]
     for run in (lambda: jobs.admit_stream(stream, user, block, at[0]), lambda: jobs.rollup(stream, ["cell"], "cell string", folder=at[1])):
         with pytest.raises(Exception, match="killed"):
