@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import acoustics as ac, cells as ce
 from ..plans.components import connected_components
+from ..plans.shared import stored
 
 #: Seconds of a session, minutes that a phone's clock may be ahead, bounds of levels, offsets and model names.
 SESSION_SECONDS, CLOCK_SKEW_MS = 30.0, 5 * 60_000
@@ -76,29 +77,34 @@ def with_arrivals(rows: DataFrame, name: str, key: str, window_ms: int) -> DataF
 
 
 ADMITTED = "seq long, status string, retry_after_ms long"
+#: Rows that one task decides in order.
+SLICE = 100_000
+_DECIDED = f"slice int, {ADMITTED}"
 
 
 def _sequential(user: Limit, block: Limit):
-    """Runs one closed group of contested rows and known admissions in order of arrival."""
+    """Runs one slice of asked rows and known admissions in order of arrival, from its entry: times saved before it and
+    ids admitted before it."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["saved_ms", "seq"], kind="stable")
+    def run(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         saved: dict[tuple, deque] = defaultdict(deque)
         done: set[tuple] = set()
+        for r in entry.sort_values("saved_ms", kind="stable").itertuples(index=False):
+            if r.kind == "done":
+                done.add((r.user_id, r.client_id))
+            else:
+                saved[r.kind, r.user_id if r.kind == "user" else r.cell].append(r.saved_ms)
         out = []
-        for r in rows.itertuples(index=False):
-            if r.role == "known-user":
-                saved["u", r.user_id].append(r.saved_ms)
-                continue
-            if r.role == "known-cell":
-                saved["c", r.cell].append(r.saved_ms)
+        for r in rows.sort_values(["saved_ms", "seq"], kind="stable").itertuples(index=False):
+            if r.role != "asked":
+                saved[("user", r.user_id) if r.role == "known-user" else ("cell", r.cell)].append(r.saved_ms)
                 continue
             if (r.user_id, r.client_id) in done:
                 out.append((r.seq, "duplicate", None))
                 continue
             status, wait = "admitted", None
-            for key, limit, name in ((("u", r.user_id), user, "refused-user"), (("c", r.cell), block, "refused-block")):
-                held = saved[key]
+            for at, limit, name in ((("user", r.user_id), user, "refused-user"), (("cell", r.cell), block, "refused-block")):
+                held = saved[at]
                 while held and held[0] <= r.saved_ms - limit.window_ms:
                     held.popleft()
                 if len(held) >= limit.count:
@@ -106,24 +112,75 @@ def _sequential(user: Limit, block: Limit):
                     break
             if status == "admitted":
                 done.add((r.user_id, r.client_id))
-                saved["u", r.user_id].append(r.saved_ms)
-                saved["c", r.cell].append(r.saved_ms)
+                saved["user", r.user_id].append(r.saved_ms)
+                saved["cell", r.cell].append(r.saved_ms)
             out.append((r.seq, status, wait))
-        return pd.DataFrame({"seq": [o[0] for o in out], "status": [o[1] for o in out], "retry_after_ms": pd.array([o[2] for o in out], "Int64")})
+        return pd.DataFrame({"slice": key[0], "seq": [o[0] for o in out], "status": [o[1] for o in out], "retry_after_ms": pd.array([o[2] for o in out], "Int64")})
 
     return run
 
 
+def _entries(cut: DataFrame, decided: DataFrame, user: Limit, block: Limit) -> DataFrame:
+    """(slice, kind, user_id, client_id, cell, saved_ms): what earlier slices hand on. Of a user or a block that a slice asks
+    for, the times saved within a window before the slice, which the limit bounds; and those of its own readings that
+    were admitted before."""
+    asked = cut.where("role = 'asked'")
+    first = cut.groupBy("grp", "slice").agg(F.min("saved_ms").alias("first"))
+    new = asked.join(decided.where("status = 'admitted'").select("seq", "slice"), ["seq", "slice"])
+    parts = []
+    for kind, key, limit in (("user", "user_id", user), ("cell", "cell", block)):
+        given = new.unionByName(cut.where(F.col("role") == f"known-{kind}")).select("grp", key, F.col("slice").alias("of"), "saved_ms")
+        wants = asked.select("grp", key, "slice").distinct().join(first, ["grp", "slice"])
+        parts.append(given.join(wants, ["grp", key]).where((F.col("of") < F.col("slice")) & (F.col("saved_ms") > F.col("first") - limit.window_ms)).select("slice", F.lit(kind).alias("kind"), key, "saved_ms"))
+    wants = asked.select("user_id", "client_id", "slice").distinct()
+    before = new.select("user_id", "client_id", F.col("slice").alias("of")).join(wants, ["user_id", "client_id"]).where("of < slice")
+    parts.append(before.select("slice", F.lit("done").alias("kind"), "user_id", "client_id").distinct())
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return out.select("slice", "kind", "user_id", "client_id", "cell", "saved_ms")
+
+
+def decided_in_slices(group: DataFrame, user: Limit, block: Limit, rows_a_slice: int | None = None) -> DataFrame:
+    """(seq, status, retry_after_ms) of the asked rows of closed groups: grp, seq, user_id, client_id, cell, saved_ms, and
+    role: asked, known-user or known-cell.
+
+    Groups are laid end to end, each in order of time, and cut into slices of equal size. All slices run at once, as
+    if nothing had been saved before them; from what they admit follows what each should have begun with, and those that
+    began otherwise run again, until no entry changes. After n rounds the first n slices of each group are right for
+    certain, so it ends; mostly it ends sooner, as an entry reaches back a window only. A slice's entry is
+    bounded by its rows and the limits; a count and a hash of each slice reach the driver.
+    """
+    held = stored(group)
+    n = max(1, -(-held.count() // (rows_a_slice or SLICE)))
+    cut = stored(held.repartitionByRange(n, "grp", "saved_ms", "seq").withColumn("slice", F.spark_partition_id()))
+    run, none = _sequential(user, block), cut.sparkSession.createDataFrame([], "slice int, kind string, user_id long, client_id long, cell string, saved_ms long")
+
+    def decide(some: DataFrame, entry: DataFrame) -> DataFrame:
+        return some.repartition(n, "slice").groupBy("slice").cogroup(entry.groupBy("slice")).applyInPandas(run, _DECIDED)
+
+    out = stored(decide(cut, none))
+    begun: dict[int, tuple] = {}
+    while n > 1:
+        entry = stored(_entries(cut, out, user, block))
+        each = F.xxhash64("kind", "user_id", "client_id", "cell", "saved_ms")
+        marks = {r[0]: tuple(r[1:]) for r in entry.groupBy("slice").agg(F.count("*"), F.bit_xor(each), F.bit_xor(F.xxhash64(each, "saved_ms", "kind"))).collect()}
+        changed = [s for s in marks.keys() | begun.keys() if marks.get(s) != begun.get(s)]
+        if not changed:
+            break
+        again = F.col("slice").isin(changed)
+        out, begun = stored(out.where(~again).unionByName(decide(cut.where(again), entry.where(again)))), marks
+    return out.drop("slice")
+
+
 def admit(readings: DataFrame, user: Limit = USER_LIMIT, block: Limit = BLOCK_LIMIT) -> DataFrame:
     """(seq, status, retry_after_ms): admitted, duplicate, refused-user or refused-block, as if the rows had been
     handled one by one in order of (saved_ms, seq). seq is unique.
 
     What was saved never exceeds what arrived, so a row with fewer arrivals than both limits before it is surely
     admitted, and a later attempt of such a reading surely a duplicate. Only the rest is contested. Contested rows
-    that share a user or a block, however indirectly, are handled by one task, with the sure admissions of their
-    users and blocks; a user or block that is often contested is one that its own limit holds down.
+    that share a user or a block, however indirectly, are one group, with the sure admissions of their users and blocks;
+    a group is decided in slices of time.
     """
-    rows = readings.select("seq", "user_id", "client_id", "cell", "saved_ms")
+    rows = readings.select("seq", F.col("user_id").cast("long").alias("user_id"), F.col("client_id").cast("long").alias("client_id"), "cell", "saved_ms")
     flagged = with_arrivals(with_arrivals(rows, "by_user", "user_id", user.window_ms), "by_cell", "cell", block.window_ms)
     flagged = flagged.withColumn("full", (F.col("by_user") >= user.count) | (F.col("by_cell") >= block.count)).drop("by_user", "by_cell")
     tries = Window.partitionBy("user_id", "client_id")
@@ -139,43 +196,25 @@ def admit(readings: DataFrame, user: Limit = USER_LIMIT, block: Limit = BLOCK_LI
         .unionByName(known.join(of_user, "user_id").withColumn("role", F.lit("known-user")))
         .unionByName(known.join(of_cell, "cell").withColumn("role", F.lit("known-cell")))
     )
-    decided = group.groupBy("grp").applyInPandas(_sequential(user, block), ADMITTED)
     easy = sure.select("seq", F.when(F.col("attempt") == 1, "admitted").otherwise("duplicate").alias("status"), F.lit(None).cast("long").alias("retry_after_ms"))
-    return easy.unionByName(decided)
+    return easy.unionByName(decided_in_slices(group, user, block))
 
 
 def search_budget(searches: DataFrame, limit: Limit = SEARCH_LIMIT) -> DataFrame:
     """(seq, status, retry_after_ms) of venue searches (seq, saved_ms) under one limit for all of them.
 
-    One key is sequential work. As a search counts only if it is let through, the time between `limit.count` + 1
-    of them is at least the window; so the timeline is cut where nothing arrived for a whole window, and each
-    stretch is handled by itself.
+    A search that few others came before is surely let through. The rest is decided in slices of time: where it comes
+    thick, the first slices are right after few rounds and the last after as many as there are slices, while no task
+    sees more than its slice and `limit.count` times before it.
     """
-    w = Window.partitionBy("day").orderBy("saved_ms", "seq")
-    rows = searches.select("seq", "saved_ms").withColumn("day", F.floor(F.col("saved_ms") / 86_400_000))
-    gap = F.coalesce(F.col("saved_ms") - F.lag("saved_ms").over(w) >= limit.window_ms, F.lit(False))
-    rows = rows.withColumn("part", F.sum(gap.cast("int")).over(w))
-    # A day's first stretch goes on from the day before unless a window passed: both get the same group.
-    ends = rows.groupBy("day").agg(F.min("saved_ms").alias("first"), F.max("saved_ms").alias("last"), F.max("part").alias("parts"))
-    days = Window.orderBy("day")
-    ends = ends.withColumn("joined", F.coalesce(F.col("first") - F.lag("last").over(days) < limit.window_ms, F.lit(False)))
-    ends = ends.withColumn("base", F.sum(F.col("parts") + 1 - F.col("joined").cast("int")).over(days) - F.col("parts"))
-    grouped = rows.join(ends.select("day", "base"), "day").withColumn("grp", F.col("base") + F.col("part"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held: deque = deque()
-        out = []
-        for r in part.sort_values(["saved_ms", "seq"]).itertuples(index=False):
-            while held and held[0] <= r.saved_ms - limit.window_ms:
-                held.popleft()
-            if len(held) >= limit.count:
-                out.append((r.seq, "refused", held[0] + limit.window_ms - r.saved_ms))
-            else:
-                held.append(r.saved_ms)
-                out.append((r.seq, "admitted", None))
-        return pd.DataFrame({"seq": [o[0] for o in out], "status": [o[1] for o in out], "retry_after_ms": pd.array([o[2] for o in out], "Int64")})
-
-    return grouped.groupBy("grp").applyInPandas(run, ADMITTED)
+    rows = searches.select("seq", "saved_ms").withColumn("key", F.lit("all"))
+    flagged = stored(with_arrivals(rows, "before", "key", limit.window_ms))
+    free, full = flagged.where(F.col("before") < limit.count), flagged.where(F.col("before") >= limit.count)
+    alike = lambda d, role: d.select(F.lit(0).cast("long").alias("grp"), "seq", F.col("seq").alias("user_id"), F.col("seq").alias("client_id"), F.col("key").alias("cell"), "saved_ms", F.lit(role).alias("role"))
+    never = Limit(1, 0)  # every search is a user of its own
+    decided = decided_in_slices(alike(full, "asked").unionByName(alike(free, "known-cell")), never, limit)
+    easy = free.select("seq", F.lit("admitted").alias("status"), F.lit(None).cast("long").alias("retry_after_ms"))
+    return easy.unionByName(decided.withColumn("status", F.when(F.col("status") == "admitted", "admitted").otherwise("refused")))
 
 
 def attach_visits(readings: DataFrame, searches: DataFrame) -> DataFrame:
