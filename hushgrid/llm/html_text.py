@@ -31,7 +31,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Elements that end an open paragraph when they begin.
 _ends_p = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
 #: Elements that hold boilerplate, and names that do when they are part of a class, an id or a role.
-BOILER_TAGS = frozenset("nav footer aside form menu dialog button".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog button".split())
 BOILER_NAMES = frozenset(
     "nav navbar navigation menu menubar footer foot header masthead topbar sidebar side rail aside ad ads adv advert adverts advertisement banner promo promotion sponsor sponsored "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search comment comments reply replies disqus discussion respond reviews "
@@ -39,10 +39,17 @@ BOILER_NAMES = frozenset(
 )
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article articlebody content entry post story text body main maincontent postbody".split())
-#: Names of what readers wrote and of other pages' teasers: no article inside makes them content.
-OTHERS_NAMES = frozenset("comment comments reply replies disqus discussion respond reviews related recommended recommendations recommend".split())
-#: Prices: in a boilerplate element or name, in a content element or name, and the most that a block's looks count.
-BOILER, NAMED, CONTENT, CONTENT_NAMED, LOOKS = 12.0, 9.0, 6.0, 3.0, 4.0
+#: Names of what readers wrote and of other pages' teasers: no article inside makes them content. Within an article only the
+#: first do without the classifier's agreement, as a section may be called discussion or related work.
+READERS_NAMES = frozenset("comment comments reply replies disqus respond".split())
+OTHERS_NAMES = READERS_NAMES | frozenset("discussion reviews related recommended recommendations recommend".split())
+#: Elements of running text: within an article their names say nothing.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption li dt dd td th".split())
+#: Prices: in a boilerplate element or name, in such a name within an article, in a content element or name, and the most that
+#: a block's looks count. A name within an article is outbid by the article, unless the looks agree with it.
+BOILER, NAMED, NAMED_INSIDE, CONTENT, CONTENT_NAMED, LOOKS = 12.0, 9.0, 5.0, 6.0, 3.0, 4.0
+#: Code points outside links from which a form is one around the page, not one to fill in.
+FORM_TEXT = 600
 #: Smoothness edges: between blocks that follow each other, more if they share a parent, and between the nearest blocks of
 #: one parent. A landmark between two blocks cuts their edge.
 NEXT, SAME, SIBLING = 2.0, 1.0, 1.0
@@ -68,12 +75,13 @@ class Block:
     content: float
     landmark: int
     parent: int
+    form: int = 0
 
 
 @dataclass(slots=True, eq=False)
 class _Open:
-    """An open element. hidden: its text isn't shown; dead: it lies in an element of HIDDEN; block: the nearest element
-    around its text that is no inline one, and holder: the number of the next such element above."""
+    """An open element. hidden: its text isn't shown; dead: it lies in an element of HIDDEN; form: the number of the form around
+    it; block: the nearest element around its text that is no inline one, and holder: the number of the next such element above."""
 
     tag: str
     boiler: float
@@ -82,12 +90,13 @@ class _Open:
     number: int
     hidden: bool
     dead: bool = False
+    form: int = 0
     block: _Open | None = None
     holder: int = 0
 
 
-def _marks(tag: str, attrs: str) -> tuple[float, float, bool]:
-    """What an element says about its text: boilerplate, content, hidden."""
+def _marks(tag: str, attrs: str, inside: bool = False) -> tuple[float, float, bool]:
+    """What an element says about its text: boilerplate, content, hidden. inside: it lies in an article."""
     boiler, content = BOILER if tag in BOILER_TAGS else 0.0, CONTENT if tag in CONTENT_TAGS else 0.0
     hidden = False
     if attrs and attrs.strip(" /"):
@@ -95,13 +104,13 @@ def _marks(tag: str, attrs: str) -> tuple[float, float, bool]:
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role", "itemprop"):
                 names = {w.lower() for w in _part.findall(value)} | {value.lower()}
-                if tag not in ("html", "body", "main"):
-                    if names & OTHERS_NAMES:
+                if tag not in ("html", "body", "main") and not (inside and tag in PROSE):
+                    if names & (READERS_NAMES if inside else OTHERS_NAMES):
                         boiler = BOILER
                     elif tag == "article":
                         pass
                     elif names & BOILER_NAMES:
-                        boiler = max(boiler, NAMED)
+                        boiler = max(boiler, NAMED_INSIDE if inside else NAMED)
                     elif names & CONTENT_NAMES:
                         content = max(content, CONTENT_NAMED)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value.lower()):
@@ -165,12 +174,12 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(texts)).split())
             if text:
                 top = stack[-1].block
-                out.append(Block(text, top.tag, linked, top.boiler, top.content, top.landmark, top.holder))
+                out.append(Block(text, top.tag, linked, top.boiler, top.content, top.landmark, top.holder, top.form))
             texts, linked = [], 0
 
-    def push(tag: str, boiler: float, content: float, landmark: int, hidden: bool, dead: bool) -> None:
+    def push(tag: str, boiler: float, content: float, landmark: int, hidden: bool, dead: bool, form: int) -> None:
         top = stack[-1]
-        new = _Open(tag, boiler, content, landmark, number, hidden, dead)
+        new = _Open(tag, boiler, content, landmark, number, hidden, dead, form)
         new.block, new.holder = (top.block, top.holder) if hidden or tag in INLINE else (new, top.block.number)
         stack.append(new)
         open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -213,7 +222,7 @@ def blocks(html: str) -> list[Block]:
         if tag in HIDDEN and tag != "head":
             if not (tag in ("svg", "math") and attrs.endswith("/")):
                 number += 1
-                push(tag, top.boiler, top.content, top.landmark, True, True)
+                push(tag, top.boiler, top.content, top.landmark, True, True, top.form)
             continue
         if tag not in INLINE and not top.dead:
             flush()
@@ -225,17 +234,24 @@ def blocks(html: str) -> list[Block]:
                 pop("li")
         if tag in VOID:
             continue
-        boiler, content, hidden = _marks(tag, attrs)
         top = stack[-1]
+        boiler, content, hidden = _marks(tag, attrs, top.content >= CONTENT)
         number += 1
         if tag == "header" and not top.content:
             boiler = BOILER
         # An article or main part outbids the names around it, but nothing makes an article of others' words, a menu or a
         # margin; a sign of boilerplate inside content holds.
         around = 0.0 if tag == "main" or tag == "article" and top.boiler <= NAMED else top.boiler
-        landmark = number if boiler or content or tag == "section" else top.landmark
-        push(tag, max(around, boiler), max(top.content, content), landmark, top.hidden and not (tag == "body" and not top.dead) or hidden or tag == "head", top.dead)
+        landmark = number if boiler or content or tag in ("section", "form") else top.landmark
+        form = 0 if tag in CONTENT_TAGS else top.form or (number if tag == "form" else 0)
+        push(tag, max(around, boiler), max(top.content, content), landmark, top.hidden and not (tag == "body" and not top.dead) or hidden or tag == "head", top.dead, form)
     flush()
+    told: dict[int, int] = {}
+    for b in out:
+        told[b.form] = told.get(b.form, 0) + max(0, len(b.text) - b.linked)
+    for b in out:  # a form to fill in is boilerplate, one around a page isn't
+        if b.form and told[b.form] < FORM_TEXT:
+            b.boiler = max(b.boiler, BOILER)
     return out
 
 

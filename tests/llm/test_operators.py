@@ -229,6 +229,22 @@ def test_html_unclosed_and_empty_elements():
     assert html_text.main_text(f"<head><title>T</title><meta name=x><article><p>{long}</p></article>") == long
 
 
+def test_html_names_and_forms_do_not_outbid_an_article():
+    """A form around the page, and paragraphs in an article by any name, stay; widgets in it by such names go."""
+    long = "This paragraph tells at some length, and in whole sentences, what happened. It goes on, as articles do."
+    whole = f"{long}\n\n{long}"
+    for around in ("<form id=aspnetForm>", "<form><div class=wrap>", "<div class='sidebar-right'><form action=x>"):
+        assert html_text.main_text(f"<body>{around}<input type=hidden><article><p>{long}</p><p>{long}</p></article></form></body>") == whole
+        assert html_text.main_text(f"<body>{around}<main><p>{long}</p><p>{long}</p></main></form></body>") == whole
+    assert html_text.main_text(f"<body><form id=aspnetForm><div>{f'<p>{long}</p>' * 8}</div></form></body>") == "\n\n".join([long] * 8)
+    for name in "more tags legal search foot side alert notice ads social follow menu related-work discussion promo skip".split():
+        assert html_text.main_text(f"<article><p>{long}</p><p class='{name}'>{long}</p></article>") == whole, name
+        assert html_text.main_text(f"<article><p>{long}</p><section class='{name}'><p>{long}</p></section></article>") == whole, name
+        assert html_text.main_text(f"<article><p class='{name}'>Short.</p><p>{long}</p></article>") == f"Short.\n\n{long}", name
+    for widget in ("<div class=share><a href=x>Share</a> <a href=y>Tweet</a></div>", "<form><label>Mail</label><input><button>Go</button></form>", "<aside>Another thing.</aside>", "<ul class=tags><li><a href=t>tag</a></ul>", f"<div id=comments><p>{long}</p></div>", "<div class='ad'><a href=b>Buy now</a></div>"):
+        assert html_text.main_text(f"<article><p>{long}</p>{widget}<p>{long}</p></article>") == whole, widget
+
+
 def test_html_articles(spark):
     """On the given pages: all text of the article, and nothing else."""
     import html
