@@ -9,7 +9,7 @@ language more.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from .batches import held_out, map_rows, small_batches
 
 #: Labelled documents of a language that the model is fitted on (about), and buckets.
 SAMPLE, BUCKETS = 5_000, 1 << 15
+#: Languages whose shares of the sample are sent to all tasks.
+LANGUAGES = 10_000
 #: Steps of expectation-maximisation, and the penalty for a language more, times the log of the trigrams.
 STEPS, PENALTY = 12, 1.5
 NONE = "und"
@@ -51,20 +53,32 @@ class Model:
     """Names of the languages, and the log probabilities of buckets by language: those counted, sorted by bucket, and
     one for all that a language lacks."""
 
-    def __init__(self, names: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
-        self.names = names
-        total = np.bincount(lang, n, len(names)) + 0.1 * BUCKETS
-        at = np.argsort(bucket, kind="stable")
-        self.lang, self.value = lang[at], np.log((n[at] + 0.1) / total[lang[at]]).astype(np.float32)
-        self.begin = np.searchsorted(bucket[at], np.arange(BUCKETS + 1))
-        self.lacking = np.log(0.1 / total).astype(np.float32)
+    def __init__(self, packed: list[tuple[str, float, bytes, bytes]]) -> None:
+        """packed: of each language its name, total, buckets (uint16) and their log probabilities (float32). Nothing is
+        unpacked before it is used, in a task."""
+        self.packed = sorted(packed)
+        self.names = [p[0] for p in self.packed]
+
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Languages and values in order of buckets, where each bucket begins, and the values of what is lacking."""
+        buckets = [np.frombuffer(p[2], np.uint16) for p in self.packed]
+        at = np.argsort(np.concatenate(buckets), kind="stable").astype(np.uint32)
+        lang = np.repeat(np.arange(len(buckets), dtype=np.uint32), [len(b) for b in buckets])[at]
+        value = np.concatenate([np.frombuffer(p[3], np.float32) for p in self.packed])[at]
+        n = np.bincount(np.concatenate(buckets), minlength=BUCKETS)
+        return lang, value, np.concatenate(([0], np.cumsum(n))), np.log(0.1 / np.array([p[1] for p in self.packed])).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "names": self.names}
 
     def rows(self, buckets: np.ndarray) -> np.ndarray:
         """Log probabilities (bucket x language)."""
-        out = np.tile(self.lacking.astype(np.float64), (len(buckets), 1))
-        size = self.begin[buckets + 1] - self.begin[buckets]
-        where = np.repeat(self.begin[buckets] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        out[np.repeat(np.arange(len(buckets)), size), self.lang[where]] = self.value[where]
+        lang, value, begin, lacking = self._table
+        out = np.tile(lacking.astype(np.float64), (len(buckets), 1))
+        size = begin[buckets + 1] - begin[buckets]
+        where = np.repeat(begin[buckets] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(buckets)), size), lang[where]] = value[where]
         return out
 
     def mixture(self, text: str | None) -> dict[str, float]:
@@ -103,8 +117,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     hash of id and text. Languages without a trigram are left out."""
     known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text <> ''")
     share = known.groupBy("lang").agg((F.lit(SAMPLE) / F.count("*")).alias("share"))
+    few = share.limit(LANGUAGES + 1).collect()  # of more languages the shares are joined, not sent to all tasks
+    share = F.broadcast(docs.sparkSession.createDataFrame(few, share.schema)) if len(few) <= LANGUAGES else share
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / (1 << 40)
-    picked = known.join(F.broadcast(share), "lang").where(drawn < F.col("share"))
+    picked = known.join(share, "lang").where(drawn < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -117,10 +133,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     rows = small_batches(picked.select("lang", "text")).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()  # at most BUCKETS rows for each language
-    names = sorted(found.lang.unique())
-    place = {x: k for k, x in enumerate(names)}
-    return Model(names, np.array([place[x] for x in found.lang], np.int64), found.bucket.to_numpy(np.int64), found.n.to_numpy(np.int64))
+
+    def pack(table: pa.Table) -> pa.Table:  # at most BUCKETS rows: one language
+        n, bucket = table.column("n").to_numpy(), table.column("bucket").to_numpy()
+        at, total = np.argsort(bucket), float(n.sum() + 0.1 * BUCKETS)
+        value = np.log((n[at] + 0.1) / total).astype(np.float32)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "total": [total], "bucket": [bucket[at].astype(np.uint16).tobytes()], "value": [value.tobytes()]})
+
+    packed = rows.groupBy("lang").applyInArrow(pack, "lang string, total double, bucket binary, value binary")
+    return Model([(r.lang, r.total, bytes(r.bucket), bytes(r.value)) for r in packed.collect()])  # six bytes a bucket and language
 
 
 def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -119,6 +119,8 @@ def test_language_learns_every_language(spark, monkeypatch):
     rows += [(10**8 + i, "the cat sat on the mat and the dog sat by the door", "zz") for i in range(20_000)] + [(10**9 + i, "", "empty") for i in range(20)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.names == [*(f"l{k:02}" for k in range(70)), "zz"]
+    monkeypatch.setattr(language, "LANGUAGES", 5)  # shares are joined then
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).packed == model.packed
     assert all(next(iter(model.mixture(rows[k * 20][1]))) == f"l{k:02}" for k in range(70))
 
 
