@@ -77,22 +77,84 @@ def tiles_of(box: Column | str, zoom: int = TILE_ZOOM) -> Column:
 
 
 def polygon_edges(rings: DataFrame) -> DataFrame:
-    """Edges (poly_id, ax, ay, bx, by) of rings (poly_id, ring array<array<double>>, closed), one row for each edge
-    that isn't level. A polygon has many rings: holes, and the parts of a multipolygon."""
+    """Edges (poly_id, ax, ay, bx, by) of rings (poly_id, ring array<array<double>>, closed), one row for each. A polygon
+    has many rings: holes, and the parts of a multipolygon."""
     pairs = F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b"))
     e = rings.select("poly_id", F.explode(pairs).alias("e"))
-    return e.select("poly_id", F.col("e.a")[0].alias("ax"), F.col("e.a")[1].alias("ay"), F.col("e.b")[0].alias("bx"), F.col("e.b")[1].alias("by")).where("ay <> by")
+    return e.select("poly_id", F.col("e.a")[0].alias("ax"), F.col("e.a")[1].alias("ay"), F.col("e.b")[0].alias("bx"), F.col("e.b")[1].alias("by"))
+
+
+#: Columns of tiles that a run is filed under together, and how far beyond its ends an edge counts as touching a tile. The
+#: grid's origin is such that lines between round coordinates don't meet its corners.
+STRIP, TOUCH = 64, 1e-9
+LNG, LAT = 0.00314159265358979, 0.00271828182845905
+
+
+def _tile_no(x: Column | str, origin: float) -> Column:
+    return F.floor((_c(x) - origin) / ROW)
+
+
+def _tile_start(no: Column | str, origin: float) -> Column:
+    return origin + _c(no) * ROW
+
+
+def _x_at(y: Column) -> Column:
+    """Where an edge has the latitude y; null on level edges."""
+    return (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) + F.col("ax")
+
+
+def _straddles(a: str, b: str, at: Column) -> Column:
+    """Of an edge's two ends the lower counts and the upper doesn't."""
+    return (F.col(a) > at) != (F.col(b) > at)
+
+
+def tile_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(border, runs) of polygons (poly_id, ax, ay, bx, by), which needs all edges of their rings.
+
+    border: the edges by the tiles (row, col) that they touch, with `odd`: how many edges lie east of the tile's
+    south-eastern corner, odd or even. runs: stretches c1 to c2 of tiles of a row that lie inside, once for each strip of
+    STRIP columns that they touch. Tiles in neither are outside. What is counted is counted for each tile first, so a ring along one
+    latitude is spread over its tiles.
+    """
+    north = F.greatest("ay", "by")
+    e = edges.withColumn("row", F.explode(F.sequence(_tile_no(F.least("ay", "by") - TOUCH, LAT), _tile_no(north + TOUCH, LAT))))
+    south, over = _tile_start("row", LAT), _tile_start(F.col("row") + 1, LAT)
+    lo, hi = F.greatest(F.least("ay", "by"), south), F.least(north, over)
+    ends = [F.coalesce(_x_at(F.least(lo, hi)), F.col("ax")), F.coalesce(_x_at(F.greatest(lo, hi)), F.col("bx"))]
+    # An edge that only comes close to a row reaches no farther than its ends.
+    inner = [F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx")) for x in ends]
+    east = F.when(_straddles("ay", "by", south), F.ceil((_x_at(south) - LNG) / ROW) - 1)
+    touched = e.withColumn("crosses", east).withColumn("col", F.explode(F.sequence(_tile_no(F.least(*inner) - TOUCH, LNG), _tile_no(F.greatest(*inner) + TOUCH, LNG))))
+    n = touched.groupBy("poly_id", "row", "col").agg(F.sum(F.when(F.col("crosses") == F.col("col"), 1).otherwise(0)).alias("n"))
+    w = Window.partitionBy("poly_id", "row").orderBy(F.desc("col"))  # a row for each tile of the border
+    beyond = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumn("beyond", beyond).withColumn("west", F.lead("col").over(w))
+    border = touched.join(n.select("poly_id", "row", "col", ((F.col("beyond") - F.col("n")) % 2 == 1).alias("odd")), ["poly_id", "row", "col"])
+    gap = n.where((F.col("beyond") % 2 == 1) & (F.col("west") < F.col("col") - 1)).select("poly_id", "row", (F.col("west") + 1).alias("c1"), (F.col("col") - 1).alias("c2"))
+    runs = gap.withColumn("strip", F.explode(F.sequence(F.floor(F.col("c1") / STRIP), F.floor(F.col("c2") / STRIP))))
+    return border.select("poly_id", "row", "col", "odd", "ax", "ay", "bx", "by"), runs
 
 
 def containing(points: DataFrame, edges: DataFrame, key: str = "point_id") -> DataFrame:
-    """(key, poly_id) of points (key, lng, lat) inside polygons: even number of crossings is outside, over all of a
-    polygon's rings. Points and edges meet by equality on their row of latitude; of an edge's two ends the lower
-    counts and the upper doesn't."""
-    rows = lambda y: F.floor(y / ROW)
-    filed = edges.withColumn("row", F.explode(F.sequence(rows(F.least("ay", "by")), rows(F.greatest("ay", "by")))))
-    hit = points.withColumn("row", rows(F.col("lat"))).join(filed, "row").where((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat")))
-    hit = hit.where(F.col("lng") < (F.col("bx") - F.col("ax")) * (F.col("lat") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
-    return hit.groupBy(key, "poly_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "poly_id")
+    """(key, poly_id) of points (key, lng, lat) inside polygons: an even number of edges to the east is outside, over all of a
+    polygon's rings. edges: all of the rings, as polygon_edges gives them. Points without a key or a place are in none.
+
+    Only points in tiles that a border runs through meet edges, and only those of their tile: what lies east of a point is
+    what lies east of the tile's corner, but for edges that cross the way from there, up the tile's eastern side and
+    west to the point. Points in other tiles meet runs of tiles by equality on row and strip.
+    """
+    border, runs = tile_index(edges)
+    p = points.where(F.col(key).isNotNull() & F.col("lng").isNotNull() & F.col("lat").isNotNull()).select(key, "lng", "lat", _tile_no("lat", LAT).alias("row"), _tile_no("lng", LNG).alias("col"))
+    within = p.withColumn("strip", F.floor(F.col("col") / STRIP)).join(runs, ["row", "strip"]).where("col BETWEEN c1 AND c2").select(key, "poly_id")
+    side = _tile_start(F.col("col") + 1, LNG)
+    height = (F.col("by") - F.col("ay")) * (side - F.col("ax")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0)) + F.col("ay")
+    up = _straddles("ax", "bx", side) & (height > _tile_start("row", LAT)) & (height <= F.col("lat"))
+    x = _x_at(F.col("lat"))
+    across = _straddles("ay", "by", F.col("lat")) & (F.col("lng") < x) & (x <= side)
+    crossed = F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
+    met = p.join(border, ["row", "col"]).groupBy(key, "lng", "lat", "poly_id").agg(F.sum(crossed).alias("n"), F.first("odd").alias("odd"))
+    near = met.where((F.col("n") + F.col("odd").cast("int")) % 2 == 1).select(key, "poly_id")
+    return within.unionByName(near).distinct()
 
 
 def inside_any(points: DataFrame, edges: DataFrame, key: str = "point_id") -> DataFrame:

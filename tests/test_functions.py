@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +110,56 @@ def test_polygon_with_hole(spark):
     assert [r.point_id for r in geo.containing(points, geo.polygon_edges(rings)).collect()] == [1]
 
 
+def even_odd(rings, lng, lat):
+    """Edges east of a point, over all rings; of an edge's ends the lower counts."""
+    n = 0
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            n += (ay > lat) != (by > lat) and lng < (bx - ax) * (lat - ay) / (by - ay) + ax
+    return n % 2 == 1
+
+
+def test_points_in_polygons(spark):
+    """Against the rule itself: rings of any shape, holes, overlaps, level and upright sides, corners on the grid and
+    outside it, points on corners and sides too."""
+    rnd = random.Random(7)
+    polygons = {}
+    for k in range(14):
+        cx, cy, size = rnd.uniform(-122.6, -122.3), rnd.uniform(37.6, 37.9), rnd.choice([0.003, 0.02, 0.15])
+        rings = []
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            n = rnd.randrange(3, 12)
+            at = [(cx + rnd.uniform(0.2, 1) * size * math.cos(2 * math.pi * i / n), cy + rnd.uniform(0.2, 1) * size * math.sin(2 * math.pi * i / n)) for i in range(n)]
+            if k % 3 == 0:
+                at = [(round(x, 2), round(y, 2)) for x, y in at]
+            rings.append([*at, at[0]])
+        polygons[f"p{k}"] = rings
+    polygons["box"] = [[(-122.5, 37.7), (-122.4, 37.7), (-122.4, 37.8), (-122.5, 37.8), (-122.5, 37.7)], [(-122.46, 37.74), (-122.44, 37.74), (-122.44, 37.76), (-122.46, 37.76), (-122.46, 37.74)]]
+    polygons["south"] = [[(-0.05, -0.05), (0.05, -0.03), (0.01, 0.05), (-0.05, -0.05)]]
+    points = [(rnd.uniform(-122.65, -122.25), rnd.uniform(37.55, 37.95)) for _ in range(3000)] + [(rnd.uniform(-0.06, 0.06), rnd.uniform(-0.06, 0.06)) for _ in range(300)]
+    points += [(round(x, 2), round(y, 2)) for x, y in points[:800]] + [c for rings in polygons.values() for ring in rings for c in ring]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(None, -122.45, 37.72), (-1, None, 37.72)], "point_id long, lng double, lat double")
+    rings = spark.createDataFrame([(p, [list(c) for c in r]) for p, rs in polygons.items() for r in rs], "poly_id string, ring array<array<double>>")
+    got = {(r.point_id, r.poly_id) for r in geo.containing(df, geo.polygon_edges(rings)).collect()}
+    want = {(k, p) for k, (x, y) in enumerate(points) for p, rs in polygons.items() if even_odd(rs, x, y)}
+    assert got == want and len(want) > 1000, [(x, points[x[0]], polygons[x[1]]) for x in sorted(got ^ want)[:3]]
+    assert geo.containing(df.limit(0), geo.polygon_edges(rings)).count() == 0 == geo.containing(df, geo.polygon_edges(rings.limit(0))).count()
+
+
+def test_ring_along_one_latitude(spark):
+    """A ring of 100,000 edges within some rows: no tile has many, and points inside don't meet edges."""
+    n = 50_000
+    line = lambda y: [(-120 + 10 * i / n, y + 0.001 * math.sin(i)) for i in range(n + 1)]
+    ring = [*line(40.0), *reversed(line(40.03)), line(40.0)[0]]
+    edges = geo.polygon_edges(spark.createDataFrame([("long", [list(c) for c in ring])], "poly_id string, ring array<array<double>>")).repartition(4)
+    border, runs = geo.tile_index(edges)
+    assert max(r["count"] for r in border.groupBy("row", "col").count().collect()) < 300 and runs.count() < 100
+    rnd = random.Random(1)
+    points = [(rnd.uniform(-120.1, -109.9), rnd.uniform(39.995, 40.035)) for _ in range(400)]
+    got = {r.point_id for r in geo.containing(spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "point_id long, lng double, lat double"), edges).collect()}
+    assert got == {k for k, p in enumerate(points) if even_odd([ring], *p)}
+
+
 def test_windows_and_boxes(spark):
     b = spark.createDataFrame([("CT", -73.82, 40.69, -71.6, 42.32), ("RI", -72.005, 41.08, -70.96, 42.09)], "raster string, west double, south double, east double, north double")
     w = {(r.lng, r.lat): r.rasters for r in geo.windows_over(b).collect()}
