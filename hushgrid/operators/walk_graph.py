@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo, hexgrid
 from ..plans.components import connected_components
+from .ranks import elements_at
 from .street_noise import encode_level
 
 # Kinds of ways that can be walked, and answers to `foot` that open a closed way.
@@ -243,12 +245,13 @@ def graph_stats(pieces: DataFrame) -> DataFrame:
 
 
 def size_distribution(sizes: DataFrame, size: str = "bytes") -> DataFrame:
-    """One row: n, total, median, p95, largest, where a share p is the element at floor(p n) of the sorted sizes. Equal
-    sizes are counted first, so the sorted list is one row for each different size."""
-    w = Window.orderBy(size)
-    by = sizes.groupBy(size).agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    pick = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1), F.col(size)))
-    return by.agg(F.max("n").alias("n"), F.sum(F.col(size) * F.col("k")).alias("total"), pick(0.5).alias("median"), pick(0.95).alias("p95"), F.max(size).alias("largest"))
+    """One row: n, total, median, p95, largest, where a share p is the element at floor(p n) of the sorted sizes."""
+    n = sizes.where(F.col(size).isNotNull()).count()
+    at = {p: max(0, min(math.floor(p * n), n - 1)) for p in (0.5, 0.95)}
+    found = elements_at(sizes, size, list(at.values()))
+    kind = sizes.schema[size].dataType
+    pick = lambda p: F.lit(found.get(at[p])).cast(kind)
+    return sizes.agg(F.count(size).alias("n"), F.sum(size).alias("total"), pick(0.5).alias("median"), pick(0.95).alias("p95"), F.max(size).alias("largest"))
 
 
 def node_components(pieces: DataFrame) -> DataFrame:

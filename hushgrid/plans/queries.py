@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import acoustics as ac, cells as ce, geo
-from ..operators import meter, readings as rd, routes, street_noise as sn, venues as ve, walk_graph as wg
+from ..operators import meter, readings as rd, releases, routes, street_noise as sn, venues as ve, walk_graph as wg
 from ..sources import text as tx
 from ..streaming import jobs, retries
 from . import adapters as ad
-from .shared import stored, table
+from .shared import shared_dir, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -572,7 +573,23 @@ _nw, _se = routes._tile(BOX[0], BOX[3]), routes._tile(BOX[2], BOX[1])
 @query(LEVELLED + ", " + TILED + f""" SELECT tile_x, tile_y, count(*) AS n_edges, CAST(len(list_distinct(list_concat(list((from_lng, from_lat)), list((to_lng, to_lat))))) AS BIGINT) AS n_nodes, count(DISTINCT cell) AS n_blocks FROM t
     WHERE tile_x BETWEEN {_nw[0]} AND {_se[0]} AND tile_y BETWEEN {_nw[1]} AND {_se[1]} GROUP BY tile_x, tile_y""")
 def s14_tiles_in_box(spark, sf_dir):
-    return tx.tiles_in(wg.build_tiles(levelled(spark, sf_dir)), BOX).drop("data")
+    """Out of stored tiles, of which only the box's areas are listed and read."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    releases.write_tiles(wg.build_tiles(levelled(spark, sf_dir)), path)
+    return releases.tiles_in_box(releases.stored_tiles(spark, path), BOX).select("tile_x", "tile_y", "n_edges", "n_nodes", "n_blocks")
+
+
+@query()
+def a13_release(spark, sf_dir):
+    """Ways to tiles as one job, and its audit; published only if the guards allow it."""
+    held = releases.Releases(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    blocks = ad.blocks(spark, sf_dir).groupBy("cell").agg(F.max("laeq").alias("laeq"))
+    held.stage("first", releases.pieces_of_ways(ad.way_lines(spark, sf_dir), blocks, ad.shore(spark)))
+    try:
+        held.publish("first")
+    except releases.GuardsViolatedError:
+        pass  # then nothing is published, and the audit says why
+    return held.audit("first").select("n_edges", "corrupt", "spanning", r6("crossing_share", "crossing_share"), r6("modeled_share", "modeled_share"), F.lit(bool(held.published())).alias("published"))
 
 
 @query(ad.sql("edges") + """, p AS (SELECT DISTINCT from_lng AS lng, from_lat AS lat, floor(from_lng / 130000.0) AS strip FROM edges UNION SELECT to_lng, to_lat, floor(from_lng / 130000.0) FROM edges)
@@ -592,10 +609,6 @@ def u2_distinct_points(spark, sf_dir):
 @query(LEVELLED + " SELECT '2' AS format, '2026-10' AS osm_release, '2022' AS noise_release, count(*) AS n FROM j")
 def s15_release_stamped(spark, sf_dir):
     """Written under the releases that it was made from, read again by them."""
-    import uuid
-
-    from .shared import shared_dir
-
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     stamp = tx.release_name("2", "2026-10", "2022")
     levelled(spark, sf_dir).select("cell", "laeq").withColumns(stamp).write.partitionBy(*stamp).parquet(path)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushgrid.functions import hexgrid
-from hushgrid.operators import meter, readings as rd, routes, street_noise as sn, venues as ve, walk_graph as wg
+from hushgrid.operators import meter, ranks, readings as rd, routes, street_noise as sn, venues as ve, walk_graph as wg
 from hushgrid.sources import text as tx
 from hushgrid.streaming import jobs, store
 
@@ -388,6 +388,23 @@ def test_long_session(spark):
     assert len(got) == 2_000_000 // 6000 and np.abs(np.array(got) - meter.frames_of(pcm, 48_000)).max() < 1e-6
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_ranks(spark, monkeypatch, kind):
+    """Against sorting, with ties, nulls, a wide range and few parts a round."""
+    monkeypatch.setattr(ranks, "PARTS", 4)
+    rnd = random.Random(6)
+    values = [rnd.choice([rnd.randrange(50), rnd.randrange(10**15), -7, None]) for _ in range(300)] + [42] * 200
+    df = spark.createDataFrame([(v if v is None or kind == "long" else v / 8,) for v in values], f"v {kind}").repartition(3)
+    held = sorted(r.v for r in df.collect() if r.v is not None)
+    asked = [0, 1, len(held) // 3, len(held) // 2, len(held) - 1, len(held), -1]
+    assert ranks.elements_at(df, "v", asked) == {k: held[k] for k in asked if 0 <= k < len(held)}
+    assert ranks.median(df, "v") == np.median(held) and ranks.median(df.limit(0), "v") is None
+    row = wg.size_distribution(df.where("v >= 0").withColumnRenamed("v", "bytes")).first()
+    own = [v for v in held if v >= 0]
+    assert (row.n, row.median, row.p95, row.largest) == (len(own), own[len(own) // 2], own[math.floor(0.95 * len(own))], own[-1])
+    assert wg.size_distribution(df.limit(0).withColumnRenamed("v", "bytes")).first().n == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(4)
     schema = "seq long, user_id long, client_id long, cell string, saved_ms long, laeq double"

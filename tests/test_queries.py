@@ -181,6 +181,30 @@ def test_a16_evaluation(spark, walks):
         assert (r.trips, r.n1, r.n3) == (len(trips), sum(x >= 1 for x in db), sum(x >= 3 for x in db)) and r.median_db == pytest.approx(np.median(db), abs=2e-6) and r.median_detour == pytest.approx(np.median(detour), abs=2e-6)
 
 
+def test_a13_release(spark):
+    """The audit of the tiles from ways, counted anew from the pieces."""
+    p = wide(run(spark, "g1_pieces"))
+    modeled = {r.cell for r in ad.blocks(spark, SF).select("cell").distinct().collect()}
+    m = np.hypot((p.to_lng - p.from_lng) * np.cos(np.radians((p.from_lat + p.to_lat) / 2e7)), p.to_lat - p.from_lat)
+    above, tiles = {}, {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for r in p.itertuples(index=False):
+        a, b = (r.from_lng, r.from_lat), (r.to_lng, r.to_lat)
+        above[top(a)] = top(b)
+    for r in p.itertuples(index=False):
+        tiles.setdefault(top((r.from_lng, r.from_lat)), set()).add((r.tile_x, r.tile_y))
+    crossing = sum(len(tiles[top(n)]) > 1 for n in above) / len(above)
+    got = run(spark, "a13_release").iloc[0]
+    assert (got.n_edges, got.corrupt, got.spanning) == (len(p), 0, 0)
+    assert got.crossing_share == pytest.approx(crossing, abs=1e-6) and got.modeled_share == pytest.approx((m * p.cell.isin(modeled)).sum() / m.sum(), abs=1e-6)
+    assert got.published == (crossing >= 0.9 and got.modeled_share >= 0.05)
+
+
 def test_j8_trip_measured(spark):
     cells = queries.measured(spark, SF).toPandas()
     region = [f"{(int(c, 16) & ~(15 << 52)) | (5 << 52) | (1 << 30) - 1:015x}" for c in cells.cell]
