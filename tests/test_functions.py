@@ -110,6 +110,51 @@ def test_polygon_with_hole(spark):
     assert [r.point_id for r in geo.containing(points, geo.polygon_edges(rings)).collect()] == [1]
 
 
+@pytest.mark.parametrize("res", [0, 1, 2, 4, 5, 10])
+def test_cells_of_the_whole_globe(res):
+    """A million points lie near their cell's center, and the center in the cell; there are as many cells as there should be."""
+    rng = np.random.default_rng(res)
+    n = 1_000_000 if res == 10 else 300_000
+    lat, lng = np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)
+    cells = hexgrid.cell_of(lat, lng, res)
+    y, x = hexgrid.cell_center(cells)
+    assert (hexgrid.cell_of(y, x, res) == cells).all()
+    near = (hexgrid._vector(*np.radians([y, x])) * hexgrid._vector(*np.radians([lat, lng]))).sum(1)
+    assert np.arccos(np.clip(near, -1, 1)).max() < 0.75 / 7 ** (res / 2)
+    if res <= 2:
+        assert len(np.unique(cells)) == 2 + 120 * 7**res
+    five = np.isin((cells >> 45) & 127, ce.PENTAGONS)
+    lead = np.zeros(n, np.int64)
+    for r in range(res, 0, -1):
+        digit = (cells >> (3 * (15 - r))) & 7
+        lead = np.where(digit > 0, digit, lead)
+    assert not (five & (lead == 1)).any()  # pentagons have no such branch
+
+
+def test_distances_across_pentagons(spark):
+    """Against a search over neighbours, which are mutual: five around a pentagon, six around all others."""
+    for res in (3, 5):
+        pentagons = np.array([(1 << 59) | (res << 52) | (c << 45) | int("0" * res + "7" * (15 - res), 8) for c in ce.PENTAGONS], np.int64)
+        for p in pentagons[[0, 1, 5, 11]]:
+            around, ring = {}, {int(p)}
+            for _ in range(7):
+                new = np.array(sorted(ring - around.keys()), np.int64)
+                around |= {int(c): set(n) - {int(c)} for c, n in zip(new, hexgrid.neighbours(new).tolist(), strict=True)}
+                ring = set().union(*around.values())
+            assert all(len(n) == (5 if c == p else 6) for c, n in around.items())
+            assert all(c in around[n] for c, ns in around.items() for n in ns if n in around)
+            inner = [c for c in around if around[c] <= around.keys()]
+            for start in inner[:40:3]:
+                steps, edge = {start: 0}, [start]
+                for k in range(1, 4):
+                    edge = sorted({n for c in edge for n in around.get(c, ())} - steps.keys())
+                    steps |= dict.fromkeys(edge, k)
+                some = np.array(sorted(steps), np.int64)
+                assert hexgrid.grid_distance(np.full(len(some), start), some).tolist() == [steps[int(c)] for c in some]
+    far = hexgrid.grid_distance(pentagons[:1], pentagons[1:2])
+    assert far[0] > 4
+
+
 def even_odd(rings, lng, lat):
     """Edges east of a point, over all rings; of an edge's ends the lower counts."""
     n = 0
