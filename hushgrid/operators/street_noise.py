@@ -71,8 +71,12 @@ def level_db(kind: Column | str, level: Column | str) -> Column:
 
 
 def encode_level(kind: Column | str, level: Column | str) -> Column:
+    """Tenths of a decibel; 0 is below the floor and 65535 not covered. A level that would read back as one of these, or
+    doesn't fit two bytes, is an error when it runs."""
     k, v = (F.col(x) if isinstance(x, str) else x for x in (kind, level))
-    return F.when(k == "below-floor", 0).when(k == "not-covered", 65535).otherwise(ac.round_to(v * 10).cast("int"))
+    code = ac.round_to(v * 10)
+    sound = F.when(code.between(1, 65534), code.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no code for a level of "), F.coalesce(v.cast("string"), F.lit("null")))).cast("int"))
+    return F.when(k == "below-floor", 0).when(k == "not-covered", 65535).otherwise(sound)
 
 
 def decode_level(code: Column | str) -> Column:

@@ -414,8 +414,8 @@ def j10_o1_nearby(spark, sf_dir):
 @query()
 def j10_within_rings(spark, sf_dir):
     """With the rule of at most three steps between cells."""
-    c = ad.centers(spark, sf_dir).withColumn("cell", ve.cell_of("lat", "lng", F.lit(10))).dropDuplicates(["cell"])
-    return ve.nearby(c, ad.venues(spark, sf_dir)).select("cell", "osm_id", r6("meters", "meters", 3), "rank")
+    c = ad.centers(spark, sf_dir).withColumn("cell", ve.cell_of("lat", "lng", F.lit(10))).groupBy("cell").agg(F.min(F.struct("lat", "lng")).alias("at"))
+    return ve.nearby(c.select("cell", "at.*"), ad.venues(spark, sf_dir)).select("cell", "osm_id", r6("meters", "meters", 3), "rank")
 
 
 @query(ad.sql("centers", "venues") + " SELECT cell, osm_id, round((pow((v.lng - c.lng) * cos(radians(c.lat)), 2) + pow(v.lat - c.lat, 2)) * 1e8, 4) AS d2 FROM centers c JOIN venues v ON substr(c.cell, 12, 1) = substr(v.osm_id, 6, 1)")
@@ -748,6 +748,18 @@ def g3_a_weighted(spark, sf_dir):
 # Sources ----------------------------------------------------------------------------------------------------------
 
 
+@query(R + " SELECT CAST(seq AS VARCHAR) AS client_id, cell, saved_ms, at_ms, round(laeq, 6) AS laeq, model, CAST(hour AS DOUBLE) AS hour FROM readings")
+def s1_submitted(spark, sf_dir):
+    """Readings as they are submitted: written as JSON, read with their declared schema."""
+    r, path = ad.readings(spark, sf_dir), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    summary = F.struct("laeq", "lamax", "l10", "l90", "duration_sec")
+    calibration, visit = F.struct("model", "offset_db", F.lit(None).cast("string").alias("id")), F.struct("osm_id", F.col("hour").cast("double").alias("hour"))
+    stamps = [F.timestamp_millis(c).alias(name) for c, name in (("at_ms", "at"), ("saved_ms", "saved_at"))]
+    r.select(F.col("user_id").cast("string").alias("user_id"), F.col("seq").cast("string").alias("client_id"), "cell", *stamps, summary.alias("summary"), calibration.alias("calibration"), visit.alias("visit")).write.json(path)
+    read = tx.read_readings(spark, path, "json")
+    return read.select("client_id", "cell", F.unix_millis("saved_at").alias("saved_ms"), F.unix_millis("at").alias("at_ms"), r6("summary.laeq", "laeq"), "calibration.model", "visit.hour")
+
+
 @query("SELECT s_suppkey AS cell, 'node/' || s_suppkey AS osm_id, 'name ' || s_suppkey AS name, CASE s_suppkey % 4 WHEN 0 THEN 'cafe' WHEN 1 THEN 'library' ELSE 'coworking' END AS kind FROM supplier WHERE s_suppkey % 4 <> 3 AND s_suppkey % 10 <> 0")
 def s6_p6_venue_search(spark, sf_dir):
     k = F.col("s_suppkey")

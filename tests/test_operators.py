@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections import defaultdict
@@ -405,6 +406,54 @@ def test_ranks(spark, monkeypatch, kind):
     assert wg.size_distribution(df.limit(0).withColumnRenamed("v", "bytes")).first().n == 0
 
 
+def test_levels_without_a_code(spark):
+    df = spark.createDataFrame([("modeled", 45.04), ("below-floor", None), ("not-covered", None), ("measured", 0.1)], "kind string, level double")
+    assert [r[0] for r in df.select(sn.encode_level("kind", "level")).collect()] == [450, 0, 65535, 1]
+    for level in (0.0, 0.04, -3.0, 6553.5, None):
+        with pytest.raises(Exception, match="no code for a level"):
+            spark.createDataFrame([("modeled", level)], "kind string, level double").select(sn.encode_level("kind", "level").alias("c")).collect()
+
+
+def test_sorted_outputs(spark, tmp_path):
+    """Blocks are sorted over all files, regions and windows in their order."""
+    rnd = random.Random(2)
+    cells = [f"8a2830{rnd.randrange(16**6):06x}fff" for _ in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tx.write_blocks(spark.createDataFrame([(c, 50.0) for c in cells], "cell string, laeq double").repartition(6), str(tmp_path / "b"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "b").glob("part-*"))
+    lines = [line for f in files for line in f.read_text().splitlines()]
+    assert len(files) > 1 and [x.split("\t")[0] for x in lines] == sorted(cells)
+    bad = spark.createDataFrame([("8a2830828757fff\t?",)], "value string")
+    with pytest.raises(Exception, match="bad block 8a2830828757fff"):
+        tx.good_blocks(bad).collect()
+    assert [tuple(r) for r in tx.good_blocks(spark.createDataFrame([("8a2830828757fff\t51.5",)], "value string")).collect()] == [("8a2830828757fff", 51.5)]
+    found = hexgrid.regions_in(-123.0, 37.0, -121.0, 38.5)
+    assert found == sorted(found) and len(found) > 20
+
+
+def test_coordinates_of_features(spark):
+    """Rings of coverage as they are in the text, and hexagons' corners at the distance of their edge from the center."""
+    outer, hole, part = [[0.0, 0.0], [4.0, 0.5], [4.0, 4.0], [0.0, 0.0]], [[1.0, 0.5], [2.0, 0.6], [2.0, 1.5], [1.0, 0.5]], [[9.0, 9.0], [9.5, 9.0], [9.5, 9.25], [9.0, 9.0]]
+    lines = [json.dumps({"properties": {"STATEFP": s}, "geometry": {"type": t, "coordinates": c}}) for s, t, c in (("06", "Polygon", [outer, hole]), ("12", "MultiPolygon", [[outer, hole], [part]]), ("60", "Polygon", [outer]), ("x", "Polygon", [outer]))]
+    got = defaultdict(list)
+    for r in tx.parse_coverage(spark.createDataFrame([(x,) for x in lines], "value string")).collect():
+        got[r.poly_id].append(r.ring)
+    assert got == {"06": [outer, hole], "12": [outer, hole, part]}
+    cell = "8a2830828757fff"
+    f = json.loads(sn.noise_features(spark.createDataFrame([(cell, 61.26)], "cell string, laeq double"), F.lit(10)).first().value)
+    ring = f["geometry"]["coordinates"][0]
+    y, x = (c[0] for c in hexgrid.cell_center(np.array([int(cell, 16)])))
+    meters = [math.hypot((a - x) * math.cos(math.radians(y)), b - y) * 111_195 for a, b in ring]
+    assert ring[0] == ring[-1] and len(ring) == 7 and f["properties"] == {"cell": cell, "laeq": 61.3} and all(60 < m < 90 for m in meters)
+    assert all(round(c, 6) == c for p in ring for c in p)
+    turn = sum((a[0] - x) * (b[1] - y) - (b[0] - x) * (a[1] - y) for a, b in zip(ring, ring[1:]))
+    assert turn > 0  # counterclockwise
+    # Each corner's neighbour beyond it: the same point is a corner of three cells.
+    inner = [[a + (x - a) * 0.02, b + (y - b) * 0.02] for a, b in ring[:-1]]
+    assert {f"{c:015x}" for c in hexgrid.cell_of(*np.array(inner).T[::-1], 10)} == {cell}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(4)
     schema = "seq long, user_id long, client_id long, cell string, saved_ms long, laeq double"

@@ -216,15 +216,24 @@ def test_j8_trip_measured(spark):
 
 
 def test_j10_within_rings(spark):
+    """All pairs of a cell's southernmost, then westernmost center and a venue: at most 150 m and three steps, the nearest eight."""
     c = ad.centers(spark, SF).select("lat", "lng").toPandas()
-    c["cell"] = [f"{x:015x}" for x in hexgrid.cell_of(c.lat.to_numpy(), c.lng.to_numpy(), 10)]
+    c["cell"] = hexgrid.cell_of(c.lat.to_numpy(), c.lng.to_numpy(), 10)
+    c = c.sort_values(["lat", "lng"]).groupby("cell").first().reset_index()
     v = ad.venues(spark, SF).toPandas()
-    v["own"] = [f"{x:015x}" for x in hexgrid.cell_of(v.lat.to_numpy(), v.lng.to_numpy(), 10)]
-    centers = {(r.cell, r.osm_id): r.meters for r in run(spark, "j10_within_rings").itertuples()}
-    assert centers and len({k for k, _ in centers}) > 3
-    own = v.set_index("osm_id").own
-    for (cell, osm), m in centers.items():
-        assert m <= 150 and 0 <= hexgrid.grid_distance([int(cell, 16)], [int(own[osm], 16)])[0] <= 3
+    v["own"] = hexgrid.cell_of(v.lat.to_numpy(), v.lng.to_numpy(), 10)
+    want = []
+    for r in c.itertuples():
+        y, x = np.radians(r.lat), np.radians(v.lat)
+        h = np.sin((x - y) / 2) ** 2 + np.cos(x) * np.cos(y) * np.sin(np.radians(v.lng - r.lng) / 2) ** 2
+        near = v.assign(meters=2 * 6_371_008.8 * np.arcsin(np.sqrt(h)), d2=((v.lng - r.lng) * math.cos(y)) ** 2 + (v.lat - r.lat) ** 2)
+        near = near[(near.meters <= 150) & (hexgrid.grid_distance(np.full(len(v), r.cell), v.own.to_numpy()) <= 3)].sort_values(["d2", "osm_id"])
+        want += [(f"{r.cell:015x}", n.osm_id, k + 1, round(n.meters, 2)) for k, n in enumerate(near.head(8).itertuples())]
+    got = run(spark, "j10_within_rings")
+    mine = sorted((r.cell, r.rank, r.osm_id, r.meters) for r in got.itertuples())
+    assert [x[:3] for x in mine] == sorted((cell, rank, osm) for cell, osm, rank, _ in want) and len(want) > 20
+    meters = {(cell, osm): m for cell, osm, _, m in want}
+    assert all(m == pytest.approx(meters[cell, osm], abs=0.02) for cell, _, osm, m in mine)
 
 
 def test_every_order_is_a_trip(spark):
