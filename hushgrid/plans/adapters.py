@@ -109,14 +109,26 @@ def shore(spark: SparkSession) -> DataFrame:
     return polygon_edges(spark.createDataFrame(rows, "poly_id string, ring array<array<double>>"))
 
 
+#: Street grids: quarters of 8 by 8 corners, about 90 by 100 meters apart, 4 by 4 of them a district, 40 districts in a row.
+#: Each supplier is a quarter, so the city grows with the tables.
+QUARTER, DISTRICT, ACROSS = 8, 4, 40
+
+
+def _corner(quarter: Column, i: Column, j: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Of a quarter's corner: its district's column and row, its place in the district, and a number for its block."""
+    d, q = F.floor(quarter / DISTRICT**2), quarter % DISTRICT**2
+    x, y = q % DISTRICT * QUARTER + i, F.floor(q / DISTRICT) * QUARTER + j
+    return d % ACROSS, F.floor(d / ACROSS), x, y, d * (QUARTER * DISTRICT) ** 2 + x * (QUARTER * DISTRICT) + y
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Street grids: 50 quarters of 20 by 20 corners, about 90 by 100 meters apart."""
+    """Streets between the corners of the grids."""
     li = table(spark, sf_dir, "lineitem")
-    c, i, j = F.col("l_suppkey") % 50, F.col("l_partkey") % 20, F.floor(F.col("l_partkey") / 20) % 20
     east = F.col("l_linenumber") % 2 == 1
-    lng, lat = -1224200000 + c * 1000000 + i * 10000, 377000000 + j * 9000
+    dx, dy, x, y, block = _corner(F.col("l_suppkey"), F.col("l_partkey") % QUARTER, F.floor(F.col("l_partkey") / QUARTER) % QUARTER)
+    lng, lat = -1224200000 + dx * 500000 + x * 10000, 377000000 + dy * 400000 + y * 9000
     return li.select(
-        cell((c * 400 + i * 20 + j) % 16807).alias("cell"), lng.cast("int").alias("from_lng"), lat.cast("int").alias("from_lat"),
+        cell(block % 16807).alias("cell"), lng.cast("int").alias("from_lng"), lat.cast("int").alias("from_lat"),
         (lng + F.when(east, 10000).otherwise(0)).cast("int").alias("to_lng"), (lat + F.when(east, 0).otherwise(9000)).cast("int").alias("to_lat"),
         F.when(F.col("l_quantity") <= 2, 1).otherwise(0).alias("flags"),
     )
@@ -133,11 +145,15 @@ def way_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trip of each order between corners of the street grids, some of them over far."""
+    """A trip of each order, from the customer's corner to another one of the district, one to four kilometers; some of them
+    over far."""
     o = table(spark, sf_dir, "orders")
-    k, c = F.col("o_orderkey"), F.col("o_custkey") % 50
-    lng, lat = -122.42 + c * 0.1 + F.floor(k / 50) % 10 * 0.001 + 0.0001, 37.7 + F.floor(k / 500) % 10 * 0.0009 + 0.0001
-    return o.select(k.cast("string").alias("trip_id"), lng.alias("from_lng"), lat.alias("from_lat"), (lng + F.floor(k / 50) % 7 * 0.0015 + F.when(k % 350 == 0, 0.2).otherwise(0)).alias("to_lng"), (lat + 0.004).alias("to_lat"))
+    k, c, side = F.col("o_orderkey"), F.col("o_custkey"), QUARTER * DISTRICT
+    dx, dy, x, y, _ = _corner(F.floor(c / 15), c % QUARTER, F.floor(c / QUARTER) % QUARTER)
+    place = lambda x, y: (-122.42 + dx * 0.05 + x * 0.001 + 0.0001, 37.7 + dy * 0.04 + y * 0.0009 + 0.0001)
+    lng, lat = place(x, y)
+    to_lng, to_lat = place((x + 11 + c % 13) % side, (y + 7 + c % 5) % side)
+    return o.select(k.cast("string").alias("trip_id"), lng.alias("from_lng"), lat.alias("from_lat"), (to_lng + F.when(k % 350 == 0, 0.2).otherwise(0)).alias("to_lng"), to_lat.alias("to_lat"))
 
 
 SQL = {
@@ -153,9 +169,9 @@ SQL = {
     "venues": "venues AS (SELECT 'node/' || s_suppkey AS osm_id, -122.45::DOUBLE + s_suppkey % 40 * 0.0004::DOUBLE AS lng, 37.75::DOUBLE + s_suppkey // 40 % 40 * 0.0004::DOUBLE AS lat FROM supplier)",
     "centers": f"centers AS (SELECT {cell_sql('p_partkey % 16807')} AS cell, -122.451::DOUBLE + p_partkey % 45 * 0.0004::DOUBLE AS lng, 37.7495::DOUBLE + p_partkey // 45 % 45 * 0.0004::DOUBLE AS lat FROM part)",
     "points": "points AS (SELECT o_orderkey AS point_id, -122.5::DOUBLE + o_custkey % 100 * 0.002::DOUBLE + 0.0003::DOUBLE AS lng, 37.7::DOUBLE + o_orderkey % 97 * 0.002::DOUBLE + 0.0007::DOUBLE AS lat FROM orders)",
-    "edges": f"""edges AS (SELECT {cell_sql('(c * 400 + i * 20 + j) % 16807')} AS cell, CAST(-1224200000 + c * 1000000 + i * 10000 AS INTEGER) AS from_lng, CAST(377000000 + j * 9000 AS INTEGER) AS from_lat,
-        CAST(-1224200000 + c * 1000000 + i * 10000 + CASE WHEN east THEN 10000 ELSE 0 END AS INTEGER) AS to_lng, CAST(377000000 + j * 9000 + CASE WHEN east THEN 0 ELSE 9000 END AS INTEGER) AS to_lat,
-        CASE WHEN l_quantity <= 2 THEN 1 ELSE 0 END AS flags FROM (SELECT l_suppkey % 50 AS c, l_partkey % 20 AS i, l_partkey // 20 % 20 AS j, l_linenumber % 2 = 1 AS east, l_quantity FROM lineitem))""",
+    "edges": f"""edges AS (SELECT {cell_sql('(d * 1024 + x * 32 + y) % 16807')} AS cell, CAST(-1224200000 + d % 40 * 500000 + x * 10000 AS INTEGER) AS from_lng, CAST(377000000 + d // 40 * 400000 + y * 9000 AS INTEGER) AS from_lat,
+        CAST(-1224200000 + d % 40 * 500000 + x * 10000 + CASE WHEN east THEN 10000 ELSE 0 END AS INTEGER) AS to_lng, CAST(377000000 + d // 40 * 400000 + y * 9000 + CASE WHEN east THEN 0 ELSE 9000 END AS INTEGER) AS to_lat,
+        CASE WHEN l_quantity <= 2 THEN 1 ELSE 0 END AS flags FROM (SELECT l_suppkey // 16 AS d, l_suppkey % 16 % 4 * 8 + l_partkey % 8 AS x, l_suppkey % 16 // 4 * 8 + l_partkey // 8 % 8 AS y, l_linenumber % 2 = 1 AS east, l_quantity FROM lineitem))""",
     "poly": "poly AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for p, r in RINGS for a, b in zip(r, r[1:], strict=False)) + ") t(poly_id, ax, ay, bx, yb))",
 }
 

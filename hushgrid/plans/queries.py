@@ -566,7 +566,7 @@ def s12_s13_tiles(spark, sf_dir):
     return wg.read_tiles(wg.build_tiles(levelled(spark, sf_dir))).where("error IS NULL").select("from_lng", "from_lat", "to_lng", "to_lat", "flags", "code")
 
 
-BOX = (-122.43, 37.69, -121.0, 37.8)
+BOX = (-122.43, 37.69, -122.2, 37.8)
 _nw, _se = routes._tile(BOX[0], BOX[3]), routes._tile(BOX[2], BOX[1])
 
 

@@ -22,17 +22,18 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started within have the store that keyed states need; the session's own setting comes back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    held = spark.conf.get(name, None)
-    spark.conf.set(name, STORE)
+    """Queries started within have the store that keyed states need, and no more than two partitions of state for each core, as
+    every one is a store and a worker of its own. The session's own settings come back after."""
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.shuffle.partitions": str(few)}
+    held = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if held is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, held)
+        for name, value in held.items():
+            spark.conf.set(name, value)
 
 
 class Outbox(StatefulProcessor):
@@ -60,7 +61,8 @@ class Outbox(StatefulProcessor):
             new = [(int(r.saved_ms), 0, int(r.seq), int(r.user_id), int(r.client_id), r.cell) for r in p.itertuples(index=False)]
             self.waiting.appendList(new)
             first = min(n[0] for n in new) if first is None else min(first, *(n[0] for n in new))
-        self.handle.registerTimer(first)
+        if first is not None:
+            self.handle.registerTimer(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
