@@ -125,7 +125,8 @@ def encoder(path: str | None = None) -> MergeEncoder:
 
 
 def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text. Null and empty texts have none."""
+    """(doc_id, ids): the ids of every whole text, however long. Null and empty texts have none. Repeated rows and rows without
+    id are kept as they come, other columns are ignored, and an empty table gives no rows."""
 
     def work(cols: list[list]) -> Iterator[tuple]:
         encode = encoder(model).encode
@@ -135,7 +136,8 @@ def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 
 def decode_pieces(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
-    """(doc_id, text): the text of every array of ids; empty for none or null."""
+    """(doc_id, text): the text of every array of ids, however long; empty for none or null. Repeated rows and rows without id
+    are kept as they come, other columns are ignored, and an empty table gives no rows."""
 
     def work(cols: list[list]) -> Iterator[tuple]:
         decode = encoder(model).decode

@@ -176,7 +176,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """docs with one row of each component: one of its smallest doc_id, and of rows with that id the one of the smallest
     text hash. A component without any id keeps a row as well.
 
-    Rows are told apart by (doc_id, hash of the text), so texts that share an id or have none are judged each by itself.
+    Rows are told apart by (doc_id, hash of the text), so texts that share an id or have none are judged each by itself. Null
+    and empty texts are one component, a text is hashed whole, however long, and all columns are carried along. An empty table
+    gives no rows.
     """
     key, mark = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(key.alias("hg_id"), mark.alias("hg_mark"), F.struct(*docs.columns).alias("row"))

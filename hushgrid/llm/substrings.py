@@ -189,7 +189,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """docs with the repeated words taken out of `text`, kept words and the white space in front of them unchanged.
 
     Null and empty texts stay as they are; texts without repeats keep every character. Columns of any name are carried
-    along. Rows of one id and equal texts are one document and come out alike.
+    along. Rows of one id and equal texts are one document and come out alike. A text is taken whole, however long. An
+    empty table gives no rows.
     """
     @F.pandas_udf("string")
     def left(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -91,7 +91,10 @@ def as_integers(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, v, dims, copies): floor(1024 * x) of every component x as double, without vectors that are null or hold
     a null or non-finite component, or rows without id. Equal rows are one, with their number."""
     whole = F.col(embedding).isNotNull() & F.forall(embedding, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    rows = vectors.where(whole & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(1024 * x.cast("double")).cast("long")).alias("v"))
+    # No product of two vectors exceeds the product of their lengths.
+    square = F.aggregate(embedding, F.lit(0.0), lambda s, x: s + (1024 * F.abs(x.cast("double")) + 1) ** 2)
+    v = F.when(square < 2.0**62, F.transform(embedding, lambda x: F.floor(1024 * x.cast("double")).cast("long"))).otherwise(F.raise_error(F.lit("a vector too long for scores of 64 bits")).cast("array<bigint>"))
+    rows = vectors.where(whole & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     return rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v"))
 
 
@@ -136,7 +139,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
 
     A query's own id is no candidate, whatever row has it. Vectors that are null or hold a null or non-finite
     component take no part, nor do rows without id. A query meets the vectors of its own length only; empty vectors
-    score 0. Repeated rows are candidates each for itself, and are indexed once. Ties go to the smaller id. Other columns
+    score 0. A vector whose squared length as integers is 2 ** 62 or more fails the job: its scores may have no long. Repeated rows are candidates each for itself, and are indexed once. Ties go to the smaller id. Other columns
     are ignored. Without queries or candidates there are no rows. Blocks hold at most some BLOCK rows of any length.
     """
     base, asked = as_integers(vectors, vec_id, embedding), as_integers(queries, vec_id, embedding)

@@ -205,7 +205,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that don't score as toxic. Null and empty texts stay."""
+    """The rows of docs, all columns, that don't score as toxic. Null and empty texts stay, repeated rows are judged alike, a
+    text is scored whole, however long, and an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

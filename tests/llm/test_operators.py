@@ -456,6 +456,15 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.where("1 = 0"), df).count() == 0 and topk.top_k(df, df.where("1 = 0")).count() == 0
 
 
+def test_topk_scores_fit(spark):
+    """What has no long is an error, not another number."""
+    ok = spark.createDataFrame([(1, [3e5, 1.0]), (2, [3e5, 2.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.score) for r in topk.top_k(ok, ok).collect()} == {(1, 307_200_000**2 + 2 * 1024**2), (2, 307_200_000**2 + 2 * 1024**2)}
+    far = spark.createDataFrame([(1, [3e37, 1.0]), (2, [3e37, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too long for scores"):
+        topk.top_k(far, far).collect()
+
+
 def test_topk_reads_less(spark):
     """The given vectors look alike in all directions, the worst case; a vector near its neighbours reads far less."""
     v = np.floor(1024 * np.array([r.embedding for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet").where("size(embedding) = 64").orderBy("vec_id").collect()])).astype(np.int64)
