@@ -31,7 +31,7 @@ def loop(rows, user, block):
     return out
 
 
-@pytest.mark.parametrize("size", [60, 400])
+@pytest.mark.parametrize("size", [150, 400])
 def test_one_block_with_a_third_of_all_rows(spark, monkeypatch, size):
     """Contested for all its time, beside others; users roam between blocks, and retries come slices later."""
     monkeypatch.setattr(rd, "SLICE", size)
@@ -66,10 +66,10 @@ def test_slices_are_even(spark, monkeypatch):
 
 
 def test_a_dense_timeline_of_searches(spark, monkeypatch):
-    """Two hundred thousand searches without a gap, in eight slices."""
-    monkeypatch.setattr(rd, "SLICE", 25_000)
+    """A hundred thousand searches without a gap, in eight slices."""
+    monkeypatch.setattr(rd, "SLICE", 12_500)
     rnd = random.Random(3)
-    times = [rnd.randrange(2_000_000) for _ in range(200_000)]
+    times = [rnd.randrange(1_000_000) for _ in range(100_000)]
     got = {r.seq: (r.status, r.retry_after_ms) for r in rd.search_budget(spark.createDataFrame(list(enumerate(times)), "seq long, saved_ms long")).collect()}
     want = loop([(k, k, k, "all", t) for k, t in enumerate(times)], rd.Limit(1, 0), rd.SEARCH_LIMIT)
     assert got == {k: ("admitted" if s == "admitted" else "refused", w) for k, (s, w) in want.items()}
