@@ -221,3 +221,16 @@ def test_text(spark):
     assert tuple(one(spark, geo.parse_lng_lat(F.lit("-122.4196,37.7651")))) == (-122.4196, 37.7651)
     for bad in ("", "1", "1,2,3", "a,b", "181,0", "0,91", " 1,2"):
         assert one(spark, geo.parse_lng_lat(F.lit(bad))) is None
+
+
+def test_regions_of_many_boxes_at_once():
+    """Boxes of several sizes, all over the globe, as one by one; each region's points in the box are in its list."""
+    rng = np.random.default_rng(3)
+    size, at = rng.choice([0.01, 0.05, 0.3, 1.1], (300, 2)), np.stack([rng.uniform(-179, 178, 300), rng.uniform(-80, 78, 300)], 1)
+    boxes = np.concatenate((at, at + size), 1)
+    boxes[7, 2] = np.nan
+    got = hexgrid.regions_of(boxes)
+    assert got[7] == [] and got[:7] + got[8:] == [hexgrid.regions_in(*b) for b in np.delete(boxes, 7, 0)] and hexgrid.regions_of(np.zeros((0, 4))) == []
+    for (west, south, east, north), found in zip(boxes[8:60], got[8:60], strict=True):
+        lng, lat = (x.ravel() for x in np.meshgrid(np.linspace(west, east, 9), np.linspace(south, north, 9)))
+        assert {f"{c:015x}" for c in hexgrid.cell_of(lat, lng, 5)} <= set(found) and found == sorted(set(found))
