@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hushgrid.functions import hexgrid
 from hushgrid.operators import meter, ranks, readings as rd, routes, street_noise as sn, venues as ve, walk_graph as wg
+from hushgrid.plans import adapters as ad
 from hushgrid.sources import text as tx
 from hushgrid.streaming import jobs, store
 
@@ -535,3 +536,20 @@ def test_removal_leaves_nothing(spark):
     rows = spark.createDataFrame([("a", 60.0, 1), ("a", 80.0, 1), ("a", 80.0, -1), ("a", 60.0, -1), ("b", 50.0, 1)], "cell string, laeq double, sign int")
     empty = spark.createDataFrame([], "cell string, energy double, count long")
     assert [r.cell for r in jobs.merged(empty, jobs.signed_rollup(rows, ["cell"], F.col("sign")), ["cell"]).collect()] == ["b"]
+
+
+def test_equal_trips_share_their_regions(spark):
+    """Each trip has its row, whether its ends are another's or not."""
+    ends = [(-122.42, 37.7, -122.41, 37.72), (-122.2, 37.6, -122.19, 37.61)]
+    trips = spark.createDataFrame([(f"t{k}", *ends[k % 2]) for k in range(7)], "trip_id string, from_lng double, from_lat double, to_lng double, to_lat double")
+    got = {r.trip_id: r.regions for r in routes.trip_regions(trips).collect()}
+    assert sorted(got) == [f"t{k}" for k in range(7)] and all(got[f"t{k}"] == got[f"t{k % 2}"] for k in range(7)) and got["t0"] and got["t1"]
+
+
+def test_measured_sums_of_trips(spark):
+    """What the measured cells of each trip's regions come to, without a row for each of them."""
+    ends = [(-122.42, 37.7, -122.41, 37.72), (-122.35, 37.75, -122.31, 37.75), (10.0, 10.0, 10.01, 10.01)]
+    trips = spark.createDataFrame([(f"t{k}", *ends[k % 3]) for k in range(9)], "trip_id string, from_lng double, from_lat double, to_lng double, to_lat double")
+    measured = spark.range(400).select(ad.cell(F.col("id")).alias("cell"), F.lit(50.0).alias("laeq"), (F.col("id") % 5).alias("count"))
+    want = {r.trip_id: (r.cells, r.readings) for r in routes.trip_measured(trips, measured).groupBy("trip_id").agg(F.count("*").alias("cells"), F.sum("count").alias("readings")).collect()}
+    assert {r.trip_id: (r.cells, r.readings) for r in routes.trip_measured_sums(trips, measured).collect()} == want and want and "t2" not in want
