@@ -39,10 +39,10 @@ def street_level(cells: DataFrame, blocks: DataFrame, shore: DataFrame, located:
     """cells with kind and laeq24h: modeled, below-floor (inside the shoreline) or not-covered.
 
     The polygon test runs on the distinct cells without a level. With `located` the cells have lat and lng of their
-    center already. shore: polygon edges.
+    center already; a cell with several is inside if any of them is. shore: polygon edges.
     """
     joined = cells.join(blocks.select("cell", F.col("laeq").alias("laeq24h")), "cell", "left")
-    missing = joined.where("laeq24h IS NULL").select("cell", *(["lat", "lng"] if located else [])).dropDuplicates(["cell"])
+    missing = joined.where("laeq24h IS NULL").select("cell", *(["lat", "lng"] if located else [])).distinct()
     if not located:
         missing = missing.withColumn("at", cell_center("cell")).select("cell", "at.lat", "at.lng")
     inside = geo.containing(missing, shore, "cell").select("cell").distinct().withColumn("inside", F.lit(True))
