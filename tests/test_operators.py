@@ -553,3 +553,22 @@ def test_measured_sums_of_trips(spark):
     measured = spark.range(400).select(ad.cell(F.col("id")).alias("cell"), F.lit(50.0).alias("laeq"), (F.col("id") % 5).alias("count"))
     want = {r.trip_id: (r.cells, r.readings) for r in routes.trip_measured(trips, measured).groupBy("trip_id").agg(F.count("*").alias("cells"), F.sum("count").alias("readings")).collect()}
     assert {r.trip_id: (r.cells, r.readings) for r in routes.trip_measured_sums(trips, measured).collect()} == want and want and "t2" not in want
+
+
+def test_street_level_of_a_cell_with_several_centers(spark):
+    """Inside if any center is, in whatever order they come."""
+    shore = ad.shore(spark)
+    for places in ([(37.73, -122.46), (37.0, -122.46)], [(37.0, -122.46), (37.73, -122.46)]):
+        cells = spark.createDataFrame([("a", *p) for p in places] + [("b", 37.0, -122.0)], "cell string, lat double, lng double").coalesce(1)
+        none = spark.createDataFrame([], "cell string, laeq double")
+        assert {(r.cell, r.kind) for r in sn.street_level(cells, none, shore, located=True).collect()} == {("a", "below-floor"), ("b", "not-covered")}
+
+
+def test_street_blocks_have_their_highest_level(spark, tmp_path):
+    """Of a block with several levels, in whatever order they come."""
+    from hushgrid.plans import queries
+
+    for k, sizes in enumerate(([30, 40, 50], [50, 40, 30])):
+        rows = [(7 + 16807 * n, size) for n, size in enumerate(sizes)]
+        spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/{k}/part.parquet")
+        assert [(r.kind, r.laeq24h) for r in queries.street(spark, f"{tmp_path}/{k}").distinct().collect()] == [("modeled", 95.0)]
