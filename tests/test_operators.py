@@ -572,3 +572,22 @@ def test_street_blocks_have_their_highest_level(spark, tmp_path):
         rows = [(7 + 16807 * n, size) for n, size in enumerate(sizes)]
         spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/{k}/part.parquet")
         assert [(r.kind, r.laeq24h) for r in queries.street(spark, f"{tmp_path}/{k}").distinct().collect()] == [("modeled", 95.0)]
+
+
+def test_nearby_with_crowded_places(spark):
+    """Many venues at one place, many blocks at one, and a block with several centers: the nearest eight of all pairs."""
+    far = lambda lat, v: 2 * 6_371_008.8 * math.asin(math.sqrt(math.sin(math.radians(lat - v) / 2) ** 2))
+    venue = [(f"node/{k:05}", 60.0 + k % 3 * 0.0006, 10.0) for k in range(20_000)]
+    block = [(f"c{k % 9000}", 60.0 + k % 4 * 0.0005, 10.0) for k in range(20_000)]
+    got = ve.nearby(spark.createDataFrame(block, "cell string, lat double, lng double"), spark.createDataFrame(venue, "osm_id string, lat double, lng double"), rings=None)
+    found = defaultdict(list)
+    for r in got.collect():
+        found[r.cell].append((r["rank"], r.osm_id, round(r.meters, 3)))
+    at = defaultdict(list)
+    for osm, lat, _ in venue[:24]:  # of each place the first eight
+        at[lat].append(osm)
+    assert len(found) == 9000
+    for cell in ("c0", "c1", "c2500", "c8999"):
+        pairs = [((v - lat) ** 2, osm, far(lat, v)) for c, lat, _ in block if c == cell for v, ids in at.items() for osm in ids]
+        want = sorted((d2, osm, m) for d2, osm, m in pairs if m <= 150)[:8]
+        assert sorted(found[cell]) == [(k + 1, osm, round(m, 3)) for k, (_, osm, m) in enumerate(want)]
