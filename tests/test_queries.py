@@ -243,3 +243,15 @@ def test_every_order_is_a_trip(spark):
 
 def test_search_budget_takes_every_reading(spark):
     assert queries.QUERIES["w4_search_budget"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_choices_are_made_once_for_trips_that_are_alike(spark):
+    """Walks of as many trips as there are different ends; every trip has the rows of the one that it is like."""
+    trips, walks = queries.alike_walks(spark, SF)
+    all_trips = ad.trips(spark, SF)
+    different = all_trips.select("from_lng", "from_lat", "to_lng", "to_lat").distinct().count()
+    assert walks.select("trip_id").distinct().count() == different < all_trips.count() == trips.count()
+    some = spark.createDataFrame([(r.like, "x") for r in trips.select("like").distinct().limit(3).collect()], "trip_id string, kept string")
+    like = {r.trip_id: r.like for r in trips.collect()}
+    chosen = {r.trip_id for r in some.collect()}
+    assert {r.trip_id for r in queries.of_every_trip(trips, some).collect()} == {t for t, other in like.items() if other in chosen}
