@@ -591,3 +591,22 @@ def test_nearby_with_crowded_places(spark):
         pairs = [((v - lat) ** 2, osm, far(lat, v)) for c, lat, _ in block if c == cell for v, ids in at.items() for osm in ids]
         want = sorted((d2, osm, m) for d2, osm, m in pairs if m <= 150)[:8]
         assert sorted(found[cell]) == [(k + 1, osm, round(m, 3)) for k, (_, osm, m) in enumerate(want)]
+
+
+@pytest.mark.parametrize("every_ms, rows_a_slice", [(40, 100), (400, 7), (30_000, 50)])
+def test_search_budget_in_slices(spark, every_ms, rows_a_slice):
+    """As one by one, wherever slices begin, also within a window and where searches never thin out; equal times by seq. The
+    job needs no set of rows for each round."""
+    rnd = random.Random(every_ms)
+    at, want, held = 0, {}, []
+    rows = []
+    for seq in range(900):
+        at += rnd.choice([0, 1, 2]) * every_ms
+        rows.append((seq, at))
+        held = [t for t in held if t > at - 60_000]
+        want[seq] = ("refused", held[0] + 60_000 - at) if len(held) >= 6 else ("admitted", None)
+        if len(held) < 6:
+            held.append(at)
+    rnd.shuffle(rows)
+    got = rd.search_budget(spark.createDataFrame([*rows, (-1, None)], "seq long, saved_ms long"), rd.Limit(6, 60_000), rows_a_slice)
+    assert {r.seq: (r.status, r.retry_after_ms) for r in got.collect()} == want
