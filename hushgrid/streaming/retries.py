@@ -19,6 +19,9 @@ _COLUMNS = [c.split()[0] for c in ATTEMPTS.split(", ")]
 #: Of transformWithState; the default store can't hold several states of a key.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Attempts that a key gives at once.
+BATCH = 100_000
+
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
@@ -67,9 +70,13 @@ class Outbox(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        turns = Turns(self, [w for w in self.waiting.get()], list(self.recent.get()))
-        out = turns.until(now)
-        if out:
+        waiting = list(self.waiting.get())
+        due = any(w[0] <= now for w in waiting)
+        turns = Turns(self, waiting, list(self.recent.get()), [k for k, _ in self.seen.iterator()] if due else [])
+        for out in turns.until(now):
+            columns = dict(zip(_COLUMNS, zip(*out, strict=True), strict=True))
+            yield pd.DataFrame({c: pd.array(v, "Int32" if c == "attempt" else "Int64") if c != "status" else list(v) for c, v in columns.items()})
+        if due:
             self.waiting.put(turns.left()) if turns.left() else self.waiting.clear()
             since = now - max(self.user.window_ms, self.block.window_ms)
             recent = [r for r in turns.recent if r[2] > since]
@@ -77,9 +84,6 @@ class Outbox(StatefulProcessor):
             self.forget(now)
         if turns.left():
             self.handle.registerTimer(max(now + 1, min(w[0] for w in turns.left())))
-        if out:
-            columns = dict(zip(_COLUMNS, zip(*out, strict=True), strict=True))
-            yield pd.DataFrame({c: pd.array(v, "Int32" if c == "attempt" else "Int64") if c != "status" else list(v) for c, v in columns.items()})
 
     def forget(self, now: int) -> None:
         """Drops ids behind `remember_ms`, once in that time."""
@@ -94,9 +98,10 @@ class Outbox(StatefulProcessor):
 
 
 class Turns:
-    """The turns of a key's readings up to a time."""
+    """The turns of a key's readings up to a time. seen: ids of admitted readings, read once, as asking the state for each turn is a
+    call to another process."""
 
-    def __init__(self, box: Outbox, waiting: list[tuple], recent: list[tuple]) -> None:
+    def __init__(self, box: Outbox, waiting: list[tuple], recent: list[tuple], seen: list[tuple]) -> None:
         self.box, self.recent = box, [tuple(r) for r in recent]
         self.new = deque(sorted((w for w in map(tuple, waiting) if w[1] == 0), key=lambda w: (w[0], w[2])))
         self.held: dict[int, list[tuple]] = defaultdict(list)
@@ -109,14 +114,21 @@ class Turns:
         for u, cell, at in sorted(self.recent, key=lambda r: r[2]):
             self.times["user", u].append(at)
             self.times["cell", cell].append(at)
+        self.seen = {(int(u), int(c)) for u, c in seen}
         self.out: list[tuple] = []
+        #: What was refused since the last admission at one time: (at, user, cell) to status and wait.
+        self.refused: dict[tuple, tuple] = {}
 
     def left(self) -> list[tuple]:
         return [*self.new, *(w for ws in self.held.values() for w in ws)]
 
-    def until(self, now: int) -> list[tuple]:
-        """Takes turns; at equal times rounds go before new readings, rounds by user, readings by seq."""
+    def until(self, now: int) -> Iterator[list[tuple]]:
+        """Takes turns and gives attempts in batches; at equal times rounds go before new readings, rounds by user, readings by
+        seq."""
         while True:
+            if len(self.out) >= BATCH:
+                yield self.out
+                self.out = []
             at = self.rounds[0][0] if self.rounds else None
             if at is not None and at <= now and (not self.new or at <= self.new[0][0]):
                 self.round(*heapq.heappop(self.rounds))
@@ -126,14 +138,21 @@ class Turns:
                 if wait is not None:
                     self.hold(w, w[0], wait)
             else:
-                return self.out
+                break
+        if self.out:
+            yield self.out
 
     def round(self, at: int, user: int) -> None:
         """All that a user has held back, at once. What is refused waits for the longest of the refusals' times."""
         own = sorted(self.held.pop(user), key=lambda w: w[2])
         refused = [(w, wait) for w in own for wait in [self.turn(w, at)] if wait is not None]
-        for w, _ in refused:
-            self.hold(w, at, max(wait for _, wait in refused))
+        if refused:
+            # The user holds nothing else back now, so the first sets the round and the others join it.
+            longest = max(wait for _, wait in refused)
+            self.hold(refused[0][0], at, longest)
+            mine = self.held[user]
+            due = mine[0][0]
+            mine.extend([(due, w[1] + 1, *w[2:]) for w, _ in refused[1:]])
 
     def hold(self, w: tuple, at: int, wait: int) -> None:
         """In the user's next round, which a first refusal sets."""
@@ -147,8 +166,11 @@ class Turns:
         """Decides a reading at a time; what it must wait if it is refused."""
         _, attempt, seq, user, client, cell = w
         status, wait = "admitted", None
-        if self.box.seen.containsKey((user, client)):
+        if (user, client) in self.seen:
             status = "duplicate"
+        elif (at, user, cell) in self.refused:
+            # Limits only get fuller at one time, and nothing was admitted since.
+            status, wait = self.refused[at, user, cell]
         else:
             for name, key, limit in (("user", user, self.box.user), ("cell", cell, self.box.block)):
                 held = self.times[name, key]
@@ -156,8 +178,11 @@ class Turns:
                     held.popleft()
                 if len(held) >= limit.count:
                     status, wait = {"user": "held-user", "cell": "held-block"}[name], held[0] + limit.window_ms - at
+                    self.refused = {(at, user, cell): (status, wait)}
                     break
             else:
+                self.refused = {}
+                self.seen.add((user, client))
                 self.box.seen.updateValue((user, client), (at,))
                 self.recent.append((user, cell, at))
                 self.times["user", user].append(at)

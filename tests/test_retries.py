@@ -125,3 +125,20 @@ def test_ids_are_forgotten(spark, tmp_path):
     empty = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")).where(F.lit(False))
     with retries.state_store(spark):
         assert jobs.collected(retries.admit_with_retries(empty), retries.ATTEMPTS).count() == 0
+
+
+def test_turns_read_the_state_once_and_come_in_batches(monkeypatch):
+    """Attempts of a crowded key, as by one loop; the state is asked for no single turn."""
+
+    class Seen:
+        def updateValue(self, key, value):  # noqa: N802
+            pass
+
+    class Box:
+        user, block, retry_ms, seen = USER, BLOCK, 60_000, Seen()
+
+    monkeypatch.setattr(retries, "BATCH", 50)
+    rows = [r for r in made(400, 5) if r[3] == "c0"]
+    turns = retries.Turns(Box(), [(t, 0, q, u, c, cell) for q, u, c, cell, t in rows], [], [])
+    parts = list(turns.until(3_600_000))
+    assert len(parts) > 5 and sorted((a for p in parts for a in p), key=str) == loop(rows, 3_600_000)
