@@ -610,3 +610,14 @@ def test_search_budget_in_slices(spark, every_ms, rows_a_slice):
     rnd.shuffle(rows)
     got = rd.search_budget(spark.createDataFrame([*rows, (-1, None)], "seq long, saved_ms long"), rd.Limit(6, 60_000), rows_a_slice)
     assert {r.seq: (r.status, r.retry_after_ms) for r in got.collect()} == want
+
+
+def test_pairs_of_one_key_are_spread(spark):
+    """All pairs, in many tasks though a single key has them; keys that are null or on one side have none."""
+    from hushgrid.plans.shared import spread_pairs
+
+    many = spark.range(600).select("id", F.when(F.col("id") < 500, "a").when(F.col("id") < 550, "b").alias("k"))
+    few = spark.range(40).select(F.col("id").alias("other"), F.when(F.col("id") < 30, "a").when(F.col("id") < 35, "c").alias("k"))
+    got = spread_pairs(many, few, "k").select("id", "other", "k", F.spark_partition_id().alias("task")).toPandas()
+    assert set(zip(got.id, got.other)) == {(i, o) for i in range(500) for o in range(30)} and len(got) == 15_000 and set(got.k) == {"a"}
+    assert got.task.nunique() > 6 and got.task.value_counts().max() < 5_000
