@@ -103,7 +103,11 @@ class Releases:
         rows = wg.graph_stats(edges).select("n_edges", "modeled_share").join(wg.component_report(wg.node_components(edges)).select("crossing_share")).join(wg.spanning(edges))
         out = rows.join(read.agg(F.count("error").alias("corrupt")))  # one row each
         out.write.mode("overwrite").parquet(f"{self.folder}/{name}/audit")
-        return self.spark.read.schema(out.schema).parquet(f"{self.folder}/{name}/audit")
+        return self.audited(name)
+
+    def audited(self, name: str) -> DataFrame:
+        """The audit of a release as it was written last."""
+        return self.spark.read.parquet(f"{self.folder}/{name}/audit")
 
     def publish(self, name: str) -> None:
         """GuardsViolatedError if a guard is violated or a tile is corrupt."""

@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,6 +28,8 @@ STEPS = 1
 #: Guards: least share of nodes in networks that cross a tile edge, and of length in modeled blocks.
 CROSSING_LEAST, MODELED_LEAST = 0.9, 0.05
 MAGIC, MOST_BLOCKS = b"SMW2", 0x10000
+#: Edges that a worker hands on at once, and of which it finds the networks at once.
+_EDGES, NETWORK = 20_000, 500_000
 _M = geo.E7 * geo.METER_PER_DEGREE
 
 
@@ -178,7 +179,53 @@ def encode_tile(nodes: np.ndarray, ends: np.ndarray, block: np.ndarray, flags: n
     ])
 
 
-def decode_tile(data: bytes) -> dict[str, np.ndarray]:
+class _Tile:
+    """A tile that is put together from batches of its edges, which come ordered by cell. An edge takes 19 bytes until the tile is
+    whole. A point is one number, of which the bytes are those of the layout."""
+
+    def __init__(self, place: tuple[int, int]) -> None:
+        self.place, self.a, self.b, self.block, self.flags, self.cells, self.codes = place, [], [], [], [], [], []
+
+    def add(self, a: np.ndarray, b: np.ndarray, flags: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> None:
+        new = np.append(not self.cells or cells[0] != self.cells[-1], cells[1:] != cells[:-1])
+        number = len(self.cells) - 1 + np.cumsum(new)
+        self.cells.extend(cells[new].tolist())
+        self.codes.extend(codes[new].tolist())
+        if len(self.cells) > MOST_BLOCKS:
+            raise ValueError(f"more than {MOST_BLOCKS} blocks in a tile")
+        for held, x in ((self.a, a), (self.b, b), (self.block, number.astype("<u2")), (self.flags, flags.astype("u1"))):
+            held.append(x)
+
+    def row(self) -> pa.RecordBatch:
+        nodes = np.concatenate(self.a + self.b)
+        nodes.sort()
+        n = 0
+        for k in range(0, len(nodes), _EDGES):  # equal ones go in place
+            part = nodes[k : k + _EDGES]
+            part = part[np.append(n == 0 or part[0] != nodes[n - 1], part[1:] != part[:-1])]
+            nodes[n : n + len(part)] = part
+            n += len(part)
+        e = sum(map(len, self.a))
+        foot = b"".join(struct.pack("<IIH", int(c, 16) >> 32, int(c, 16) & 0xFFFFFFFF, v) for c, v in zip(self.cells, self.codes, strict=True))
+        data = bytearray(16 + 8 * n + 11 * e + -(8 * n + 11 * e) % 4 + len(foot))
+        struct.pack_into("<4s3I", data, 0, MAGIC, n, e, len(self.cells))
+        points = np.frombuffer(data, "<i8", n, 16)
+        points[:] = nodes[:n]
+        del nodes
+        ends = np.frombuffer(data, "<u4", 2 * e, 16 + 8 * n).reshape(-1, 2)
+        block, flag = np.frombuffer(data, "<u2", e, 16 + 8 * n + 8 * e), np.frombuffer(data, "u1", e, 16 + 8 * n + 10 * e)
+        at = 0
+        for a, b, number, f in zip(self.a, self.b, self.block, self.flags, strict=True):
+            to = at + len(a)
+            ends[at:to, 0], ends[at:to, 1], block[at:to], flag[at:to] = np.searchsorted(points, a), np.searchsorted(points, b), number, f
+            at = to
+        data[len(data) - len(foot) :] = foot
+        whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.array([0, len(data)], pa.int32()).buffers()[1], pa.py_buffer(data)])
+        ints = [pa.array([x], pa.int32()) for x in self.place] + [pa.array([x], pa.int64()) for x in (n, e, len(self.cells))]
+        return pa.RecordBatch.from_arrays([*ints, whole], names=["tile_x", "tile_y", "n_nodes", "n_edges", "n_blocks", "data"])
+
+
+def decode_tile(data: bytes | pa.Buffer) -> dict[str, np.ndarray]:
     """The arrays of a tile; ValueError if it is corrupt."""
     if len(data) < 16 or data[:4] != MAGIC:
         raise ValueError("not a tile")
@@ -199,38 +246,61 @@ def decode_tile(data: bytes) -> dict[str, np.ndarray]:
 
 
 def build_tiles(pieces: DataFrame) -> DataFrame:
-    """(tile_x, tile_y, n_nodes, n_edges, n_blocks, data) of pieces with kind and laeq24h. A tile is some two
-    kilometers wide, so a group is small; edges lie in the order of their coordinates."""
+    """(tile_x, tile_y, n_nodes, n_edges, n_blocks, data) of pieces with kind and laeq24h. Edges lie in the order of their
+    coordinates, block by block. Spark sorts them and they come in batches, so a worker holds one tile's numbers, however many edges
+    a tile has."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["cell", "from_lng", "from_lat", "to_lng", "to_lat", "flags"])
-        both = np.concatenate((p[["from_lng", "from_lat"]].to_numpy(), p[["to_lng", "to_lat"]].to_numpy()), 1).reshape(-1, 2)
-        number, nodes = pd.factorize(pd.MultiIndex.from_arrays(both.T))
-        block, cells = pd.factorize(p["cell"])
-        codes = p.drop_duplicates("cell")["code"].tolist()
-        data = encode_tile(np.array([list(x) for x in nodes]), number.reshape(-1, 2), block, p["flags"].to_numpy(), [int(c, 16) for c in cells], codes)
-        return pd.DataFrame({"tile_x": [p["tile_x"].iloc[0]], "tile_y": [p["tile_y"].iloc[0]], "n_nodes": [len(nodes)], "n_edges": [len(p)], "n_blocks": [len(cells)], "data": [data]})
-
-    ready = pieces.withColumn("code", encode_level("kind", "laeq24h")).select("tile_x", "tile_y", "cell", "from_lng", "from_lat", "to_lng", "to_lat", "flags", "code")
-    return ready.groupBy("tile_x", "tile_y").applyInPandas(run, "tile_x int, tile_y int, n_nodes long, n_edges long, n_blocks long, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = None
+        for t in batches:
+            x, y, a, b, flags, codes = (t.column(c).to_numpy() for c in ("tile_x", "tile_y", "a", "b", "flags", "code"))
+            cells = t.column("cell").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else []
+            for k, to in zip(starts, [*starts[1:], len(x)], strict=True):
+                place = int(x[k]), int(y[k])
+                if tile is None or tile.place != place:
+                    if tile:
+                        yield tile.row()
+                    tile = _Tile(place)
+                tile.add(a[k:to].copy(), b[k:to].copy(), flags[k:to], cells[k:to], codes[k:to])
+        if tile:
+            yield tile.row()
+
+    point = lambda c: F.shiftleft(F.col(f"{c}_lat").cast("long"), 32).bitwiseOR(F.col(f"{c}_lng").cast("long").bitwiseAND(0xFFFFFFFF))
+    ready = pieces.withColumn("code", encode_level("kind", "laeq24h")).repartition("tile_x", "tile_y")
+    ready = ready.sortWithinPartitions("tile_x", "tile_y", "cell", "from_lng", "from_lat", "to_lng", "to_lat", "flags")
+    ready = ready.select("tile_x", "tile_y", "cell", point("from").alias("a"), point("to").alias("b"), "flags", "code")
+    return ready.mapInArrow(run, "tile_x int, tile_y int, n_nodes long, n_edges long, n_blocks long, data binary")
 
 
 def read_tiles(tiles: DataFrame) -> DataFrame:
     """Edges of tiles (tile_x, tile_y, data): edge_no (the order within the tile), from/to coordinates, cell, flags,
-    code; a corrupt tile gives one row with `error` set."""
+    code; a corrupt tile gives one row with `error` set. A worker holds one tile at a time, and its edges are given in batches."""
+    names = ["tile_x", "tile_y", "edge_no", "from_lng", "from_lat", "to_lng", "to_lat", "cell", "flags", "code", "error"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            for x, y, data in zip(p["tile_x"], p["tile_y"], p["data"], strict=True):
+            for x, y, data in zip(*(p.column(c) for c in ("tile_x", "tile_y", "data")), strict=True):
+                x, y = x.as_py(), y.as_py()
                 try:
-                    t = decode_tile(bytes(data))
+                    t = decode_tile(data.as_buffer() if data.is_valid else b"")
                 except ValueError as e:
-                    yield pd.DataFrame({"tile_x": [x], "tile_y": [y], "edge_no": [0], "from_lng": [0], "from_lat": [0], "to_lng": [0], "to_lat": [0], "cell": [None], "flags": [0], "code": [0], "error": [str(e)]})
+                    yield batch([x], [y], *([0] for _ in range(5)), [None], [0], [0], [str(e)])
                     continue
-                a, b = t["nodes"][t["ends"][:, 0]], t["nodes"][t["ends"][:, 1]]
-                yield pd.DataFrame({"tile_x": x, "tile_y": y, "edge_no": np.arange(len(a)), "from_lng": a[:, 0], "from_lat": a[:, 1], "to_lng": b[:, 0], "to_lat": b[:, 1], "cell": [f"{c:015x}" for c in t["cells"][t["block"]]], "flags": t["flags"], "code": t["codes"][t["block"]], "error": None})
+                cells = pa.array([f"{c:015x}" for c in t["cells"]], pa.string())
+                for k in range(0, len(t["ends"]), _EDGES):
+                    ends, block = t["ends"][k : k + _EDGES], t["block"][k : k + _EDGES]
+                    a, b, n = t["nodes"][ends[:, 0]], t["nodes"][ends[:, 1]], len(ends)
+                    yield batch(
+                        np.full(n, x), np.full(n, y), np.arange(k, k + n), a[:, 0], a[:, 1], b[:, 0], b[:, 1], cells.take(pa.array(block)), t["flags"][k : k + _EDGES], t["codes"][block], [None] * n
+                    )
 
-    return tiles.select("tile_x", "tile_y", "data").mapInPandas(run, "tile_x int, tile_y int, edge_no long, from_lng int, from_lat int, to_lng int, to_lat int, cell string, flags int, code int, error string")
+    out = "tile_x int, tile_y int, edge_no long, from_lng int, from_lat int, to_lng int, to_lat int, cell string, flags int, code int, error string"
+    return tiles.select("tile_x", "tile_y", "data").groupBy("tile_x", "tile_y").applyInArrow(run, out)
 
 
 def graph_stats(pieces: DataFrame) -> DataFrame:
@@ -254,36 +324,54 @@ def size_distribution(sizes: DataFrame, size: str = "bytes") -> DataFrame:
     return sizes.agg(F.count(size).alias("n"), F.sum(size).alias("total"), pick(0.5).alias("median"), pick(0.95).alias("p95"), F.max(size).alias("largest"))
 
 
+def _networks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, number of each end, number of each node's smallest): networks of some edges. Networks that an edge joins take the
+    smaller number, all at once, until no edge joins two."""
+    nodes, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+    above, (u, v) = np.arange(len(nodes)), number.reshape(2, -1)
+    while len(u):
+        ru, rv = above[u], above[v]
+        np.minimum.at(above, np.maximum(ru, rv), np.minimum(ru, rv))
+        while not np.array_equal(over := above[above], above):
+            above = over
+        apart = above[u] != above[v]
+        u, v = u[apart], v[apart]
+    return nodes, number, above
+
+
 def node_components(pieces: DataFrame) -> DataFrame:
     """(lng_e7, lat_e7, tile_x, tile_y, component): networks of the whole graph.
 
-    Each tile is contracted by union-find in one small task; only its networks' shared nodes go on, so the iteration
-    over the whole runs on a much smaller graph.
+    Edges come in order of place, and a worker finds the networks of NETWORK edges at a time, so it holds no more, however
+    many a tile has. Only networks that share a node go on, so the iteration over the whole runs on a much smaller graph.
     """
 
-    def within(p: pd.DataFrame) -> pd.DataFrame:
-        ends = np.stack([p["a"].to_numpy(), p["b"].to_numpy()], 1)
-        number, nodes = pd.factorize(ends.reshape(-1))
-        above = np.arange(len(nodes))
-
-        def top(x: int) -> int:
-            while above[x] != x:
-                above[x] = above[above[x]]
-                x = above[x]
-            return x
-
-        for u, v in number.reshape(-1, 2):
-            ru, rv = top(u), top(v)
-            if ru != rv:
-                above[max(ru, rv)] = min(ru, rv)
-        own = nodes[[top(k) for k in range(len(nodes))]]
-        return pd.DataFrame({"node": nodes, "own": own, "tile_x": p["tile_x"].iloc[0], "tile_y": p["tile_y"].iloc[0]})
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for t in batches:
+            held.append([t.column(c).to_numpy() for c in ("tile_x", "tile_y", "a", "b")])
+            n += t.num_rows
+            if n >= NETWORK:
+                yield from found(held)
+                held, n = [], 0
+        if n:
+            yield from found(held)
+
+    def found(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x, y, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        nodes, number, own = _networks(a, b)
+        tiles, tile = np.unique(x.astype(np.int64) << 32 | y, return_inverse=True)
+        each = np.unique(np.concatenate((tile, tile)) * len(nodes) + number)
+        for k in range(0, len(each), _EDGES):
+            at, of = np.divmod(each[k : k + _EDGES], len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (nodes[of], nodes[own[of]], (tiles[at] >> 32).astype(np.int32), tiles[at].astype(np.int32))], names=["node", "own", "tile_x", "tile_y"])
 
     key = lambda lng, lat: F.shiftleft(F.col(lng).cast("long"), 32).bitwiseOR(F.col(lat).cast("long").bitwiseAND(0xFFFFFFFF))
-    p = pieces.select("tile_x", "tile_y", key("from_lng", "from_lat").alias("a"), key("to_lng", "to_lat").alias("b"))
-    local = p.groupBy("tile_x", "tile_y").applyInPandas(within, "node long, own long, tile_x int, tile_y int").checkpoint()
-    ties = connected_components(local.select(F.col("node").alias("a"), F.col("own").alias("b")).where("a <> b"))
-    out = local.join(ties, local.own == ties.node, "left").select(local.node, "tile_x", "tile_y", F.coalesce("component", local.own).alias("component"))
+    p = pieces.repartition("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", F.shiftright("from_lat", 15), F.shiftright("from_lng", 15))
+    local = p.select("tile_x", "tile_y", key("from_lng", "from_lat").alias("a"), key("to_lng", "to_lat").alias("b")).mapInArrow(within, "node long, own long, tile_x int, tile_y int").checkpoint()
+    shared = local.groupBy("node").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select("node", "least")
+    ties = connected_components(local.join(shared, "node").where("own <> least").select("own", "least").distinct(), "own", "least").withColumnRenamed("node", "hg_own")
+    out = local.join(ties, local.own == ties.hg_own, "left").select(local.node, "tile_x", "tile_y", F.coalesce("component", local.own).alias("component")).distinct()
     return out.select(F.shiftright("node", 32).cast("int").alias("lng_e7"), F.col("node").bitwiseAND(0xFFFFFFFF).cast("int").alias("lat_e7"), "tile_x", "tile_y", "component")
 
 

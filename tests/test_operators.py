@@ -621,3 +621,44 @@ def test_pairs_of_one_key_are_spread(spark):
     got = spread_pairs(many, few, "k").select("id", "other", "k", F.spark_partition_id().alias("task")).toPandas()
     assert set(zip(got.id, got.other)) == {(i, o) for i in range(500) for o in range(30)} and len(got) == 15_000 and set(got.k) == {"a"}
     assert got.task.nunique() > 6 and got.task.value_counts().max() < 5_000
+
+
+def test_a_tile_comes_in_batches(spark):
+    """A worker never gets the rows of a tile as one group, and a tile put together from batches, that cut through blocks too, is
+    what its edges are."""
+    rows = [(f"{0x8A2830828007FFF + (k // 7 << 15):015x}", 5, 6, k % 50 - 20, -k, k % 50, -k // 2, k % 2) for k in range(3000)]
+    a, b = (np.array([r[at + 1] << 32 | r[at] & 0xFFFFFFFF for r in rows]) for at in (3, 5))
+    cells, flags, codes = np.array([r[0] for r in rows], object), np.array([r[7] for r in rows]), np.arange(3000) // 7 % 900 + 1
+    tile = wg._Tile((5, 6))
+    for k, to in ((0, 5), (5, 700), (700, 701), (701, 3000)):
+        tile.add(a[k:to], b[k:to], flags[k:to], cells[k:to], codes[k:to])
+    row = tile.row().to_pylist()[0]
+    t = wg.decode_tile(row["data"])
+    ends = t["nodes"][t["ends"]].reshape(-1, 4).tolist()
+    assert ends == [list(r[3:7]) for r in rows] and t["flags"].tolist() == flags.tolist() and [f"{c:015x}" for c in t["cells"][t["block"]]] == cells.tolist()
+    assert t["codes"][t["block"]].tolist() == codes.tolist() and (row["n_edges"], row["n_blocks"], row["n_nodes"]) == (3000, 429, len({tuple(x) for e in ends for x in (e[:2], e[2:])}))
+    pieces = spark.createDataFrame(rows, PIECE).withColumns({"kind": F.lit("modeled"), "laeq24h": F.lit(61.5)})
+    for df in (wg.build_tiles(pieces), wg.node_components(pieces)):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    read = wg.read_tiles(wg.build_tiles(pieces))
+    assert sorted((r.cell, r.from_lng, r.from_lat, r.to_lng, r.to_lat, r.flags) for r in read.collect()) == sorted((r[0], *r[3:]) for r in rows)
+    assert [r.edge_no for r in read.orderBy("edge_no").collect()] == list(range(3000))
+
+
+def test_networks_of_edges():
+    """Every node with the smallest that it reaches, on chains in any order and on random edges."""
+    rng = np.random.default_rng(3)
+    chain = rng.permutation(5000)
+    for a, b in ((chain[:-1], chain[1:]), rng.integers(0, 4000, (2, 2500)), (np.array([7]), np.array([7]))):
+        above = {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                x = above[x]
+            return x
+
+        for u, v in zip(a.tolist(), b.tolist()):
+            ru, rv = top(u), top(v)
+            above[max(ru, rv)] = min(ru, rv)
+        nodes, number, own = wg._networks(a, b)
+        assert nodes[number].tolist() == [*a, *b] and {n: nodes[o] for n, o in zip(nodes.tolist(), own)} == {n: top(n) for n in nodes.tolist()}
