@@ -662,3 +662,10 @@ def test_networks_of_edges():
             above[max(ru, rv)] = min(ru, rv)
         nodes, number, own = wg._networks(a, b)
         assert nodes[number].tolist() == [*a, *b] and {n: nodes[o] for n, o in zip(nodes.tolist(), own)} == {n: top(n) for n in nodes.tolist()}
+
+
+def test_guards_read_the_graph_once(spark, tmp_path):
+    from hushgrid.plans import queries
+
+    p = queries.QUERIES["a13_guards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in p and "l_partkey" not in p
