@@ -688,3 +688,17 @@ def test_a_center_that_comes_twice_is_inside_once(spark, tmp_path):
         want = c.sql(queries.ORACLE_SQL[name]).df()[list(got.columns)]
         text = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).astype(str).replace({"<NA>": "None", "nan": "None"}).to_numpy().tolist()))
         assert [x.replace(".0'", "'") for x in text(got)] == [x.replace(".0'", "'") for x in text(want)] and (got.kind == "below-floor").any()
+
+
+def test_facts_of_a_cell_in_one_worker(spark):
+    """As the functions that stand alone say, and in one evaluation; null without a place."""
+    p = spark.createDataFrame([(37.7 + k * 0.003, -122.5 + k * 0.002) for k in range(40)] + [(None, -122.0)], "lat double, lng double")
+    one = p.select("lat", ve.cell_facts("lat", "lng", F.col("lat") + 0.001, "lng").alias("f")).select("lat", "f.*")
+    q = p.where("lat IS NOT NULL").withColumn("cell", ve.cell_of("lat", "lng", F.lit(10)))
+    slow = q.select("cell", ve.cell_center("cell").alias("c"), F.size(ve.cell_boundary("cell")).alias("corners"), ve.grid_distance("cell", ve.cell_of(F.col("lat") + 0.001, "lng", F.lit(10))).alias("steps"))
+    assert sorted((r.cell, r.c.lat, r.c.lng, r.corners, r.steps) for r in slow.collect()) == sorted((r["cell"], r[2], r[3], r.corners, r.steps) for r in one.where("cell IS NOT NULL").collect())
+    assert [tuple(r)[1:] for r in one.where("cell IS NULL").select(F.lit(0), "cell", "corners", "steps").collect()] == [(None, None, None)]
+    from hushgrid.plans import queries
+
+    plan = queries.QUERIES["f10_f13_cells_of_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
