@@ -142,3 +142,33 @@ def test_turns_read_the_state_once_and_come_in_batches(monkeypatch):
     turns = retries.Turns(Box(), [(t, 0, q, u, c, cell) for q, u, c, cell, t in rows], [], [])
     parts = list(turns.until(3_600_000))
     assert len(parts) > 5 and sorted((a for p in parts for a in p), key=str) == loop(rows, 3_600_000)
+
+
+def test_rounds_of_a_crowded_block_are_runs(spark, tmp_path, monkeypatch):
+    """What a user holds back is refused whole, again and again: few numbers say many attempts, in parts of any size, and spread
+    they are those of one loop."""
+
+    class Seen:
+        def updateValue(self, key, value):  # noqa: N802
+            pass
+
+    class Box:
+        user, block, retry_ms, seen = USER, rd.Limit(1, 600_000), 1_000, Seen()
+
+    rows = [(k, k % 5, k, "c0", 1000 * (k // 2)) for k in range(120)]
+    waiting = [(t, 0, q, u, c, cell) for q, u, c, cell, t in rows]
+    runs = [r for part in retries.Turns(Box(), waiting, [], []).runs(36_000_000) for r in part]
+    assert 2 * sum(len(r[1]) + len(r[3]) for r in runs) < sum(len(r[1]) * len(r[3]) for r in runs)
+    monkeypatch.setattr(retries, "TURNS", 3)
+    monkeypatch.setattr(retries, "READINGS", 7)
+    spread = sorted((a for part in retries.Turns(Box(), waiting, [], []).until(36_000_000) for a in part), key=str)
+    assert spread == sorted(((q, n + k, at, s, w) for s, seqs, first, times, waits in runs for q, n in zip(seqs, first) for k, (at, w) in enumerate(zip(times, waits))), key=str)
+    df = spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in r) for r in runs], retries.RUNS)
+    assert collect(retries.attempts(df)) == spread
+    left = [(5, 1, 2, 3, 4, "ä"), (6, 0, 2**62, -3, 4, "b")]
+    assert list(retries.unpacked(retries.packed(list(zip(*left))))) == left
+    made_rows = made(160, 7)
+    spark.createDataFrame(made_rows, SCHEMA).repartition(2).write.parquet(str(tmp_path / "in"))
+    with retries.state_store(spark):
+        kept = jobs.collected(retries.runs_of_attempts(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "cell", USER, BLOCK, "0 seconds"), retries.RUNS)
+    assert collect(retries.attempts(kept)) == loop(made_rows, made_rows[-1][4])
