@@ -333,6 +333,86 @@ def test_search_is_cheapest():
                 assert all(np.allclose(at(e, y), at(f, x), atol=1e-6) for (e, _, y), (f, x, _) in zip(ways, ways[1:]))
 
 
+def grid(rnd, size, twice=0.3):
+    """Streets of a grid with gaps, some of them double, with levels and steps by chance, in two tiles."""
+    rows = []
+    p = lambda i, j: (round(LNG * 1e7 + i * 90 * MX), round(LAT * 1e7 + j * 90 * MY))
+    for i in range(size):
+        for j in range(size):
+            for di, dj in ((1, 0), (0, 1)):
+                while i + di < size and j + dj < size and rnd.random() < 0.9:
+                    ends = [p(i, j), p(i + di, j + dj)][:: rnd.choice([1, -1])]
+                    rows.append((*routes._tile(ends[0][0] / 1e7, ends[0][1] / 1e7), len(rows), *ends[0], *ends[1], rnd.choice([45.0, 45.0, 60.0, 75.0, math.nan]), rnd.choice([0, 0, 1]), f"c{i // 3}-{j // 3}", "modeled"))
+                    if rnd.random() > twice:
+                        break
+    e = pd.DataFrame(rows, columns=["tile_x", "tile_y", "edge_no", "from_lng", "from_lat", "to_lng", "to_lat", "db", "flags", "cell", "kind"])
+    return e.sort_values(["tile_x", "tile_y", "edge_no"]).reset_index(drop=True)
+
+
+def test_trips_that_are_searched_together(monkeypatch):
+    """Every walk of a bundle is that of its trip alone, ties too, with places on streets, at corners and off all paths."""
+    rnd, weights, outcomes = random.Random(4), [0.0, 0.5, 3.0], set()
+    monkeypatch.setattr(routes, "BUNDLE", 7)
+    for size in (2, 5, 12):
+        e = grid(rnd, size)
+        streets = routes.Streets(e)
+        at = lambda: (rnd.choice([rnd.randrange(size), rnd.uniform(-1, size + 2)]), rnd.choice([rnd.randrange(size), rnd.uniform(-1, size)]))  # noqa: E731,B023
+        point = lambda a: (LNG + a[0] * 90 * MX / 1e7, LAT + a[1] * 90 * MY / 1e7)
+        trips = []
+        for k in range(60):
+            a, b = point(at()), point(at())
+            far = rnd.choice([0.0005, 0.004])
+            box = {"west": min(a[0], b[0]) - far, "south": min(a[1], b[1]) - far, "east": max(a[0], b[0]) + far, "north": max(a[1], b[1]) + far}
+            trips.append((str(k), *a, *b, box))
+        away = {"west": LNG + 1, "south": LAT + 1, "east": LNG + 1.001, "north": LAT + 1.001}
+        trips.append(("away", LNG + 1, LAT + 1, LNG + 1, LAT + 1, away))
+        t = pd.DataFrame(trips, columns=["trip_id", "from_lng", "from_lat", "to_lng", "to_lat", "box"])
+        want = {}
+        for r in t.itertuples(index=False):
+            box = tuple(r.box[k] for k in ("west", "south", "east", "north"))
+            rows = streets.rows_in(box)
+            if rows is None:
+                want[r.trip_id] = "no-walking-data"
+                continue
+            g = routes.Corridor(streets, rows, box)
+            places = g.snap(r.from_lng, r.from_lat), g.snap(r.to_lng, r.to_lat)
+            walks = None if None in places else g.walks(*places, weights)
+            want[r.trip_id] = [[(int(rows[k]), x, y, abs(y - x) * g.meters[k]) for k, x, y in w] for w in walks] if walks else "off-path-from" if places[0] is None else "off-path-to" if places[1] is None else "no-path"
+        got = {}
+        for one, found in routes.searched(t, e, weights):
+            ids = one.trip_id.tolist()
+            got |= {k: [[] for _ in weights] if o == "planned" else o for k, o in zip(ids, one.outcome)}
+            for k, w, n, *stretch in zip(*(found[c].tolist() for c in ("trip", "weight", "stretch_no", "row", "start", "end", "meters"))):
+                assert n == len(got[ids[k]][w])
+                got[ids[k]][w].append(tuple(stretch))
+        assert got == want
+        outcomes |= {x if isinstance(x, str) else "planned" for x in want.values()}
+    assert outcomes == {"planned", "no-path", "off-path-from", "off-path-to", "no-walking-data"}
+
+
+def test_routes_without_their_stretches(spark):
+    """plan_routes gives what comes of plan_walks' stretches, and medians count a value as often as it is there."""
+    rnd = random.Random(6)
+    edges = spark.createDataFrame([tuple(None if isinstance(x, float) and math.isnan(x) else x for x in r) for r in grid(rnd, 9).itertuples(index=False)], "tile_x int, tile_y int, edge_no long, from_lng int, from_lat int, to_lng int, to_lat int, level double, flags int, cell string, kind string")
+    point = lambda: (LNG + rnd.randrange(9) * 90 * MX / 1e7, LAT + rnd.uniform(0, 9) * 90 * MY / 1e7)
+    trips = spark.createDataFrame([(str(k), *point(), *point()) for k in range(40)] + [("far", LNG, LAT, LNG + 1, LAT)], "trip_id string, from_lng double, from_lat double, to_lng double, to_lat double")
+    walks, got = routes.plan_walks(trips, edges).persist(), routes.plan_routes(trips, edges).persist()
+    outcome = lambda d: sorted({(r.trip_id, r.outcome) for r in d.collect()})
+    assert outcome(walks) == outcome(got)
+    s = {(r.trip_id, r.weight): r for r in routes.route_stats(routes.merged(walks.where("outcome = 'planned'"), ["trip_id", "weight"]), ["trip_id", "weight"]).collect()}
+    for r in got.where("outcome = 'planned'").collect():
+        w = s.pop((r.trip_id, r.weight))
+        assert (r.meters, r.laeq, r.loud_meters) == (pytest.approx(w.meters), w.laeq and pytest.approx(w.laeq), pytest.approx(w.loud_meters))
+    assert not s
+    pick = lambda d: sorted((r.trip_id, r.preset, r.weight, round(r.meters, 6), round(r.quieter, 6)) for r in d.collect())
+    chosen = routes.choices(walks)
+    assert pick(chosen) == pick(routes.choices_of(got.where("outcome = 'planned'"))) and chosen.count()
+    many = walks.where("outcome = 'planned'").select("trip_id").distinct().withColumn("times", F.col("trip_id").cast("long") % 3 + 1)
+    copies = lambda d: d.join(many, "trip_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("trip_id", F.concat_ws("/", "trip_id", "k")).drop("k", "times")
+    shown = lambda d: sorted(tuple(r) for r in d.select("preset", "trips", "median_db", "median_detour", "max_detour", "n1", "n3").collect())
+    assert shown(routes.evaluate(many, chosen)) == shown(routes.evaluate(copies(many.select("trip_id")), copies(chosen)))
+
+
 def test_a_weighting():
     """Published values of the curve, and the filter as one difference equation."""
     rate = 48_000
